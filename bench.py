@@ -21,7 +21,7 @@ HEADLINE = [
     "local_to_parent", "group_rule_status", "country_rule_summary", "ranked_group_table",
     "registry_entities", "foreign_active", "detail_dates", "events_by_year", "detailed_sample", "decree_list",
     "exact_name_match", "text_search_top1", "grantee_search_top1", "review_merge", "search_back_match",
-    "json_documents_scan", "ingest_pages_batch", "ingest_pages_stream",
+    "json_documents_parse", "ingest_pages_batch", "ingest_pages_stream",
 ]
 
 

@@ -25,10 +25,21 @@ PANEL_VALUES = [*REVENUE_COLUMNS, "rev_last", "parent_rev"]
 Job = Callable[[Inputs], DataFrame]
 
 
+_INPUTS: dict[tuple, Inputs] = {}
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    """The views over one folder, defined once per session."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _INPUTS:
+        _INPUTS[key] = Inputs(apply_runtime_conf(spark), sf_dir)
+    return _INPUTS[key]
+
+
 def register(name: str, sql: str | None = None) -> Callable[[Job], Job]:
     def add(job: Job) -> Job:
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return job(Inputs(apply_runtime_conf(spark), sf_dir))
+            return job(inputs(spark, sf_dir))
 
         QUERIES[name] = query
         if sql is not None:
@@ -182,7 +193,7 @@ def positional_ids(t: Inputs) -> DataFrame:
     return readers.attach_positional_ids(rows.drop("company_id"), lists, "batch", "row_in_file", "ids", "company_id")
 
 
-def company_documents(t: Inputs) -> DataFrame:
+def company_document_text(t: Inputs) -> DataFrame:
     name_if = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("name")))
     owner = F.struct(F.lit("Owner").alias("name"))
     company = F.struct(
@@ -201,8 +212,12 @@ def company_documents(t: Inputs) -> DataFrame:
         .when(F.col("owners") == 1, F.array(owner))
         .alias("ultimate_beneficial_owners"),
     )
-    text = t["company_flat"].select(F.to_json(F.struct(F.struct(company.alias("company")).alias("results"))).alias("value"))
-    return readers.parse_json_documents(text, "value", schemas.COMPANY_DOCUMENT)
+    return t["company_flat"].select(F.to_json(F.struct(F.struct(company.alias("company")).alias("results"))).alias("value"))
+
+
+def company_documents(t: Inputs) -> DataFrame:
+    path = t.landed("company-documents", lambda: company_document_text(t))
+    return readers.read_json_documents(t.spark, path, schemas.COMPANY_DOCUMENT)
 
 
 @register("company_details", """
@@ -265,8 +280,8 @@ def minimum_tax_display(t: Inputs) -> DataFrame:
 
 def _totals_sql(dimensions: str) -> str:
     return f"""
-    select {dimensions}, cast(sum(price) as double) as TOT_REV, cast(sum(profit) as double) as PROFIT,
-        cast(sum(tax) as double) as TAX_ACCRUED
+    select {dimensions}, cast(sum(cents) as double) / 100 as TOT_REV, cast(sum(profit) as double) / 10000 as PROFIT,
+        cast(sum(tax) as double) / 10000 as TAX_ACCRUED
     from {{country_year_money}} group by {dimensions}"""
 
 
@@ -472,8 +487,8 @@ register("coops", f"select * from ({ENTITIES}) where corp_name ilike '%coop%'")(
     lambda t: registry.cooperatives(registry.registry_entities(t["registry"])))
 
 
-def entity_documents(t: Inputs) -> DataFrame:
-    """The detail documents as JSON text, parsed with the explicit schema."""
+def entity_document_text(t: Inputs) -> DataFrame:
+    """The detail documents as JSON text, one per row."""
     corporation = F.struct(
         F.col("corp_register_index").alias("corpRegisterIndex"), F.col("corp_name").alias("corpName"),
         F.col("jurisdiction").alias("jurisdictionEs"),
@@ -491,8 +506,9 @@ def entity_documents(t: Inputs) -> DataFrame:
     return t["entity_flat"].select(F.to_json(F.struct(response.alias("response"))).alias("value"))
 
 
-def parsed_documents(t: Inputs) -> DataFrame:
-    return readers.parse_json_documents(entity_documents(t), "value", schemas.ENTITY_DOCUMENT)
+def entity_documents(t: Inputs) -> DataFrame:
+    path = t.landed("entity-documents", lambda: entity_document_text(t))
+    return readers.read_json_documents(t.spark, path, schemas.ENTITY_DOCUMENT)
 
 
 def _foreign_sql(status: str) -> str:
@@ -506,9 +522,9 @@ def _foreign_sql(status: str) -> str:
 
 
 register("foreign_active", _foreign_sql("ACTIVA"))(
-    lambda t: registry.foreign_entities(parsed_documents(t), registry.ACTIVE, LINK))
+    lambda t: registry.foreign_entities(entity_documents(t), registry.ACTIVE, LINK))
 register("foreign_merged", _foreign_sql("FUSIONADA"))(
-    lambda t: registry.foreign_entities(parsed_documents(t), registry.MERGED, LINK))
+    lambda t: registry.foreign_entities(entity_documents(t), registry.MERGED, LINK))
 
 _PATTERN = "([0-9]{{4}})-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T([01][0-9]|2[0-3]):([0-5][0-9]):([0-5][0-9])"
 
@@ -529,7 +545,7 @@ DATES = f"""
         {", ".join(f"strftime({c}, '%Y-%m-%d %H:%M:%S') as {c}" for c in _DATES)}
     from ({DATES})""")
 def detail_dates(t: Inputs) -> DataFrame:
-    dates = registry.detail_dates(parsed_documents(t))
+    dates = registry.detail_dates(entity_documents(t))
     return dates.select("registration_index", "corporation_name", *[text_time(c) for c in _DATES])
 
 
@@ -541,7 +557,7 @@ def detail_dates(t: Inputs) -> DataFrame:
           where event_date is not null and corporation_name ilike '%coop%' group by all)
     group by event_year""")
 def events_by_year(t: Inputs) -> DataFrame:
-    return registry.events_by_year(registry.detail_dates(parsed_documents(t)))
+    return registry.events_by_year(registry.detail_dates(entity_documents(t)))
 
 
 _SAMPLED = "substr(md5('1:' || {0}), 1, 8) < '19999999'"
@@ -554,7 +570,7 @@ SAMPLE = f"""
 
 @register("detailed_sample", SAMPLE)
 def detailed_sample(t: Inputs) -> DataFrame:
-    return registry.detailed_sample(t["entity_targets"], parsed_documents(t), LINK, fraction=0.1)
+    return registry.detailed_sample(t["entity_targets"], entity_documents(t), LINK, fraction=0.1)
 
 
 register("sample_without_detail", f"select registration_index from ({SAMPLE}) where register_index is null")(
@@ -600,7 +616,7 @@ def pending_collection(t: Inputs) -> DataFrame:
     select register_index as registration_index, corp_name, status from ({_foreign_sql("FUSIONADA")})
     where register_index not in (select company_number from {{company_flat}})""")
 def pending_related(t: Inputs) -> DataFrame:
-    merged = registry.foreign_entities(parsed_documents(t), registry.MERGED, LINK)
+    merged = registry.foreign_entities(entity_documents(t), registry.MERGED, LINK)
     return registry.pending_related(merged, t["company_flat"].select(F.col("company_number").alias("registration_index")))
 
 
@@ -608,7 +624,7 @@ _SEARCH_COLUMNS = "record_id, registration_number, registration_index, corp_name
 _KEY = NAME_KEY.format("corp_name")
 _NAME_SEARCHES = {
     "begins_with": ("Red W", f"starts_with({_KEY}, 'red w')"),
-    "exact": ("Small ring brand#2 coop", f"{_KEY} = 'small ring brand#2 coop'"),
+    "exact": ("Cold Gear brand#21 inc", f"{_KEY} = 'cold gear brand#21 inc'"),
     "any_word": ("ring, coop.", f"list_has_any(string_split({_KEY}, ' '), ['ring', 'coop'])"),
     "all_words": ("inc. small", f"list_has_all(string_split({_KEY}, ' '), ['inc', 'small'])"),
 }
@@ -672,11 +688,14 @@ def _bm25_sql(queries: str, corpus: str, keys: str, k: int) -> str:
     df as (select token, count(*) as df from tf group by token),
     asked as (select distinct query, unnest({words}) as token from query_rows),
     weights as (
-        select query, {keys}, cast(round(ln(1 + (n - df + cast(0.5 as double)) / (df + cast(0.5 as double)))
+        select query, {keys}, cast(floor(ln(1 + (n - df + cast(0.5 as double)) / (df + cast(0.5 as double)))
             * (tf * cast(2.2 as double) / (tf + cast(1.2 as double)
-                * (cast(0.25 as double) + cast(0.75 as double) * doc_len / mean_len))), 9) as decimal(20,9)) as w
+                * (cast(0.25 as double) + cast(0.75 as double) * doc_len / mean_len))) * cast(1e9 as double)
+            + cast(0.5 as double)) as bigint) as w
         from asked join tf using (token) join df using (token), stats),
-    scores as (select query, {keys}, round(cast(sum(w) as double), 6) as score from weights group by all)
+    scores as (
+        select query, {keys}, cast((cast(sum(w) as bigint) + 500) // 1000 as double) / 1e6 as score
+        from weights group by all)
     select * from (
         select *, row_number() over (partition by query order by score desc, {keys}) as rank from scores)
     where rank <= {k}"""
@@ -831,12 +850,10 @@ def csv_round_trip(t: Inputs) -> DataFrame:
     return readers.read_csv(t.spark, path, "company_id string, company_name string, rev_2001 double, rev_last double")
 
 
-@register("json_documents_scan", """
+@register("json_documents_parse", """
     select corp_register_index as registration_index, corp_name, foreign_city, local_city, status from {entity_flat}""")
-def json_documents_scan(t: Inputs) -> DataFrame:
-    path = work_path(t.spark, "documents")
-    entity_documents(t).write.text(path)
-    documents = readers.read_json_documents(t.spark, path, schemas.ENTITY_DOCUMENT)
+def json_documents_parse(t: Inputs) -> DataFrame:
+    documents = readers.parse_json_documents(entity_document_text(t), "value", schemas.ENTITY_DOCUMENT)
     return documents.select(
         F.col("response.corporation.corpRegisterIndex").alias("registration_index"),
         F.col("response.corporation.corpName").alias("corp_name"),

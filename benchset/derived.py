@@ -7,9 +7,12 @@ Money is summed as decimals and only then becomes a double, so both engines get
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from grouptrace.session import work_path
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -270,31 +273,36 @@ VIEWS: dict[str, str] = {
         select 'C' || cast(c_custkey as string) as company_id, lower(c_name) || ',' as company_name,
             'US' as country_code, case when c_custkey % 41 = 0 then 'PR' end as state
         from {customer}""",
-    # Yearly totals: each step reduces the rows before the next shuffle.
+    # Yearly totals: each step reduces the rows before the next shuffle. Per order in whole cents and
+    # hundredths of cents, above that as decimals.
+    "line_cents": """
+        select l_orderkey, year(l_shipdate) as yr, cast(round(l_extendedprice * 100) as bigint) as cents,
+            100 - cast(round(l_discount * 100) as bigint) as kept, cast(round(l_tax * 100) as bigint) as taxed
+        from {lineitem}""",
     "order_year_totals": """
-        select l_orderkey, year(l_shipdate) as yr,
-            sum(cast(l_extendedprice as decimal(18,2))) as price,
-            sum(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(4,2)))) as profit,
-            sum(cast(l_extendedprice as decimal(18,2)) * cast(l_tax as decimal(4,2))) as tax
-        from {lineitem} group by l_orderkey, year(l_shipdate)""",
+        select l_orderkey, yr, cast(sum(cents) as bigint) as cents, cast(sum(cents * kept) as bigint) as profit,
+            cast(sum(cents * taxed) as bigint) as tax
+        from {line_cents} group by l_orderkey, yr""",
     "customer_year_totals": """
-        select o_custkey, yr, sum(price) as price, sum(profit) as profit, sum(tax) as tax
+        select o_custkey, yr, sum(cast(cents as decimal(38,0))) as cents, sum(cast(profit as decimal(38,0))) as profit,
+            sum(cast(tax as decimal(38,0))) as tax
         from {order_year_totals} join {orders} on l_orderkey = o_orderkey group by o_custkey, yr""",
     "country_year_money": """
-        select yr, r_name as region, n_name as country, sum(price) as price, sum(profit) as profit, sum(tax) as tax,
+        select yr, r_name as region, n_name as country, sum(cents) as cents, sum(profit) as profit, sum(tax) as tax,
             count(*) as customers
         from {customer_year_totals} join {customer} on o_custkey = c_custkey
             join {nation} on c_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey
         group by yr, r_name, n_name""",
     "country_year_totals": """
-        select yr, region, country, cast(price as double) as TOT_REV, cast(profit as double) as PROFIT,
-            cast(tax as double) as TAX_ACCRUED
+        select yr, region, country, cast(cents as double) / 100 as TOT_REV, cast(profit as double) / 10000 as PROFIT,
+            cast(tax as double) / 10000 as TAX_ACCRUED
         from {country_year_money}""",
     "yearly_totals": """
-        select yr as time_period, cast(sum(price) as double) as TOT_REV, cast(sum(profit) as double) as PROFIT,
-            cast(sum(tax) as double) as TAX_ACCRUED, cast(sum(customers) as bigint) as EMPLOYEES,
-            count(*) as ENTITIES_COUNT, cast(sum(price) as double) / 5 as ASSETS,
-            cast(sum(profit) as double) / 2 as EARNINGS, cast(sum(price) as double) / 30 as PAYROLL
+        select yr as time_period, cast(sum(cents) as double) / 100 as TOT_REV,
+            cast(sum(profit) as double) / 10000 as PROFIT, cast(sum(tax) as double) / 10000 as TAX_ACCRUED,
+            cast(sum(customers) as bigint) as EMPLOYEES, count(*) as ENTITIES_COUNT,
+            cast(sum(cents) as double) / 500 as ASSETS, cast(sum(profit) as double) / 20000 as EARNINGS,
+            cast(sum(cents) as double) / 3000 as PAYROLL
         from {country_year_money} group by yr""",
 }
 
@@ -308,7 +316,7 @@ class Inputs:
     """The given tables and the derived views as DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self._views = spark, sf_dir, {}
+        self.spark, self.sf_dir, self._views, self._landed = spark, sf_dir, {}, {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._views:
@@ -320,6 +328,14 @@ class Inputs:
                 self._views[name] = self.spark.sql(sql, **{n: self[n] for n in names_in(sql)})
         return self._views[name]
 
+    def landed(self, name: str, documents: Callable[[], DataFrame]) -> str:
+        """Path of a set of JSON documents, written to the shared folder when it is first asked for."""
+        if name not in self._landed:
+            path = work_path(self.spark, name)
+            documents().write.text(path)
+            self._landed[name] = path
+        return self._landed[name]
+
 
 def with_views(sql: str) -> str:
     """An oracle text with the views it needs in front, as common table expressions."""

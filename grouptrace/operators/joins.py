@@ -1,4 +1,8 @@
-"""Joins that stay balanced when one key holds a large share of the rows."""
+"""Joins that stay balanced when one key holds a large share of the rows.
+
+No join here is told to broadcast: Spark does so by itself where the file size, or the size AQE
+measured after a shuffle, is under its threshold, and otherwise shuffles.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 20_000
-
-
-def broadcast_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the side is small; otherwise leave the join to AQE.
-
-    The count stops at ``max_rows + 1`` rows. Meant for country and year dimensions.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def left_join_fanout(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join whose right side may repeat one key very often; every match is kept.
 

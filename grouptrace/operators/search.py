@@ -5,68 +5,89 @@ Score of a document for a query, over the distinct query tokens t found in it (O
     sum of  idf(t) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length))
     idf(t) = ln(1 + (N - df(t) + 0.5) / (df(t) + 0.5))
 
-Joining every query token to every document that holds it would pair nearly all queries with nearly
-all documents through tokens such as "the". The search is exact without that:
-
-1. For each token the highest weight any document gives it bounds what the token can add. The k-th
-   highest weight of a query's best token is a floor for the query's k-th best score.
-2. A query's tokens are added up from the smallest bound. As long as the sum stays below the floor, a
-   document that holds only these tokens cannot be among the best k. Only the other tokens look for
-   candidates.
-3. Candidates whose score so far plus all that is still possible stays below the k-th best score so
-   far are dropped; the remaining ones get their exact score.
+Pairing every query token with every document that holds it would pair nearly all queries with nearly
+all documents through words such as "the". The search gives the same result without that:
+
+1. Documents with the same words are scored once, and so are queries with the same words.
+2. A few best documents per query are found through its rarest tokens and scored exactly. The k-th of
+   these scores is a floor under the k-th best score of the query.
+3. The highest weight a token has in any document bounds what it can add. A query's tokens are summed
+   up from the smallest bound; while the sum stays below the floor, a document that holds only these
+   tokens cannot be among the best k. Only the remaining tokens look for candidates.
+4. The leading candidates are scored exactly for a better floor. Candidates whose score so far plus
+   the bounds of the other tokens stays below it are dropped, the remaining ones scored exactly.
+
+Weights are whole billionths, so a sum does not depend on the order of its parts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grouptrace.functions.text import tokens
 from grouptrace.operators.ranking import top_k
-from grouptrace.session import materialize
-
-# Weights are exact decimals, so a sum does not depend on the order of its parts.
-WEIGHT_TYPE = "decimal(20,9)"
-SCORE_DIGITS = 6
-# Wider than any rounding of score or bounds: a bound within this of the floor is never cut.
-MARGIN = 1e-4
-
-
-def _term_counts(words: Column) -> Column:
-    """Array of (token, tf) of one document: sort its words, then measure the runs of equal words."""
-    return F.transform(
-        F.filter(
-            F.transform(words, lambda w, i: F.struct(w.alias("token"), i.alias("at"))),
-            lambda e: (e["at"] == 0) | (F.get(words, e["at"] - 1) != e["token"]),
-        ),
-        lambda e: e,
-    )
+from grouptrace.session import materialize, spread_input
+
+UNIT = 1e9
+# Scores are reported in millionths; a text within this many billionths of the floor can still tie.
+SLACK = 2_000
+SEED_TOKENS = 3
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """``texts``: text_no, words_id, copies, doc_len, terms. ``members``: words_id and document keys."""
+
+    texts: DataFrame
+    members: DataFrame
+    keys: tuple[str, ...]
 
 
-def build_index(corpus: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """One row per document: its keys, its length in tokens and its (token, tf) pairs.
+def build_index(corpus: DataFrame, keys: Sequence[str], text: str) -> TextIndex:
+    """Index of a corpus, written to the shared folder. It can serve any number of searches.
 
-    A document never leaves its row, so nothing is shuffled. Store the result to search it again.
+    The (token, tf) pairs of a document are the runs of equal words among its sorted words, so a
+    document is not taken apart to be counted.
     """
-    words = corpus.select(*keys, F.array_sort(tokens(F.coalesce(F.col(text), F.lit("")))).alias("_words"))
-    starts = words.withColumn("_starts", _term_counts(F.col("_words")))
-    length = F.size("_words")
+    words = spread_input(corpus).select(
+        *keys, F.sort_array(tokens(F.coalesce(F.col(text), F.lit("")))).alias("_words")
+    )
+    size = F.size("_words")
+    run_starts = F.filter(
+        F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get("_words", i) != F.get("_words", i - 1))
+    )
+    runs = words.select(
+        *keys,
+        F.unhex(F.sha2(F.concat_ws(" ", "_words"), 256)).alias("words_id"),
+        "_words",
+        F.when(size > 0, run_starts).otherwise(F.array().cast("array<int>")).alias("_starts"),
+    )
 
-    def run(e: Column, i: Column) -> Column:
-        after = F.coalesce(F.get(F.col("_starts"), i + 1)["at"], length)
-        return F.struct(e["token"].alias("token"), (after - e["at"]).alias("tf"))
+    def term(start: Column, place: Column) -> Column:
+        end = F.coalesce(F.get("_starts", place + 1), size)
+        return F.struct(F.get("_words", start).alias("token"), (end - start).alias("tf"))
 
-    return starts.select(
-        *keys, length.cast("long").alias("doc_len"), F.transform("_starts", run).alias("terms")
+    counted = runs.select(
+        *keys, "words_id", size.cast("long").alias("doc_len"), F.transform("_starts", term).alias("terms")
+    )
+    rows = materialize(counted, "search-rows")
+    texts = rows.groupBy("words_id").agg(
+        F.count("*").alias("copies"), F.max("doc_len").alias("doc_len"), F.first("terms").alias("terms")
     )
+    numbered = texts.withColumn("text_no", F.monotonically_increasing_id())
+    return TextIndex(materialize(numbered, "search-texts"), rows.select("words_id", *keys), tuple(keys))
+
+
+def _points(idf: Column, saturation: Column) -> Column:
+    return F.floor(idf * saturation * UNIT + 0.5)
 
 
 def search_index(
-    index: DataFrame,
-    keys: Sequence[str],
+    index: TextIndex,
     queries: DataFrame,
     query_key: str,
     query_text: str,
@@ -76,86 +97,102 @@ def search_index(
 ) -> DataFrame:
     """The best ``k`` documents per query: (query_key, *keys, score, rank). No row without a hit.
 
-    Ties of the rounded score go to the smallest document keys.
+    Equal scores go to the smallest document keys.
     """
-    keys = list(keys)
-    documents = index.agg(F.count("*")).scalar()
-    mean_len = index.agg(F.avg("doc_len")).scalar()
-
-    # Queries with the same set of tokens are answered once.
+    keys = list(index.keys)
+    size = index.texts.agg(
+        F.sum("copies").alias("documents"), F.sum(F.col("copies") * F.col("doc_len")).alias("words")
+    ).first()
+    documents = size["documents"] or 0
+    mean_len = (size["words"] or 0) / documents if documents else 1.0
+
+    # Queries as sets of tokens, each set once.
     asked = queries.select(
-        F.col(query_key), F.array_sort(F.array_distinct(tokens(F.col(query_text)))).alias("_set")
+        F.col(query_key), F.sort_array(F.array_distinct(tokens(F.col(query_text)))).alias("_set")
     ).filter(F.size("_set") > 0)
-    asked = asked.withColumn("_query", F.sha2(F.concat_ws(" ", "_set"), 256))
-    distinct_queries = asked.groupBy("_query").agg(F.min("_set").alias("_set"))
-    wanted = distinct_queries.select("_query", F.explode("_set").alias("token"))
-    vocabulary = wanted.select("token").distinct()
+    asked = asked.withColumn("_set_id", F.unhex(F.sha2(F.concat_ws(" ", "_set"), 256)))
+    asked = materialize(asked, "search-queries")
+    sets = asked.groupBy("_set_id").agg(F.first("_set").alias("_set"))
+    sets = materialize(sets.withColumn("_q", F.monotonically_increasing_id()), "search-sets")
+    wanted = sets.select("_q", F.explode("_set").alias("token"))
 
     tf, length = F.col("tf"), F.col("doc_len")
-    saturation = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_len))
+    saturation = tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * length / mean_len))
     postings = (
-        index.select(*keys, "doc_len", F.inline("terms"))
-        .join(vocabulary, "token", "left_semi")
-        .select("token", *keys, saturation.alias("sat"))
+        index.texts.select("text_no", "copies", "doc_len", F.inline("terms"))
+        .join(wanted.select("token").distinct(), "token", "left_semi")
+        .select("token", "text_no", "copies", saturation.alias("sat"))
     )
+    postings = materialize(postings, "search-postings")
 
-    if k == 1:
-        per_token = postings.groupBy("token").agg(F.count("*").alias("df"), F.max("sat").alias("top"))
-        per_token = per_token.withColumn("kth", F.col("top"))
-    else:
-        best = top_k(postings.select("token", "sat"), ["token"], [F.desc("sat")], k, "_rank")
-        floors = best.groupBy("token").agg(F.max(F.when(F.col("_rank") == k, F.col("sat"))).alias("kth"))
-        per_token = postings.groupBy("token").agg(F.count("*").alias("df"), F.max("sat").alias("top"))
-        per_token = per_token.join(floors, "token")
+    per_token = postings.groupBy("token").agg(F.sum("copies").alias("df"), F.max("sat").alias("top"))
     idf = F.log(1 + (documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = per_token.select(
-        "token",
-        idf.alias("idf"),
-        (idf * F.col("top")).alias("bound"),
-        F.coalesce(idf * F.col("kth"), F.lit(0.0)).alias("floor"),
-    )
-
-    of_query = Window.partitionBy("_query")
+    weighted = per_token.select("token", idf.alias("idf"), (_points(idf, F.col("top")) + 1).alias("bound"))
+    terms = materialize(wanted.join(weighted, "token").select("_q", "token", "idf", "bound"), "search-terms")
+
+    hits = postings.select("token", "text_no", "sat")
+    points = _points(F.col("idf"), F.col("sat"))
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        """Full scores of chosen (query, text) pairs."""
+        return (
+            pairs.select("_q", "text_no")
+            .join(terms.select("_q", "token", "idf"), "_q")
+            .join(hits, ["text_no", "token"])
+            .groupBy("_q", "text_no")
+            .agg(F.sum(points).alias("points"))
+        )
+
+    def kth_exact(leaders: DataFrame) -> DataFrame:
+        """Per query, the k-th best full score among its leading candidates, less the slack."""
+        places = top_k(exact(top_k(leaders, ["_q"], [F.desc("points"), F.asc("text_no")], k)), ["_q"], [F.desc("points")], k)
+        return places.filter(F.col("rank") == k).select("_q", (F.col("points") - SLACK).alias("_floor"))
+
+    # First floor: texts reached through the rarest tokens.
+    rarest = top_k(terms, ["_q"], [F.desc("bound"), F.asc("token")], SEED_TOKENS)
+    floors = kth_exact(rarest.join(hits, "token").groupBy("_q", "text_no").agg(F.sum(points).alias("points")))
+
+    of_query = Window.partitionBy("_q")
     ascending = of_query.orderBy("bound", "token").rowsBetween(Window.unboundedPreceding, 0)
     planned = (
-        wanted.join(weighted, "token")
-        .withColumn("_floor", F.max("floor").over(of_query))
-        .withColumn("_reach", F.sum("bound").over(ascending))
-        .withColumn("_seeks", F.col("_reach") >= F.col("_floor") - MARGIN)
-        .withColumn("_rest", F.sum(F.when(~F.col("_seeks"), F.col("bound")).otherwise(0.0)).over(of_query))
-        .select("_query", "token", "idf", "_seeks", "_rest")
+        terms.join(floors, "_q", "left")
+        .withColumn("_seeks", F.sum("bound").over(ascending) >= F.coalesce("_floor", F.lit(0)))
+        .withColumn("_rest", F.sum(F.when(F.col("_seeks"), 0).otherwise(F.col("bound"))).over(of_query))
+        .select("_q", "token", "idf", "_seeks", "_rest")
     )
-    # Read by both rounds below; small next to the index: one row per distinct query and token.
     planned = materialize(planned, "search-plan")
 
-    weight = F.round(F.col("idf") * F.col("sat"), 9).cast(WEIGHT_TYPE)
     found = (
         planned.filter("_seeks")
-        .join(postings, "token")
-        .groupBy("_query", *keys)
-        .agg(F.sum(weight).alias("_score"), F.max("_rest").alias("_rest"))
+        .join(hits, "token")
+        .groupBy("_q", "text_no")
+        .agg(F.sum(points).alias("points"), F.max("_rest").alias("_rest"))
     )
     found = materialize(found, "search-candidates")
-    kth_best = top_k(found.select("_query", "_score"), ["_query"], [F.desc("_score")], k, "_rank")
-    kth_best = kth_best.filter(F.col("_rank") == k).select("_query", F.col("_score").alias("_kth"))
-    alive = found.join(kth_best, "_query", "left").filter(
-        F.col("_kth").isNull() | (F.col("_score") + F.col("_rest") >= F.col("_kth") - MARGIN)
+    # Second floor: the candidates that lead so far; far fewer can still reach it.
+    alive = found.join(kth_exact(found.select("_q", "text_no", "points")), "_q", "left").filter(
+        F.col("points") + F.col("_rest") >= F.coalesce("_floor", F.lit(0))
     )
-
     added = (
-        alive.select("_query", *keys)
-        .join(planned.filter(~F.col("_seeks")).select("_query", "token", "idf"), "_query")
-        .join(postings, [*keys, "token"])
-        .select("_query", *keys, weight.alias("_score"))
-    )
-    scored = (
-        alive.select("_query", *keys, F.col("_score").cast(WEIGHT_TYPE).alias("_score"))
-        .unionByName(added)
-        .groupBy("_query", *keys)
-        .agg(F.round(F.sum("_score").cast("double"), SCORE_DIGITS).alias("score"))
+        alive.select("_q", "text_no")
+        .join(planned.filter("NOT _seeks").select("_q", "token", "idf"), "_q")
+        .join(hits, ["text_no", "token"])
+        .select("_q", "text_no", points.alias("points"))
     )
-    best = top_k(scored, ["_query"], [F.desc("score"), *[F.asc(c) for c in keys]], k)
-    return asked.select(query_key, "_query").join(best, "_query").select(query_key, *keys, "score", "rank")
+    scored = alive.select("_q", "text_no", "points").unionByName(added)
+    scored = scored.groupBy("_q", "text_no").agg(F.sum("points").alias("points"))
+    scored = scored.withColumn("score", F.floor((F.col("points") + 500) / 1000) / 1e6)
+    # rank(), not row_number(): texts that tie on the last place are told apart by their documents' keys.
+    by_score = Window.partitionBy("_q").orderBy(F.desc("score"))
+    best = scored.withColumn("_place", F.rank().over(by_score)).filter(F.col("_place") <= k)
+    best = best.join(index.texts.select("text_no", "words_id"), "text_no").select("_q", "words_id", "score")
+    best = materialize(best, "search-best")
+
+    members = index.members.join(best.select("words_id").distinct(), "words_id", "left_semi")
+    members = top_k(members, ["words_id"], [F.asc(c) for c in keys], k, "_copy").drop("_copy")
+    ranked = top_k(best.join(members, "words_id"), ["_q"], [F.desc("score"), *[F.asc(c) for c in keys]], k)
+    answered = sets.select("_set_id", "_q").join(ranked, "_q")
+    return asked.select(query_key, "_set_id").join(answered, "_set_id").select(query_key, *keys, "score", "rank")
 
 
 def search_top_k(
@@ -169,6 +206,5 @@ def search_top_k(
     k1: float = 1.2,
     b: float = 0.75,
 ) -> DataFrame:
-    """Index the corpus, store the index in the shared folder, and search it."""
-    index = materialize(build_index(corpus, keys, text), "search-index")
-    return search_index(index, keys, queries, query_key, query_text, k, k1, b)
+    """Index the corpus and search it."""
+    return search_index(build_index(corpus, keys, text), queries, query_key, query_text, k, k1, b)

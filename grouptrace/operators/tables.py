@@ -68,7 +68,8 @@ def refresh_from(table: DataFrame, source: DataFrame, keys: Sequence[str], updat
 
 def append_keys(work: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Add literal keys to a work list; repeated keys and keys already listed are added once."""
-    extra = work.sparkSession.createDataFrame([(k,) for k in keys], f"{column} string")
+    literals = F.array(*[F.lit(k) for k in keys])
+    extra = work.sparkSession.range(1).select(F.explode(literals).alias(column))
     return insert_if_absent(work, extra, [column])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grouptrace.functions.text import strip_leading_chars
 from grouptrace.functions.values import any_true, exact_sum, yes_no, yes_no_text
-from grouptrace.operators.joins import broadcast_small, left_join_fanout
+from grouptrace.operators.joins import left_join_fanout
 from grouptrace.operators.reshape import cross_with_list
 from grouptrace.plans.panel import OWN_ID_CHARS
 
@@ -48,7 +48,7 @@ def network_profile(network: DataFrame, state: str = LOCAL_STATE) -> DataFrame:
 def country_dimension(countries: DataFrame, spanish_names: DataFrame) -> DataFrame:
     """Countries with their Spanish name by two-letter code."""
     names = spanish_names.select(F.col("code").alias("alpha-2"), F.col("country").alias("country_es"))
-    return countries.join(broadcast_small(names), "alpha-2", "left").select(*countries.columns, "country_es")
+    return countries.join(names, "alpha-2", "left").select(*countries.columns, "country_es")
 
 
 def rule_adoption(adoption: DataFrame, countries: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def rule_adoption(adoption: DataFrame, countries: DataFrame) -> DataFrame:
     codes = countries.select("country", F.col("alpha-2").alias("country_code"))
     return (
         adoption.filter(F.col("country").isNotNull())
-        .join(broadcast_small(codes), "country", "left")
+        .join(codes, "country", "left")
         .select("country_code", "country", F.col("year").cast("int").alias("year"), "pillar2", "iir", "utpr", "qdmtt")
     )
 
@@ -123,7 +123,7 @@ def subject_to_rule_by_year(
     having = (
         parents.filter(countries.isNotNull())
         .select("parent_id", "parent_tax_country", F.explode(countries).alias("country_code"))
-        .join(broadcast_small(applied), "country_code")
+        .join(applied, "country_code")
         .groupBy("parent_id", "parent_tax_country", "year")
         .agg(any_true(F.col("_applies")).alias("parent_subject_to_rule"))
     )
@@ -187,7 +187,7 @@ def group_rule_status(
         "parent_id", "year", yes_no_text(F.col("parent_subject_to_rule")).alias("utpr")
     )
     return (
-        parents.join(broadcast_small(flags), "parent_tax_country", "left")
+        parents.join(flags, "parent_tax_country", "left")
         .join(group_revenue, "parent_id", "left")
         .join(answers, ["parent_id", "year"], "left")
         .select(

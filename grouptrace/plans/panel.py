@@ -145,7 +145,8 @@ def local_search_sheet(
         "jurisdiction_code",
         F.replace(F.trim("locality"), F.lit(","), F.lit("")).alias("locality"),
     )
-    known = left_join_fanout(local_ids, wanted.withColumn("_known", F.col("company_number")), ["company_number"])
+    # Documents are stored one per company.
+    known = local_ids.join(wanted.withColumn("_known", F.col("company_number")), "company_number", "left")
     # The number shown is the document's, so it is NULL where no document was found.
     sheet = known.select(
         F.col("_known").alias("company_number"),

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grouptrace.functions.values import yes_no_spanish
-from grouptrace.operators.joins import broadcast_small
 from grouptrace.operators.ranking import spread_row_number
+from grouptrace.session import materialize
 
 # Display headings.
 COUNTRY, PAIS = "Country", "País"
@@ -20,7 +20,7 @@ REVENUE_WITH_UTPR = "Ingreso total de matrices con filiales en países con UTPR
 def _with_spanish_name(summary: DataFrame, countries: DataFrame) -> DataFrame:
     names = countries.select(F.col("alpha-2").alias("parent_tax_country"), "country_es")
     names = names.filter(F.col("parent_tax_country").isNotNull())
-    return summary.join(broadcast_small(names), "parent_tax_country", "left")
+    return summary.join(names, "parent_tax_country", "left")
 
 
 def _by_local_companies(df: DataFrame, *ties: str) -> DataFrame:
@@ -80,6 +80,8 @@ def local_to_parent_display(local_companies: DataFrame) -> DataFrame:
 def ranked_group_table(local_companies: DataFrame) -> DataFrame:
     """Groups ranked by revenue, their local companies numbered by name; missing values first."""
     revenue = "filial_operating_revenue_max"
+    # Range partitioning samples its input first: store it instead of computing it several times.
+    local_companies = materialize(local_companies, "local-companies")
     groups = local_companies.select("parent_id", revenue).distinct()
     ranks = spread_row_number(groups, [F.desc_nulls_first(revenue), F.asc("parent_id")], "parent_rank")
     numbered = spread_row_number(

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from grouptrace.functions.text import name_matches, number_matches
 from grouptrace.functions.values import iso_timestamp
-from grouptrace.operators.joins import left_join_fanout
 from grouptrace.operators.ranking import dense_row_id, distinct_first_seen
 from grouptrace.operators.reshape import map_columns, matching_columns, pivot_sum, unpivot_known
 from grouptrace.operators.sampling import sample_ids
@@ -130,10 +129,10 @@ def detailed_sample(
 ) -> DataFrame:
     """A sample of ids with all their rows, joined to the detail documents; ids without one stay."""
     sampled = sample_ids(entities, "registration_index", fraction, seed).select("registration_index")
-    details = document_summary(documents, link_prefix)
-    details = sample_ids(details, "register_index", fraction, seed)
+    details = sample_ids(document_summary(documents, link_prefix), "register_index", fraction, seed)
+    # Documents are stored one per id, so the right side has no large keys.
     keyed = details.withColumn("registration_index", F.col("register_index"))
-    return left_join_fanout(sampled, keyed, ["registration_index"])
+    return sampled.join(keyed, "registration_index", "left")
 
 
 def sample_without_detail(sample: DataFrame) -> DataFrame:

@@ -57,3 +57,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_input(df: DataFrame) -> DataFrame:
+    """Spread rows that come from fewer files than there are cores, for work that is heavy per row.
+
+    A large table has more files than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
