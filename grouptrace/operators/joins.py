@@ -7,28 +7,45 @@ measured after a shuffle, is under its threshold, and otherwise shuffles.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+def _all_known(columns: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(c).isNotNull() for c in columns])
+
+
+def _distinct_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    return df.filter(_all_known(on)).select(*on).distinct()
+
+
 def left_join_fanout(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join whose right side may repeat one key very often; every match is kept.
 
     Spark splits a hot partition on both sides of an inner join and on the left of an anti join, but
     never on the right of an outer join. So: matched rows by inner join, the rest by anti join against
-    the distinct keys. Rows with a NULL key meet no partner and stay, as in any left join.
+    the distinct keys; both read the same shuffled left side. Rows with a NULL key meet no partner and
+    pass by without a shuffle, where they would all fall into one partition.
     """
     on = list(on)
     extra = [c for c in right.columns if c not in on]
-    matched = left.join(right, on, "inner")
-    unmatched = left.join(right.select(*on).dropna().distinct(), on, "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True).select(*left.columns, *extra)
+    known = _all_known(on)
+    keyed = left.filter(known)
+    matched = keyed.join(right.filter(known), on, "inner")
+    unmatched = keyed.join(_distinct_keys(right, on), on, "left_anti")
+    return (
+        matched.unionByName(unmatched, allowMissingColumns=True)
+        .unionByName(left.filter(~known), allowMissingColumns=True)
+        .select(*left.columns, *extra)
+    )
 
 
 def anti_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of ``left`` without a partner; the right side is reduced to its distinct keys first."""
-    return left.join(right.select(*on).dropna().distinct(), list(on), "left_anti")
+    return left.join(_distinct_keys(right, on), list(on), "left_anti")
 
 
 def semi_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    return left.join(right.select(*on).dropna().distinct(), list(on), "left_semi")
+    return left.join(_distinct_keys(right, on), list(on), "left_semi")
