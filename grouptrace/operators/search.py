@@ -35,12 +35,13 @@ from grouptrace.session import materialize, spread_input
 UNIT = 1e9
 # Scores are reported in millionths; a text within this many billionths of the floor can still tie.
 SLACK = 2_000
-SEED_TOKENS = 3
+# A query's rarest tokens give its first floor: the rarest one, and more while few documents hold them.
+SEED_DOCUMENTS = 1_000
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """``texts``: text_no, words_id, copies, doc_len, terms. ``members``: words_id and document keys."""
+    """``texts``: text_no, words_id, first_keys, copies, doc_len, terms. ``members``: words_id, document keys."""
 
     texts: DataFrame
     members: DataFrame
@@ -76,7 +77,10 @@ def build_index(corpus: DataFrame, keys: Sequence[str], text: str) -> TextIndex:
     )
     rows = materialize(counted, "search-rows")
     texts = rows.groupBy("words_id").agg(
-        F.count("*").alias("copies"), F.max("doc_len").alias("doc_len"), F.first("terms").alias("terms")
+        F.min(F.struct(*keys)).alias("first_keys"),
+        F.count("*").alias("copies"),
+        F.max("doc_len").alias("doc_len"),
+        F.first("terms").alias("terms"),
     )
     numbered = texts.withColumn("text_no", F.monotonically_increasing_id())
     return TextIndex(materialize(numbered, "search-texts"), rows.select("words_id", *keys), tuple(keys))
@@ -127,8 +131,8 @@ def search_index(
 
     per_token = postings.groupBy("token").agg(F.sum("copies").alias("df"), F.max("sat").alias("top"))
     idf = F.log(1 + (documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = per_token.select("token", idf.alias("idf"), (_points(idf, F.col("top")) + 1).alias("bound"))
-    terms = materialize(wanted.join(weighted, "token").select("_q", "token", "idf", "bound"), "search-terms")
+    weighted = per_token.select("token", "df", idf.alias("idf"), (_points(idf, F.col("top")) + 1).alias("bound"))
+    terms = materialize(wanted.join(weighted, "token").select("_q", "token", "df", "idf", "bound"), "search-terms")
 
     hits = postings.select("token", "text_no", "sat")
     points = _points(F.col("idf"), F.col("sat"))
@@ -149,10 +153,12 @@ def search_index(
         return places.filter(F.col("rank") == k).select("_q", (F.col("points") - SLACK).alias("_floor"))
 
     # First floor: texts reached through the rarest tokens.
-    rarest = top_k(terms, ["_q"], [F.desc("bound"), F.asc("token")], SEED_TOKENS)
+    of_query = Window.partitionBy("_q")
+    from_rarest = of_query.orderBy("df", "token").rowsBetween(Window.unboundedPreceding, 0)
+    reached, first = F.sum("df").over(from_rarest), F.row_number().over(of_query.orderBy("df", "token")) == 1
+    rarest = terms.withColumn("_seed", first | (reached <= SEED_DOCUMENTS)).filter("_seed")
     floors = kth_exact(rarest.join(hits, "token").groupBy("_q", "text_no").agg(F.sum(points).alias("points")))
 
-    of_query = Window.partitionBy("_q")
     ascending = of_query.orderBy("bound", "token").rowsBetween(Window.unboundedPreceding, 0)
     planned = (
         terms.join(floors, "_q", "left")
@@ -182,10 +188,11 @@ def search_index(
     scored = alive.select("_q", "text_no", "points").unionByName(added)
     scored = scored.groupBy("_q", "text_no").agg(F.sum("points").alias("points"))
     scored = scored.withColumn("score", F.floor((F.col("points") + 500) / 1000) / 1e6)
-    # rank(), not row_number(): texts that tie on the last place are told apart by their documents' keys.
-    by_score = Window.partitionBy("_q").orderBy(F.desc("score"))
-    best = scored.withColumn("_place", F.rank().over(by_score)).filter(F.col("_place") <= k)
-    best = best.join(index.texts.select("text_no", "words_id"), "text_no").select("_q", "words_id", "score")
+    # Among texts with equal scores, those of the smallest document keys win. The keys are only fetched
+    # for texts that reach the k-th place, which rank() keeps together with all their ties.
+    placed = scored.withColumn("_place", F.rank().over(of_query.orderBy(F.desc("score")))).filter(F.col("_place") <= k)
+    placed = placed.join(index.texts.select("text_no", "words_id", "first_keys"), "text_no")
+    best = top_k(placed, ["_q"], [F.desc("score"), F.asc("first_keys")], k).select("_q", "words_id", "score")
     best = materialize(best, "search-best")
 
     members = index.members.join(best.select("words_id").distinct(), "words_id", "left_semi")

@@ -51,7 +51,7 @@ def test_pruning_does_not_depend_on_the_seeds(spark, rows, monkeypatch):
     corpus = spark.createDataFrame([(i, f"the {'rare' if i == 7 else 'common'} word w{chr(97 + i)}") for i in range(20)], "d int, t string")
     queries = spark.createDataFrame([(1, "the rare word"), (2, "common the")], "q int, t string")
     with_seeds = rows(search.search_top_k(queries, corpus, "q", "t", ["d"], "t", 2))
-    monkeypatch.setattr(search, "SEED_TOKENS", 0)
+    monkeypatch.setattr(search, "SEED_DOCUMENTS", 0)
     assert rows(search.search_top_k(queries, corpus, "q", "t", ["d"], "t", 2)) == with_seeds
     assert [r[1] for r in with_seeds if r[0] == 1 and r[3] == 1] == [7]
 
