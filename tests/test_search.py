@@ -30,7 +30,7 @@ def brute_force(queries, corpus, k):
     return result
 
 
-@pytest.mark.parametrize("seed, k", [(1, 1), (2, 3), (3, 1), (4, 7)])
+@pytest.mark.parametrize("seed, k", [(1, 1), (2, 3), (4, 7)])
 def test_search_equals_brute_force(spark, seed, k):
     rng = random.Random(seed)
     vocabulary = [a + b for a in "bcdfgh" for b in "aeiou"]
