@@ -76,14 +76,12 @@ def spread_row_number(
     their row count added. Only the first group of a slice can have such rows, so the table of
     offsets has at most one row per slice. ``order`` must be unique within a group.
     """
-    spark = df.sparkSession
-    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = list(partition_by)
     keys = [F.col(c).asc_nulls_first() for c in group] + list(order)
+    # Without a given number AQE merges neighbouring ranges to slices of its advisory size.
+    ranged = df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
     # Written once: the slice of a row must be the same for the numbering and for the counts.
-    placed = materialize(
-        df.repartitionByRange(slices, *keys).withColumn("_slice", F.spark_partition_id()), "sliced"
-    )
+    placed = materialize(ranged.withColumn("_slice", F.spark_partition_id()), "sliced")
     in_slice = Window.partitionBy("_slice", *group).orderBy(*order)
     numbered = placed.withColumn("_inside", F.row_number().over(in_slice))
 
