@@ -62,7 +62,8 @@ def joined_list(col: str) -> Column:
 NAME_KEY = "strip_accents(replace(replace(rtrim(ltrim(lower(nfc_normalize({0})))), '.', ''), ',', ''))"
 _LIST = "[" + ", ".join(PANEL_VALUES) + "]"
 WORKSHEET = f"""
-    select company_id, parent_id, len(list_filter({_LIST}, lambda d: d is not null)) as num_years_available,
+    select company_id, parent_id, cast(len(list_filter({_LIST}, lambda d: d is not null)) as int)
+            as num_years_available,
         len(list_filter({_LIST}, lambda d: d is not null)) = 0 as no_revenue_data,
         list_max({_LIST}) as operating_revenue_max,
         len(list_filter({_LIST}, lambda d: d > {ANY_YEAR_THRESHOLD})) > 0 as qualified
@@ -95,11 +96,12 @@ register("any_year_worksheet", WORKSHEET)(worksheet)
 CONSISTENT = f"""
     select *, from_yearly >= 2 as unused from (
         select b.*,
-            len(list_filter([operating_revenue_year_1_eur, operating_revenue_year_2_eur,
-                operating_revenue_year_3_eur, operating_revenue_year_4_eur], lambda v: v is not null))
+            cast(len(list_filter([operating_revenue_year_1_eur, operating_revenue_year_2_eur,
+                operating_revenue_year_3_eur, operating_revenue_year_4_eur], lambda v: v is not null)) as int)
                 as operating_revenue_num_years_available,
-            len(list_filter([operating_revenue_year_1_eur, operating_revenue_year_2_eur,
-                operating_revenue_year_3_eur, operating_revenue_year_4_eur], lambda v: v >= {CONSISTENT_THRESHOLD}))
+            cast(len(list_filter([operating_revenue_year_1_eur, operating_revenue_year_2_eur,
+                operating_revenue_year_3_eur, operating_revenue_year_4_eur],
+                lambda v: v >= {CONSISTENT_THRESHOLD})) as int)
                 as operating_revenue_num_years_over_threshold,
             operating_revenue_num_years_over_threshold as from_yearly
         from {{yearly_batch}} b)
@@ -551,7 +553,7 @@ def detail_dates(t: Inputs) -> DataFrame:
 
 @register("events_by_year", f"""
     select event_year, {", ".join(f"sum(n) filter (event_name = '{e}')::bigint as {e}" for e in registry.EVENTS)}
-    from (select year(event_date) as event_year, event_name, count(*) as n
+    from (select cast(year(event_date) as int) as event_year, event_name, count(*) as n
           from ({" union all ".join(
               f"select {c} as event_date, '{c[5:]}' as event_name, corporation_name from ({DATES})" for c in _DATES)})
           where event_date is not null and corporation_name ilike '%coop%' group by all)
@@ -680,7 +682,7 @@ def _bm25_sql(queries: str, corpus: str, keys: str, k: int) -> str:
     """Plain BM25 over all pairs; ``queries`` gives (query, text), ``corpus`` gives the keys and text."""
     words = "list_filter(string_split_regex({0}, '[^a-z]+'), lambda w: w <> '')".format(NAME_KEY.format("text"))
     return f"""
-    with recursive query_rows as ({queries}), corpus as ({corpus}),
+    with query_rows as ({queries}), corpus as ({corpus}),
     words as (select {keys}, {words} as ws from corpus),
     stats as (select count(*) as n, avg(len(ws)) as mean_len from words),
     tf as (select {keys}, doc_len, token, count(*) as tf from (
@@ -697,7 +699,7 @@ def _bm25_sql(queries: str, corpus: str, keys: str, k: int) -> str:
         select query, {keys}, cast((cast(sum(w) as bigint) + 500) // 1000 as double) / 1e6 as score
         from weights group by all)
     select * from (
-        select *, row_number() over (partition by query order by score desc, {keys}) as rank from scores)
+        select *, cast(row_number() over (partition by query order by score desc, {keys}) as int) as rank from scores)
     where rank <= {k}"""
 
 

@@ -276,7 +276,7 @@ VIEWS: dict[str, str] = {
     # Yearly totals: each step reduces the rows before the next shuffle. Per order in whole cents and
     # hundredths of cents, above that as decimals.
     "line_cents": """
-        select l_orderkey, year(l_shipdate) as yr, cast(round(l_extendedprice * 100) as bigint) as cents,
+        select l_orderkey, cast(year(l_shipdate) as int) as yr, cast(round(l_extendedprice * 100) as bigint) as cents,
             100 - cast(round(l_discount * 100) as bigint) as kept, cast(round(l_tax * 100) as bigint) as taxed
         from {lineitem}""",
     "order_year_totals": """

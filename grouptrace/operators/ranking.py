@@ -51,12 +51,13 @@ def dense_row_id(
         blocks.groupBy(source, "_block")
         .agg(F.count("*").alias("_rows"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
+        .select(F.col(source).alias("_of_source"), F.col("_block").alias("_of_block"), "_before")
     )
+    same = F.col(source).eqNullSafe(F.col("_of_source")) & F.col("_block").eqNullSafe(F.col("_of_block"))
     inside = Window.partitionBy(source, "_block").orderBy(ordinal)
     return (
         blocks.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, [source, "_block"])
+        .join(offsets, same)
         .withColumn(name, F.col("_before") + F.col("_inside"))
         .select(name, *df.columns)
     )
