@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grouptrace.functions.text import strip_leading_chars
 from grouptrace.functions.values import any_true, exact_sum, yes_no, yes_no_text
-from grouptrace.operators.joins import left_join_fanout
+from grouptrace.operators.joins import left_join_fanout, semi_join
 from grouptrace.operators.reshape import cross_with_list
 from grouptrace.plans.panel import OWN_ID_CHARS
 
@@ -89,11 +89,9 @@ def foreign_subsidiary_countries(network: DataFrame) -> DataFrame:
         .groupBy("parent_id", "tax_country")
         .agg(any_true(subsidiary).alias("_subsidiary"))
     )
-    parents = (
-        rows.filter(F.col("company_id").isNotNull())
-        .select(F.col("company_id").alias("parent_id"), F.col("tax_country").alias("parent_tax_country"))
-        .distinct()
-    )
+    # Only companies that are somebody's parent take part in the join.
+    places = rows.select(F.col("company_id").alias("parent_id"), F.col("tax_country").alias("parent_tax_country"))
+    parents = semi_join(places, rows, ["parent_id"]).distinct()
     abroad = F.col("_subsidiary") & (F.col("tax_country") != F.col("parent_tax_country"))
     countries = F.array_sort(F.collect_set(F.when(abroad, F.col("tax_country"))))
     return (
