@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grouptrace.llm import substring_dedup, suffix_dedup
+from grouptrace.llm import jaccard_join, substring_dedup, suffix_dedup
 from grouptrace.session import apply_runtime_conf
 
 
@@ -25,9 +25,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_jaccard_join": op8_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {}
