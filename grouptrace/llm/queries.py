@@ -5,14 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grouptrace.llm import jaccard_join, substring_dedup, suffix_dedup
+import public_tokenizers
+from grouptrace.llm import byte_bpe, jaccard_join, license_scan, quality_rules, substring_dedup, suffix_dedup, words
 from grouptrace.session import apply_runtime_conf
 
 
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    words.small_batches(spark)
     return apply_runtime_conf(spark).read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents", "doc_id", "text")
+    coded = byte_bpe.coded(documents, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return coded.select(
+        "row.doc_id", (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"),
+        F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.without_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"))
     return cut.select(
@@ -20,6 +38,14 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judged(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines",
+        "n_stop_words",
+    )
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = substring_dedup.parsed(_table(spark, sf_dir, "documents", "doc_id", "text"))
     return parsed.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -30,9 +56,15 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op3_license_scan": op3_license_scan,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_jaccard_join": op8_jaccard_join,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op3_license_scan": license_scan.oracle_sql(),
+    "op6_quality_rules": quality_rules.ORACLE_SQL,
+}

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 U = np.uint64
 CHUNK_BYTES = 2_000_000
@@ -126,6 +127,11 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = end
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are long: few of them at a time go to Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def distinct_per_text(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, key), sorted by them."""
     order = np.lexsort((key, text))
