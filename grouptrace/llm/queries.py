@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from grouptrace.llm import byte_bpe, jaccard_join, license_scan, quality_rules, substring_dedup, suffix_dedup, words
+from grouptrace.llm import byte_bpe, jaccard_join, license_scan, quality_rules, substring_dedup, suffix_dedup, toxicity, words
 from grouptrace.session import apply_runtime_conf
 
 
@@ -55,6 +55,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = _table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return toxicity.classified(documents, labels).select("row.doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_license_scan": op3_license_scan,
@@ -62,6 +68,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_jaccard_join": op8_jaccard_join,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
