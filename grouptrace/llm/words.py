@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD1342543DE82EF95
 _SPACE = np.zeros(256, dtype=bool)
@@ -60,6 +61,11 @@ def _range_hash(values: np.ndarray, powers: _Powers, start: np.ndarray, end: np.
     return mix((sums[end] - sums[start]) * down[start])
 
 
+def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges of some bytes."""
+    return _range_hash(_BYTE_VALUES[data], _bytes_powers, start, end)
+
+
 class Words:
     """The words of some texts: per word its byte range, text number and hash; per text its word range."""
 
@@ -127,6 +133,28 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = end
 
 
+def packed(text: Column) -> Column:
+    """Texts compressed for a shuffle, each behind its length; null stays null."""
+
+    @F.arrow_udf("binary")
+    def pack(column: pa.Array) -> pa.Array:
+        codec = pa.Codec("zstd")
+        raw = (None if x is None else x.encode() for x in column.to_pylist())
+        out = [None if x is None else len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in raw]
+        return pa.array(out, pa.binary())
+
+    return pack(text)
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd")
+    return pa.array(
+        [None if x is None else codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True)
+         for x in column.to_pylist()],
+        pa.large_binary(),
+    )
+
+
 def small_batches(spark: SparkSession) -> None:
     """Whole texts are long: few of them at a time go to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
