@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from grouptrace.llm import byte_bpe, jaccard_join, license_scan, quality_rules, substring_dedup, suffix_dedup, toxicity, words
+from grouptrace.llm import byte_bpe, jaccard_join, license_scan, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filter, words
 from grouptrace.session import apply_runtime_conf
 
 
@@ -55,6 +55,14 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judged(
+        _table(spark, sf_dir, "pages", "page_id", "url"), url_filter.BLOCK_RULES, url_filter.ALLOW_RULES,
+        url_filter.LISTED_NAMES,
+    )
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents", "doc_id", "text")
     labels = _table(spark, sf_dir, "labels", "doc_id", "toxic")
@@ -68,10 +76,12 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
     "op3_license_scan": license_scan.oracle_sql(),
     "op6_quality_rules": quality_rules.ORACLE_SQL,
+    "op9_url_filter": url_filter.ORACLE_SQL,
 }
