@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from grouptrace.llm import byte_bpe, jaccard_join, license_scan, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filter, words
+from grouptrace.llm import byte_bpe, jaccard_join, license_scan, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filter, warc, words
 from grouptrace.session import apply_runtime_conf
 
 
@@ -38,6 +38,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archived(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judged(_table(spark, sf_dir, "documents", "doc_id", "text"))
     return judged.select(
@@ -73,6 +78,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_license_scan": op3_license_scan,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_jaccard_join": op8_jaccard_join,
@@ -82,6 +88,7 @@ QUERIES = {
 
 ORACLE = {
     "op3_license_scan": license_scan.oracle_sql(),
+    "op5_warc": warc.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op9_url_filter": url_filter.ORACLE_SQL,
 }
