@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from grouptrace.llm import byte_bpe, jaccard_join, license_scan, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filter, warc, words
+from grouptrace.llm import byte_bpe, decontamination, jaccard_join, license_scan, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filter, warc, words
 from grouptrace.session import apply_runtime_conf
 
 
@@ -27,6 +27,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontamination.leaks(documents, _table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scanned(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -76,6 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_decontamination": op2_decontamination,
     "op3_license_scan": op3_license_scan,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_warc": op5_warc,

@@ -66,6 +66,11 @@ def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return _range_hash(_BYTE_VALUES[data], _bytes_powers, start, end)
 
 
+def sequence_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of ranges of a sequence of 64-bit codes."""
+    return _range_hash(codes, _words_powers, start, end)
+
+
 class Words:
     """The words of some texts: per word its byte range, text number and hash; per text its word range."""
 
