@@ -96,18 +96,18 @@ register("any_year_worksheet", WORKSHEET)(worksheet)
 CONSISTENT = f"""
     select *, from_yearly >= 2 as unused from (
         select b.*,
-            cast(len(list_filter([operating_revenue_year_1_eur, operating_revenue_year_2_eur,
-                operating_revenue_year_3_eur, operating_revenue_year_4_eur], lambda v: v is not null)) as int)
+            cast(len(list_filter([operating_revenue_year_1_eur_th, operating_revenue_year_2_eur_th,
+                operating_revenue_year_3_eur_th, operating_revenue_year_4_eur_th], lambda v: v is not null)) as int)
                 as operating_revenue_num_years_available,
-            cast(len(list_filter([operating_revenue_year_1_eur, operating_revenue_year_2_eur,
-                operating_revenue_year_3_eur, operating_revenue_year_4_eur],
+            cast(len(list_filter([operating_revenue_year_1_eur_th, operating_revenue_year_2_eur_th,
+                operating_revenue_year_3_eur_th, operating_revenue_year_4_eur_th],
                 lambda v: v >= {CONSISTENT_THRESHOLD})) as int)
                 as operating_revenue_num_years_over_threshold,
             operating_revenue_num_years_over_threshold as from_yearly
         from {{yearly_batch}} b)
     where case when operating_revenue_num_years_available >= 2
         then operating_revenue_num_years_over_threshold >= 2
-        else coalesce(operating_revenue_year_last_eur >= {CONSISTENT_THRESHOLD}, false) end"""
+        else coalesce(operating_revenue_year_last_eur_th >= {CONSISTENT_THRESHOLD}, false) end"""
 
 
 @register("consistent_threshold", f"""
@@ -124,14 +124,27 @@ def qualified_local_companies(t: Inputs) -> DataFrame:
     return panel.qualified_local_companies(qualified_groups(t), t["revenue_wide"])
 
 
-@register("unit_branch", """
-    select file_name, company_id, rev_nominal_last / 1e3 as rev_last_th, rev_nominal_1 / 1e3 as rev_1_th,
-        rev_nominal_2 / 1e3 as rev_2_th
-    from {nominal_batch}""")
+_UNITS = ", ".join(f"operating_revenue_year_{y}_eur / 1e3 as operating_revenue_year_{y}_eur_th" for y in ("last", 1, 2, 3, 4))
+THOUSANDS = f"select file_name, company_id, {_UNITS} from {{nominal_batch}}"
+
+
+@register("unit_branch", THOUSANDS)
 def unit_branch(t: Inputs) -> DataFrame:
-    batch = panel.revenue_in_thousands(t["nominal_batch"], "_th$", "^rev_nominal", "_th")
-    kept = batch.drop(*reshape.matching_columns(batch, r"^rev_nominal_\w+$(?<!_th)"))
-    return reshape.rename_by(kept, lambda c: c.replace("nominal_", ""))
+    return panel.revenue_in_thousands(t["nominal_batch"], "_eur_th$", "_eur$", "_th")
+
+
+@register("consistent_threshold_nominal", f"""
+    select *, cast(len(list_filter(ys, lambda v: v is not null)) as int) as operating_revenue_num_years_available,
+        cast(len(list_filter(ys, lambda v: v >= {CONSISTENT_THRESHOLD})) as int)
+            as operating_revenue_num_years_over_threshold, true as operating_revenue_over_threshold
+    from (select *, [operating_revenue_year_1_eur_th, operating_revenue_year_2_eur_th,
+        operating_revenue_year_3_eur_th, operating_revenue_year_4_eur_th] as ys from ({THOUSANDS}))
+    where case when len(list_filter(ys, lambda v: v is not null)) >= 2
+        then len(list_filter(ys, lambda v: v >= {CONSISTENT_THRESHOLD})) >= 2
+        else coalesce(operating_revenue_year_last_eur_th >= {CONSISTENT_THRESHOLD}, false) end""".replace("select *, cast", "select * exclude (ys), cast", 1))
+def consistent_threshold_nominal(t: Inputs) -> DataFrame:
+    passed = panel.consistent_threshold(unit_branch(t), threshold=CONSISTENT_THRESHOLD)
+    return passed.drop("operating_revenue_yearly_values")
 
 
 @register("merge_batches", """
@@ -185,11 +198,11 @@ def null_tokens(t: Inputs) -> DataFrame:
     select company_id, cast(first_number as string) as batch, row_in_file, company_name from {batch_numbers}""")
 def positional_ids(t: Inputs) -> DataFrame:
     rows = t["batch_numbers"].select(F.col("first_number").cast("string").alias("batch"), "row_in_file", "company_name", "company_id")
-    # One id list per batch of at most 200 rows; a gap in the keys keeps its place as an empty id.
+    # One id list per batch; a gap in the keys keeps its place as an empty id.
     placed = rows.groupBy("batch").agg(F.collect_list(F.struct("row_in_file", "company_id")).alias("_ids"))
     by_place = F.map_from_entries("_ids")
     ids = F.array_join(
-        F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.coalesce(F.try_element_at(by_place, i.cast("bigint")), F.lit(""))), ", "
+        F.transform(F.sequence(F.lit(1).cast("bigint"), F.array_max(F.map_keys(by_place))), lambda i: F.coalesce(F.try_element_at(by_place, i), F.lit(""))), ", "
     )
     lists = placed.select("batch", ids.alias("ids"))
     return readers.attach_positional_ids(rows.drop("company_id"), lists, "batch", "row_in_file", "ids", "company_id")
@@ -587,9 +600,9 @@ register("sample_fixed_n", """
         select case when decree_id % 4 = 0 then 0 else 1 end as law,
             case when decree_id % 4 = 0 then 'Law A' else 'Law B' end as decree, decree_id, grantee,
             '2020-01-' || cast(10 + decree_id % 20 as string) as approval_date
-        from {decrees})""")
+        from {decree_texts})""")
 def decree_list(t: Inputs) -> DataFrame:
-    dated = t["decrees"].withColumn(
+    dated = t["decree_texts"].withColumn(
         "approval_date", F.concat(F.lit("2020-01-"), (10 + F.col("decree_id") % 20).cast("string"))
     )
     rows = dated.withColumnRenamed("decree_id", "position")
@@ -632,16 +645,19 @@ _NAME_SEARCHES = {
 }
 for _name, (_text, _where) in _NAME_SEARCHES.items():
     register(f"name_search_{_name}", f"""
-    select {_SEARCH_COLUMNS} from {{registry}} where {_where}
-    order by registration_number, record_id limit 1000""")(
+    select {_SEARCH_COLUMNS} from {{registry}} where {_where}""")(
         lambda t, m=_name, x=_text: registry.name_search(t["registry"], m, x).select(*_SEARCH_COLUMNS.split(", ")))
 
 _NUMBER_SEARCHES = {"equal": "= 120", "greater": "> 120", "less": "< 120", "at_least": ">= 120", "at_most": "<= 120"}
 for _name, _where in _NUMBER_SEARCHES.items():
     register(f"number_search_{_name}", f"""
-    select {_SEARCH_COLUMNS} from {{registry}} where registration_number {_where}
-    order by registration_number, record_id limit 500""")(
-        lambda t, m=_name: registry.number_search(t["registry"], m, 120, 500).select(*_SEARCH_COLUMNS.split(", ")))
+    select {_SEARCH_COLUMNS} from {{registry}} where registration_number {_where}""")(
+        lambda t, m=_name: registry.number_search(t["registry"], m, 120).select(*_SEARCH_COLUMNS.split(", ")))
+
+register("number_search_first_page", f"""
+    select {_SEARCH_COLUMNS} from {{registry}} where registration_number > 120
+    order by registration_number, record_id limit 250""")(
+        lambda t: registry.number_search(t["registry"], "greater", 120, 250).select(*_SEARCH_COLUMNS.split(", ")))
 
 
 # Matching ---------------------------------------------------------------------------------------
@@ -654,9 +670,9 @@ EXACT = f"""
 
 
 @register("normalized_names", f"""
-    select doc_id, {NAME_KEY.format("line")} as name from {{first_lines}}""")
+    select doc_id, {NAME_KEY.format("spaced")} as name from {{spaced_texts}}""")
 def normalized_names(t: Inputs) -> DataFrame:
-    return t["first_lines"].select("doc_id", normalize_name(F.col("line")).alias("name"))
+    return t["spaced_texts"].select("doc_id", normalize_name(F.col("spaced")).alias("name"))
 
 
 def name_entities(t: Inputs) -> DataFrame:
@@ -865,20 +881,37 @@ def json_documents_parse(t: Inputs) -> DataFrame:
     )
 
 
-@register("batch_files_scan", """
-    select file_name, company_id, try_cast(rev_2001 as double) as rev_2001, rev_last from {data_batches}""")
+_DATA_COLUMNS = ["company_id", "company_name", "parent_id", *(f"operating_revenue_year_{y}_eur_th" for y in (2001, 2000, "last"))]
+_DATA_FILES = """
+    select file_name, row_in_file, company_id, company_name, parent_id, rev_2001 as operating_revenue_year_2001_eur_th,
+        rev_2000 as operating_revenue_year_2000_eur_th, rev_last as operating_revenue_year_last_eur_th
+    from {data_batches} join {data_positions} using (company_id)"""
+
+
+def data_batches_read(t: Inputs) -> DataFrame:
+    rows = readers.read_batches(t.spark, f"{t.batch_folder()}/*DATA*.csv", _DATA_COLUMNS)
+    return readers.clean_tokens(rows, {c: "double" for c in _DATA_COLUMNS[3:]})
+
+
+@register("batch_files_scan", _DATA_FILES)
 def batch_files_scan(t: Inputs) -> DataFrame:
-    """Batches written as one CSV folder per batch name and read back in one scan."""
-    path = work_path(t.spark, "batches")
-    cells = t["data_batches"].select(
-        F.col("file_name").alias("batch"), "company_id",
-        F.coalesce(F.col("rev_2001").cast("string"), F.lit("n.a.")).alias("rev_2001"),
-        F.coalesce(F.col("rev_last").cast("string"), F.lit("#N/A")).alias("rev_last"),
-    )
-    sinks.write_csv(cells, path)
-    rows = readers.read_batch_csv(t.spark, path, ["batch", "company_id", "rev_2001", "rev_last"])
-    clean = readers.clean_tokens(rows, {"rev_2001": "double", "rev_last": "double"})
-    return clean.select(F.col("batch").alias("file_name"), "company_id", "rev_2001", "rev_last")
+    return data_batches_read(t)
+
+
+@register("merge_batches_from_files", f"""
+    select d.file_name, s.own_id, d.* exclude (file_name)
+    from ({_DATA_FILES}) d left join (
+        select matched_company_id, own_id from {{search_batches}} where matched_company_id is not null) s
+    on d.company_id = s.matched_company_id""")
+def merge_batches_from_files(t: Inputs) -> DataFrame:
+    found = readers.read_batches(t.spark, f"{t.batch_folder()}/*SEARCH*.csv", ["own_id", "matched_company_id", "score"])
+    return panel.merge_data_batches(data_batches_read(t), found)
+
+
+@register("batch_catalog_from_files", CATALOG.replace("file_path, parse", "parse").replace("{batch_files}", "{batch_files}"))
+def batch_catalog_from_files(t: Inputs) -> DataFrame:
+    """The folder's own listing; its path differs from run to run and is left out."""
+    return readers.batch_catalog(readers.list_files(t.spark, t.batch_folder(), "*.csv")).drop("file_path")
 
 
 @register("dates_unpivot", f"""

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import string
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from grouptrace.session import work_path
 
@@ -49,16 +51,21 @@ VIEWS: dict[str, str] = {
         select 'Batch ' || cast(cast(floor(o_custkey / 100.0) as bigint) as string) || '.csv' as file_name,
             company_id, company_name, 'US' as country_code,
             case when o_custkey % 41 = 0 then 'PR' end as state,
-            rev_last as operating_revenue_year_last_eur,
-            rev_2001 as operating_revenue_year_1_eur, rev_2000 as operating_revenue_year_2_eur,
-            rev_1999 as operating_revenue_year_3_eur, rev_1998 as operating_revenue_year_4_eur
+            rev_last as operating_revenue_year_last_eur_th,
+            rev_2001 as operating_revenue_year_1_eur_th, rev_2000 as operating_revenue_year_2_eur_th,
+            rev_1999 as operating_revenue_year_3_eur_th, rev_1998 as operating_revenue_year_4_eur_th
         from {revenue_wide}""",
-    # The same batch in plain EUR, without the thousands columns.
+    # The same batch in plain EUR, without the thousands columns, and a company that misses the threshold by its unit.
     "nominal_batch": """
-        select file_name, company_id, operating_revenue_year_last_eur * 1000 as rev_nominal_last,
-            operating_revenue_year_1_eur * 1000 as rev_nominal_1,
-            operating_revenue_year_2_eur * 1000 as rev_nominal_2
-        from {yearly_batch}""",
+        select file_name, company_id, operating_revenue_year_last_eur_th * 1000 as operating_revenue_year_last_eur,
+            operating_revenue_year_1_eur_th * 1000 as operating_revenue_year_1_eur,
+            operating_revenue_year_2_eur_th * 1000 as operating_revenue_year_2_eur,
+            operating_revenue_year_3_eur_th * 1000 as operating_revenue_year_3_eur,
+            operating_revenue_year_4_eur_th * 1000 as operating_revenue_year_4_eur
+        from {yearly_batch}
+        union all
+        select distinct 'Batch 0.csv', 'small', cast(800000 as double), cast(800000 as double), cast(800000 as double),
+            cast(null as double), cast(null as double) from {region}""",
     "revenue_text": """
         select company_id,
             coalesce(cast(cast(rev_2001 as decimal(18,2)) as string),
@@ -77,6 +84,8 @@ VIEWS: dict[str, str] = {
                 || '.csv' as file_name,
             company_id, company_name, parent_id, rev_2001, rev_2000, rev_last
         from {batch_numbers}""",
+    "data_positions": """
+        select company_id, row_in_file from {batch_numbers}""",
     # A second own id for every 20th company (fan-out), no match for every 13th.
     "search_batches": """
         select 'Export (SEARCH with ids) ' || cast(first_number as string) || '-' || cast(first_number + 199 as string)
@@ -185,7 +194,7 @@ VIEWS: dict[str, str] = {
     "entity_orders": f"""
         select o_custkey, {_first_order("F", "effective")}, {_first_order("O", "formed")},
             {_first_order("P", "expiration", "max")}, {_first_order("F", "termination", "max")}
-        from {{orders}} where o_orderpriority in ('1-URGENT', '2-HIGH') group by o_custkey""",
+        from {{orders}} group by o_custkey""",
     "entity_flat": """
         select cast(c_custkey as string) || '-112' as corp_register_index,
             case c_custkey % 3 when 0 then 'Cooperativa ' when 1 then 'Servicios Coop ' else 'Empresas ' end
@@ -225,17 +234,27 @@ VIEWS: dict[str, str] = {
             c_custkey % 3 as owners
         from {customer} where c_custkey % 7 <> 0""",
     "sheet_ids": """
-        select cast(c_custkey as string) || '-112' as company_number from {customer} where c_custkey % 2 = 0""",
-    # Names out of documents: the first line.
-    "first_lines": """
-        select doc_id, split_part(text, chr(10), 1) as line from {documents}""",
+        select cast(c_custkey as string) || '-112' as company_number from {customer}""",
+    # Whole texts between spaces of several kinds, also in their midst.
+    "spaced_texts": """
+        select doc_id, case doc_id % 4 when 0 then text when 1 then ' ' || ' ' || text || ' '
+            when 2 then '  ' || replace(text, ' ', ' ') || ' ' else ' ' || text || chr(9) end as spaced
+        from {documents}""",
+    # Names out of documents: every line of every text. Some stand between no-break and em spaces.
+    "text_lines": """
+        select distinct doc_id, line from (select doc_id, unnest(string_split(text, chr(10))) as line from {documents})
+        where line <> ''""",
     "decrees": """
-        select doc_id as decree_id, line as grantee from {first_lines} where doc_id % 2 = 0""",
+        select doc_id as decree_id, case when doc_id % 6 = 0 then ' ' || line || ' ' else line end as grantee
+        from {text_lines} where doc_id % 2 = 0""",
+    "decree_texts": """
+        select doc_id as decree_id, text as grantee from {documents}""",
     "name_records": """
-        select doc_id as record_id, cast(doc_id as string) || '-111' as registration_index, line as corp_name,
+        select doc_id as record_id, cast(doc_id as string) || '-111' as registration_index,
+            case when doc_id % 5 = 0 then ' ' || ' ' || line || ' ' else line end as corp_name,
             cast(doc_id % 5 as bigint) as status_id,
             case doc_id % 5 when 0 then 'EXPIRADA' when 1 then 'ACTIVA' else 'CANCELADA' end as status_es
-        from {first_lines} where doc_id % 2 = 1 and line is not null""",
+        from {text_lines} where doc_id % 2 = 1""",
     # Review tables: stored candidates, the reviewers' edits, search results.
     "review_search": """
         select 'G' || cast(doc_id as string) as grantee, cast(doc_id % 97 as string) || '-111' as registration_index,
@@ -307,6 +326,23 @@ VIEWS: dict[str, str] = {
 }
 
 
+def write_named_csv(df: DataFrame, folder: str, name: str, order: str) -> None:
+    """One CSV file for each value of ``name``, its rows in the given order. Spark writes, the files are then renamed."""
+    spark = df.sparkSession
+    parts = work_path(spark, "named")
+    sorted_rows = df.repartition(name).sortWithinPartitions(name, order).drop(order)
+    sorted_rows.write.partitionBy(name).option("header", True).option("escape", '"').csv(parts)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source = hadoop.Path(parts)
+    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop.Path(folder))
+    for status in files.listStatus(source):
+        key, _, value = status.getPath().getName().partition("=")
+        if key == name:
+            written = files.globStatus(hadoop.Path(status.getPath(), "part-*"))
+            files.rename(written[0].getPath(), hadoop.Path(folder, unquote(value)))
+
+
 def names_in(sql: str) -> list[str]:
     """The tables and views a text refers to."""
     return list(dict.fromkeys(field for _, field, _, _ in string.Formatter().parse(sql) if field))
@@ -323,11 +359,38 @@ class Inputs:
             if name in TABLES:
                 self._views[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             else:
-                # Spark quotes names with backticks.
-                sql = VIEWS[name].replace('"alpha-2"', "`alpha-2`")
+                # Spark quotes names with backticks and has names of its own for lists.
+                sql = VIEWS[name].replace('"alpha-2"', "`alpha-2`").replace("unnest(string_split(", "explode(split(")
                 self._views[name] = self.spark.sql(sql, **{n: self[n] for n in names_in(sql)})
         return self._views[name]
 
+    def batch_folder(self) -> str:
+        """A folder of exported batches, one CSV file each, named and headed as the exports are.
+
+        Headers hold line breaks, and the columns of every other file stand in another order. Lock files lie beside them.
+        """
+        if "batches" not in self._landed:
+            folder = work_path(self.spark, "batches")
+            data = self["data_batches"].join(self["data_positions"], "company_id")
+            text = lambda c, token: F.coalesce(F.col(c).cast("string"), F.lit(token))
+            cells = data.select(
+                "file_name", "row_in_file", F.col("company_name").alias("Company name Latin alphabet"),
+                F.col("company_id").alias("BvD ID number"), F.col("parent_id").alias("Model data - Global parent bvdid"),
+                text("rev_2001", "n.a.").alias("Operating revenue (Turnover)\nth EUR 2001"),
+                text("rev_2000", "#N/A").alias("Operating revenue (Turnover)\nth EUR 2000"),
+                text("rev_last", "n.a.").alias("Operating revenue (Turnover)\nth EUR Last avail. value"),
+            )
+            other = cells.select("file_name", "row_in_file", *[f"`{c}`" for c in reversed(cells.columns[2:])])
+            turned = F.length("file_name") % 2 == 0
+            found = self["search_batches"].select(
+                "file_name", "row_in_file", F.col("own_id").alias("Own ID"),
+                F.col("matched_company_id").alias("Matched BvD ID"), F.col("score").alias("Score"))
+            locks = cells.filter("row_in_file = 1").withColumn("file_name", F.concat(F.lit("~$"), "file_name"))
+            for part in (cells.filter(turned), other.filter(~turned), found, locks):
+                write_named_csv(part, folder, "file_name", "row_in_file")
+            self._landed["batches"] = folder
+        return self._landed["batches"]
+
     def landed(self, name: str, documents: Callable[[], DataFrame]) -> str:
         """Path of a set of JSON documents, written to the shared folder when it is first asked for."""
         if name not in self._landed:

@@ -29,15 +29,20 @@ def _accent_pairs() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+def trim_spaces(col: Column) -> Column:
+    """Strip leading and trailing Unicode spaces; tabs and line breaks stay."""
+    return F.regexp_replace(col, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def normalize_name(col: Column) -> Column:
-    """Lower case, trim spaces, delete full stops and commas, drop accents.
+    """Lower case, trim Unicode spaces, delete full stops and commas, drop accents.
 
     Spaces are trimmed before the punctuation goes, so ``'foo .'`` keeps one trailing space.
     Composed and decomposed input give the same key. Letters without a decomposition (ß, ø, ł) stay.
     """
     accented, plain = _accent_pairs()
     # translate() deletes the characters that have no counterpart: the two punctuation marks.
-    folded = F.translate(F.trim(F.lower(col)), accented + ".,", plain)
+    folded = F.translate(trim_spaces(F.lower(col)), accented + ".,", plain)
     return F.regexp_replace(folded, r"\p{M}+", "")
 
 
@@ -108,7 +113,7 @@ def name_matches(col: Column, mode: str, text: str) -> Column:
     words, wanted_words = F.split(name, " +"), F.array_remove(F.split(wanted, " +"), "")
     if mode == "any_word":
         return F.arrays_overlap(words, wanted_words)
-    return F.size(F.array_except(wanted_words, words)) == 0
+    return (F.size(wanted_words) > 0) & (F.size(F.array_except(wanted_words, words)) == 0)
 
 
 def number_matches(col: Column, mode: str, number: int) -> Column:

@@ -3,22 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grouptrace.session import materialize
 
-ROWS_PER_BLOCK = 1_000_000
-
-
 def distinct_first_seen(df: DataFrame, columns: Sequence[str], seen: str) -> DataFrame:
     """Distinct ``columns`` with the smallest ``seen`` value, so that first-seen order can be kept."""
     return df.groupBy(*columns).agg(F.min(seen).alias(seen))
 
 
 def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key: the one that is smallest in ``order`` and then in the remaining columns.
+    """One row per key: the one that is smallest in ``order`` and then in the remaining columns, NULL last.
 
     An aggregate, not a window: repeated keys are reduced before the shuffle.
     """
@@ -26,8 +24,10 @@ def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     rest += [c for c in df.columns if c not in keys and c not in rest]
     if not rest:
         return df.select(*keys).distinct()
-    best = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row"))
-    return best.select(*keys, "_row.*").select(*df.columns)
+    # A known value sorts before NULL: false comes before true.
+    ranked = F.struct(*[F.struct(F.col(c).isNull().alias("unknown"), F.col(c).alias("value")).alias(c) for c in rest])
+    best = df.groupBy(*keys).agg(F.min(ranked).alias("_row"))
+    return best.select(*keys, *[F.col(f"_row.{c}.value").alias(c) for c in rest]).select(*df.columns)
 
 
 def top_k(df: DataFrame, partition_by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -36,31 +36,13 @@ def top_k(df: DataFrame, partition_by: Sequence[str], order: Sequence[Column], k
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
-def dense_row_id(
-    df: DataFrame, source: str, ordinal: str, name: str, block_rows: int = ROWS_PER_BLOCK
-) -> DataFrame:
+def dense_row_id(df: DataFrame, source: str, ordinal: str, name: str) -> DataFrame:
     """1-based dense row id over rows ordered by (source, ordinal within the source).
 
-    Ordinals are positions in a file, unique per source, so a block of ``block_rows`` positions holds at
-    most that many rows. Rows are numbered inside their block; only the table of block sizes is
-    accumulated in order.
+    Sources and rows are cut into ranges of their order, so neither a large source nor many small ones meet in one task.
     """
-    blocks = df.withColumn("_block", F.floor(F.col(ordinal) / block_rows))
-    before = Window.orderBy(source, "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        blocks.groupBy(source, "_block")
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .select(F.col(source).alias("_of_source"), F.col("_block").alias("_of_block"), "_before")
-    )
-    same = F.col(source).eqNullSafe(F.col("_of_source")) & F.col("_block").eqNullSafe(F.col("_of_block"))
-    inside = Window.partitionBy(source, "_block").orderBy(ordinal)
-    return (
-        blocks.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, same)
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-        .select(name, *df.columns)
-    )
+    order = [F.col(source).asc_nulls_first(), F.asc(ordinal)]
+    return spread_row_number(df, order, name).select(name, *df.columns)
 
 
 def spread_row_number(
@@ -86,11 +68,18 @@ def spread_row_number(
     in_slice = Window.partitionBy("_slice", *group).orderBy(*order)
     numbered = placed.withColumn("_inside", F.row_number().over(in_slice))
 
-    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_slice", *group).agg(F.count("*").alias("_rows"))
+    if group:
+        earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        counted = sizes.withColumn("_before", F.sum("_rows").over(earlier))
+    else:
+        # One number per slice, i.e. per task: summed up here.
+        counts = sorted((r["_slice"], r["_rows"]) for r in sizes.collect())
+        before = accumulate((n for _, n in counts), initial=0)
+        rows = [(number, n) for (number, _), n in zip(counts, before)]
+        counted = df.sparkSession.createDataFrame(rows, "_slice int, _before long")
     offsets = (
-        placed.groupBy("_slice", *group)
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_before", F.sum("_rows").over(earlier))
+        counted
         .filter("_before > 0")
         .select("_slice", "_before", *[F.col(c).alias(f"_group_{c}") for c in group])
     )

@@ -9,8 +9,8 @@ Pairing every query token with every document that holds it would pair nearly al
 all documents through words such as "the". The search gives the same result without that:
 
 1. Documents with the same words are scored once, and so are queries with the same words.
-2. A few best documents per query are found through its rarest tokens and scored exactly. The k-th of
-   these scores is a floor under the k-th best score of the query.
+2. Every token brings along the k documents in which it weighs most. The best k of those that a query's
+   tokens bring are scored exactly; the k-th of these scores is a floor under the k-th best score.
 3. The highest weight a token has in any document bounds what it can add. A query's tokens are summed
    up from the smallest bound; while the sum stays below the floor, a document that holds only these
    tokens cannot be among the best k. Only the remaining tokens look for candidates.
@@ -30,13 +30,11 @@ from pyspark.sql import functions as F
 
 from grouptrace.functions.text import tokens
 from grouptrace.operators.ranking import top_k
-from grouptrace.session import materialize, spread_input
+from grouptrace.session import Scratch, materialize
 
 UNIT = 1e9
 # Scores are reported in millionths; a text within this many billionths of the floor can still tie.
 SLACK = 2_000
-# A query's rarest tokens give its first floor: the rarest one, and more while few documents hold them.
-SEED_DOCUMENTS = 1_000
 
 
 @dataclass(frozen=True)
@@ -54,7 +52,7 @@ def build_index(corpus: DataFrame, keys: Sequence[str], text: str) -> TextIndex:
     The (token, tf) pairs of a document are the runs of equal words among its sorted words, so a
     document is not taken apart to be counted.
     """
-    words = spread_input(corpus).select(
+    words = corpus.select(
         *keys, F.sort_array(tokens(F.coalesce(F.col(text), F.lit("")))).alias("_words")
     )
     size = F.size("_words")
@@ -110,6 +108,9 @@ def search_index(
     documents = size["documents"] or 0
     mean_len = (size["words"] or 0) / documents if documents else 1.0
 
+    # Tables that only this search needs; they go when its result stands.
+    scratch = Scratch(queries.sparkSession)
+
     # Queries as sets of tokens, each set once.
     asked = queries.select(
         F.col(query_key), F.sort_array(F.array_distinct(tokens(F.col(query_text)))).alias("_set")
@@ -127,12 +128,12 @@ def search_index(
         .join(wanted.select("token").distinct(), "token", "left_semi")
         .select("token", "text_no", "copies", saturation.alias("sat"))
     )
-    postings = materialize(postings, "search-postings")
+    postings = scratch.store(postings, "search-postings")
 
     per_token = postings.groupBy("token").agg(F.sum("copies").alias("df"), F.max("sat").alias("top"))
     idf = F.log(1 + (documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = per_token.select("token", "df", idf.alias("idf"), (_points(idf, F.col("top")) + 1).alias("bound"))
-    terms = materialize(wanted.join(weighted, "token").select("_q", "token", "df", "idf", "bound"), "search-terms")
+    terms = scratch.store(wanted.join(weighted, "token").select("_q", "token", "df", "idf", "bound"), "search-terms")
 
     hits = postings.select("token", "text_no", "sat")
     points = _points(F.col("idf"), F.col("sat"))
@@ -152,12 +153,10 @@ def search_index(
         places = top_k(exact(top_k(leaders, ["_q"], [F.desc("points"), F.asc("text_no")], k)), ["_q"], [F.desc("points")], k)
         return places.filter(F.col("rank") == k).select("_q", (F.col("points") - SLACK).alias("_floor"))
 
-    # First floor: texts reached through the rarest tokens.
+    # First floor: each token's k heaviest texts. A query with a token in k texts has a floor.
     of_query = Window.partitionBy("_q")
-    from_rarest = of_query.orderBy("df", "token").rowsBetween(Window.unboundedPreceding, 0)
-    reached, first = F.sum("df").over(from_rarest), F.row_number().over(of_query.orderBy("df", "token")) == 1
-    rarest = terms.withColumn("_seed", first | (reached <= SEED_DOCUMENTS)).filter("_seed")
-    floors = kth_exact(rarest.join(hits, "token").groupBy("_q", "text_no").agg(F.sum(points).alias("points")))
+    heaviest = top_k(hits, ["token"], [F.desc("sat"), F.asc("text_no")], k, "_place").drop("_place")
+    floors = kth_exact(terms.join(heaviest, "token").groupBy("_q", "text_no").agg(F.sum(points).alias("points")))
 
     ascending = of_query.orderBy("bound", "token").rowsBetween(Window.unboundedPreceding, 0)
     planned = (
@@ -166,7 +165,7 @@ def search_index(
         .withColumn("_rest", F.sum(F.when(F.col("_seeks"), 0).otherwise(F.col("bound"))).over(of_query))
         .select("_q", "token", "idf", "_seeks", "_rest")
     )
-    planned = materialize(planned, "search-plan")
+    planned = scratch.store(planned, "search-plan")
 
     found = (
         planned.filter("_seeks")
@@ -174,7 +173,7 @@ def search_index(
         .groupBy("_q", "text_no")
         .agg(F.sum(points).alias("points"), F.max("_rest").alias("_rest"))
     )
-    found = materialize(found, "search-candidates")
+    found = scratch.store(found, "search-candidates")
     # Second floor: the candidates that lead so far; far fewer can still reach it.
     alive = found.join(kth_exact(found.select("_q", "text_no", "points")), "_q", "left").filter(
         F.col("points") + F.col("_rest") >= F.coalesce("_floor", F.lit(0))
@@ -194,6 +193,7 @@ def search_index(
     placed = placed.join(index.texts.select("text_no", "words_id", "first_keys"), "text_no")
     best = top_k(placed, ["_q"], [F.desc("score"), F.asc("first_keys")], k).select("_q", "words_id", "score")
     best = materialize(best, "search-best")
+    scratch.clear()
 
     members = index.members.join(best.select("words_id").distinct(), "words_id", "left_semi")
     members = top_k(members, ["words_id"], [F.asc(c) for c in keys], k, "_copy").drop("_copy")

@@ -53,9 +53,14 @@ def upsert(table: DataFrame, new: DataFrame, keys: Sequence[str], update: Sequen
 
 
 def refresh_from(table: DataFrame, source: DataFrame, keys: Sequence[str], update: Sequence[str]) -> DataFrame:
-    """UPDATE ... FROM: overwrite ``update`` where the source has the keys, leave other rows alone."""
+    """UPDATE ... FROM: overwrite ``update`` where the source has the keys, leave other rows alone.
+
+    No row is ever added: of several source rows with one key the smallest ``update`` values, in their order and with
+    NULL last, are taken.
+    """
     keys = list(keys)
-    values = source.select(*keys, F.struct(*update).alias("_from"))
+    values = distinct_on(source.select(*keys, *update), keys, list(update))
+    values = values.select(*keys, F.struct(*update).alias("_from"))
     joined = table.join(values, keys, "left")
     hit = F.col("_from").isNotNull()
     return joined.select(

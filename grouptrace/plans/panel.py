@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grouptrace.functions.text import strip_leading_chars
+from grouptrace.functions.text import strip_leading_chars, trim_spaces
 from grouptrace.functions.values import (
     REVENUE_THRESHOLD_TH,
     exact_sum,
@@ -38,27 +38,31 @@ def merge_data_batches(data: DataFrame, search: DataFrame) -> DataFrame:
 
 
 def revenue_in_thousands(batch: DataFrame, thousands_pattern: str, nominal_pattern: str, suffix: str) -> DataFrame:
-    """Derive the thousands columns from nominal ones when a batch only has those.
+    """The batch with revenue in thousands alone, so that one unit goes on from here.
 
-    A nominal column ``x`` becomes ``x + suffix``. A batch with neither kind is an error.
+    Nominal columns ``x`` become ``x + suffix`` where the batch has no thousands columns, and go otherwise. A batch with
+    neither kind is an error.
     """
-    if matching_columns(batch, thousands_pattern):
-        return batch
-    nominal = matching_columns(batch, nominal_pattern)
+    thousands = matching_columns(batch, thousands_pattern)
+    nominal = [c for c in matching_columns(batch, nominal_pattern) if c not in thousands]
+    if thousands:
+        return batch.drop(*nominal)
     if not nominal:
         raise ValueError("the batch has no revenue columns in EUR")
-    return batch.withColumns({c + suffix: (F.col(c) / 1e3).cast("double") for c in nominal})
+    return batch.select(*[
+        (F.col(c) / 1e3).cast("double").alias(c + suffix) if c in nominal else F.col(c) for c in batch.columns
+    ])
 
 
 def consistent_threshold(
     batch: DataFrame,
-    last: str = "operating_revenue_year_last_eur",
-    yearly_pattern: str = r"operating_revenue_year_\d_eur",
+    last: str = "operating_revenue_year_last_eur_th",
+    yearly_pattern: str = r"^operating_revenue_year_\d_eur_th$",
     threshold: float = REVENUE_THRESHOLD_TH,
     min_years: int = 2,
 ) -> DataFrame:
     """Companies at or over the threshold in at least two of the prior years; with fewer than two known
-    years the last available value decides."""
+    years the last available value decides. Revenue is in thousands, as revenue_in_thousands() leaves it."""
     yearly = F.array(*matching_columns(batch, yearly_pattern))
     available, over = known_count(yearly), over_count(yearly, threshold, inclusive=True)
     by_last = F.coalesce(F.col(last) >= threshold, F.lit(False))
@@ -143,7 +147,7 @@ def local_search_sheet(
         "company_number",
         "name",
         "jurisdiction_code",
-        F.replace(F.trim("locality"), F.lit(","), F.lit("")).alias("locality"),
+        F.replace(trim_spaces(F.col("locality")), F.lit(","), F.lit("")).alias("locality"),
     )
     # Documents are stored one per company.
     known = local_ids.join(wanted.withColumn("_known", F.col("company_number")), "company_number", "left")

@@ -171,16 +171,15 @@ def collected_ids(documents: DataFrame) -> DataFrame:
     return documents.select(F.regexp_replace("file_name", r"\.json$", "").alias("registration_index")).distinct()
 
 
-def _limited(entities: DataFrame, condition: Column, limit: int) -> DataFrame:
-    if not 1 <= limit <= 1000:
-        raise ValueError("the limit must be between 1 and 1000")
-    found = entities.filter(condition)
-    return found.orderBy("registration_number", "record_id").limit(limit)
+def _found(records: DataFrame, condition: Column, first: int | None) -> DataFrame:
+    """All matching records; with ``first`` only so many, in order of their number."""
+    found = records.filter(condition)
+    return found if first is None else found.orderBy("registration_number", "record_id").limit(first)
 
 
-def name_search(records: DataFrame, mode: str, text: str, limit: int = 1000) -> DataFrame:
-    return _limited(records, name_matches(F.col("corp_name"), mode, text), limit)
+def name_search(records: DataFrame, mode: str, text: str, first: int | None = None) -> DataFrame:
+    return _found(records, name_matches(F.col("corp_name"), mode, text), first)
 
 
-def number_search(records: DataFrame, mode: str, number: int, limit: int = 1000) -> DataFrame:
-    return _limited(records, number_matches(F.col("registration_number"), mode, number), limit)
+def number_search(records: DataFrame, mode: str, number: int, first: int | None = None) -> DataFrame:
+    return _found(records, number_matches(F.col("registration_number"), mode, number), first)

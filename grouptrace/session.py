@@ -56,17 +56,28 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/grouptrace/{label}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables in the shared folder that are removed together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def store(self, df: DataFrame, label: str) -> DataFrame:
+        path = work_path(self.spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.paths = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, and lost executors cost nothing."""
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread_input(df: DataFrame) -> DataFrame:
-    """Spread rows that come from fewer files than there are cores, for work that is heavy per row.
-
-    A large table has more files than that and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df

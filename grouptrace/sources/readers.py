@@ -1,8 +1,8 @@
-"""Readers. Schemas are given, so no pass over the data is spent on inference."""
+"""Readers. Text formats get their schema, so no pass over the data is spent on inference; Parquet has its own."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from grouptrace.functions.text import file_name_of, regex_struct
 from grouptrace.functions.values import NULL_TOKENS, null_if_token
 from grouptrace.operators.ranking import distinct_on, spread_row_number
+from grouptrace.session import materialize
+from grouptrace.sources.schemas import batch_header
 
 # A batch file is named e.g. "Export (DATA with ids) 1-1000.csv".
 BATCH_NAME_PATTERN = r"\((\w+) with [^)]*\) (\d+)-(\d+)"
@@ -20,11 +22,14 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """CSV with a header and quoted fields. Empty unquoted cells are NULL; the text ``NA`` is data."""
-    return (
-        spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').csv(path)
-    )
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, multi_line: bool = True) -> DataFrame:
+    """CSV with a header and quoted fields. Empty unquoted cells are NULL; the text ``NA`` is data.
+
+    The header has to name the schema's columns in their order, else the read fails. Quoted cells may hold line breaks;
+    a file is then read by one task. ``multi_line=False`` splits large files that have none.
+    """
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+    return reader.option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path)
 
 
 def infer_csv_schema(spark: SparkSession, path: str) -> T.StructType:
@@ -80,15 +85,51 @@ def clean_tokens(
     return df.select(*[cleaned(f) for f in df.schema.fields])
 
 
-def read_batch_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """All batch files of a directory at once, every cell as text, with the name of its file first.
+LOCK_PREFIX = "~$"
+
+
+def _plain_name(name: Column) -> Column:
+    """A file name out of a URI."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
 
-    A file has to hold its own row position as a column when positions matter.
+def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """(file_path) of the files in a folder. Only the listing is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    return files.select(_plain_name(F.col("path")).alias("file_path"))
+
+
+def read_batches(
+    spark: SparkSession, path: str, columns: Sequence[str], header: Callable[[str], str] = batch_header, widest: int = 512
+) -> DataFrame:
+    """Batch files as (file_name, row_in_file, *columns), every cell as text; lock files are left out.
+
+    Cells are found by each file's own header, in whatever order it names them, after ``header`` has made its names
+    canonical; a file without a column gives NULL there. Cells and headers may hold line breaks. A file is read by one
+    task, so its rows are numbered from 1 as they stand in it. More than ``widest`` cells in a row are an error.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    rows = read_csv(spark, path, schema)
-    rows = rows.select(F.col("_metadata.file_name").alias("file_name"), "*")
-    return rows.filter(~F.startswith(F.col("file_name"), F.lit("~$")))
+    cells = [f"c{i}" for i in range(widest)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*cells, "_more")])
+    reader = spark.read.schema(schema).option("quote", '"').option("escape", '"').option("multiLine", True)
+    rows = reader.option("header", False).csv(path).select(
+        _plain_name(F.col("_metadata.file_name")).alias("file_name"), F.monotonically_increasing_id().alias("_line"),
+        F.when(F.col("_more").isNotNull(), F.raise_error(F.lit("a batch row is too wide"))).otherwise(F.array(*cells)).alias("_cells"),
+    )
+    rows = materialize(rows.filter(~F.startswith("file_name", F.lit(LOCK_PREFIX))), "batch-rows")
+    heads = rows.groupBy("file_name").agg(F.min(F.struct("_line", "_cells")).alias("_head"))
+    heads = heads.select("file_name", F.col("_head._line").alias("_first"), F.col("_head._cells").alias("_names"))
+    # The headers that occur: as many as a batch has columns, in a few spellings.
+    named = heads.select(F.explode("_names").alias("name")).filter("name IS NOT NULL").distinct().collect()
+    known = {r["name"]: header(r["name"]) for r in named}
+    places = {c: [n for n, canonical in known.items() if canonical == c] for c in columns}
+
+    def cell(column: str) -> Column:
+        spellings = F.array(*[F.lit(n) for n in places[column]]).cast("array<string>")
+        place = F.array_position(F.transform("_names", lambda n: F.array_contains(spellings, n)), True)
+        return F.when(place > 0, F.get("_cells", place.cast("int") - 1)).alias(column)
+
+    body = rows.join(heads, "file_name").filter(F.col("_line") > F.col("_first"))
+    return body.select("file_name", (F.col("_line") - F.col("_first")).alias("row_in_file"), *[cell(c) for c in columns])
 
 
 def batch_catalog(files: DataFrame, path: str = "file_path", pattern: str = BATCH_NAME_PATTERN) -> DataFrame:
@@ -96,7 +137,7 @@ def batch_catalog(files: DataFrame, path: str = "file_path", pattern: str = BATC
     named = files.select(F.col(path).alias("file_path"), file_name_of(F.col(path)).alias("file_name"))
     parts = regex_struct(F.col("file_name"), pattern, ["dataset_type", "query_num_start", "query_num_end"])
     return (
-        named.filter(~F.startswith(F.col("file_name"), F.lit("~$")))
+        named.filter(~F.startswith("file_name", F.lit(LOCK_PREFIX)))
         .withColumn("_parts", parts)
         .select(
             "file_path",

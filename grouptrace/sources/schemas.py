@@ -13,13 +13,14 @@ REGISTRY = (
 )
 REQUEST_LOG = "request_id bigint, request_sent_timestamp string"
 
-# What a search page delivers, before the request id and the record id are attached.
+# The fields of what a search page delivers, before the request id and the record id are attached.
 PAGE_RECORD = (
     "businessEntityId bigint, registrationNumber bigint, registrationIndex string, corpName string, "
     "classEs string, classEn string, profitTypeEs string, profitTypeEn string, "
     "statusId bigint, statusEs string, statusEn string"
 )
 
+# The fields of an entity document.
 ENTITY_DOCUMENT = (
     "response struct<"
     "corporation: struct<corpRegisterIndex: string, corpName: string, jurisdictionEs: string, "
@@ -29,6 +30,7 @@ ENTITY_DOCUMENT = (
     "streetAddress: struct<city: string>>>"
 )
 
+# The fields of a company document.
 COMPANY_DOCUMENT = (
     "results struct<company: struct<company_number: string, name: string, jurisdiction_code: string, "
     "branch: string, registered_address: struct<locality: string>, number_of_employees: bigint, "
@@ -52,7 +54,7 @@ ADOPTION = (
     "country string, year string, pillar2 string, iir string, utpr string, qdmtt string"
 )
 
-# Headers of the exported batches that have no rule.
+# Headers of the exported batches. Revenue columns, one for each year, follow the pattern below.
 BATCH_HEADERS = {
     "Own ID": "own_id",
     "Company name": "company_name",
@@ -67,14 +69,17 @@ BATCH_HEADERS = {
     "Branch indicator": "branch_indicator",
     "Identifier": "identifier",
     "Score": "score",
+    "Matched BvD ID": "matched_company_id",
     "Matched company name": "matched_company_name",
+    "BvD ID number": "company_id",
+    "Model data - Global parent bvdid": "parent_id",
+    "Model data - Global parent operating revenue\nth EUR": "parent_operating_revenue_eur_th",
     "NAICS 2022, core code (4 digits)": "naics_2022_core_code",
     "NAICS 2022, core code - description": "naics_2022_core_code_description",
     "Closing date\nDate of the last available value for Operating revenue (Turnover)":
         "closing_date_operating_revenue",
 }
 _REVENUE = re.compile(r"^Operating revenue \(Turnover\)\s(th )?EUR (Last avail\. (?:value|yr)|Year - (\d)|(\d{4}))$")
-_PARENT = re.compile(r"^Model data - Global parent (\w+id|operating revenue\sth EUR)$")
 
 
 def batch_header(header: str) -> str:
@@ -84,10 +89,4 @@ def batch_header(header: str) -> str:
     if found := _REVENUE.match(header):
         year = found[3] or found[4] or "last"
         return f"operating_revenue_year_{year}_eur" + ("_th" if found[1] else "")
-    if found := _PARENT.match(header):
-        return "parent_id" if found[1].endswith("id") else "parent_operating_revenue_eur_th"
-    if header.startswith("Matched ") and header.endswith(" ID"):
-        return "matched_company_id"
-    if header.endswith(" ID number"):
-        return "company_id"
     return re.sub(r"\W+", "_", snake_case(header)).strip("_")

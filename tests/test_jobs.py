@@ -49,7 +49,9 @@ def test_revenue_in_thousands(spark, rows):
     nominal = spark.createDataFrame([("a", 5000.0)], "id string, rev_eur double")
     assert rows(panel.revenue_in_thousands(nominal, "_th$", "_eur$", "_th"), "rev_eur_th") == [(5.0,)]
     ready = spark.createDataFrame([("a", 5.0)], "id string, rev_eur_th double")
-    assert panel.revenue_in_thousands(ready, "_th$", "_eur$", "_th") is ready
+    assert panel.revenue_in_thousands(ready, "_th$", "_eur$", "_th").columns == ready.columns
+    both = spark.createDataFrame([(5.0, 9.0)], "rev_eur_th double, rev_eur double")
+    assert panel.revenue_in_thousands(both, "_th$", "_eur$", "_th").columns == ["rev_eur_th"]
     with pytest.raises(ValueError):
         panel.revenue_in_thousands(spark.createDataFrame([("a",)], "id string"), "_th$", "_eur$", "_th")
 
@@ -182,11 +184,11 @@ def test_foreign_entities(spark, rows):
     assert got == [("1-1", "Ponce", "United States", "US", "u=1-1"), ("2-1", None, "Peru", None, "u=2-1")]
 
 
-def test_search_limits(spark):
-    records = spark.createDataFrame([(1, 1, "x")], "record_id int, registration_number int, corp_name string")
-    for limit in (0, 1001):
-        with pytest.raises(ValueError):
-            registry.number_search(records, "equal", 1, limit)
+def test_searches_return_every_match(spark, rows):
+    records = spark.range(1500).selectExpr("id as record_id", "id as registration_number", "'x y' as corp_name")
+    assert registry.number_search(records, "at_least", 0).count() == registry.name_search(records, "any_word", "x").count() == 1500
+    assert rows(registry.number_search(records, "greater", 9, 2), "record_id") == [(10,), (11,)]
+    assert registry.name_search(records, "all_words", " ").count() == 0
 
 
 def test_exact_match_keeps_all_entities_of_a_name(spark, rows):

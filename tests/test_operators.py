@@ -40,12 +40,13 @@ def test_top_k_breaks_ties_by_order(spark, rows):
     assert rows(best, "id", "rank") == [(1, 1), (2, 2)]
 
 
-@pytest.mark.parametrize("block", [3, 1000])
-def test_dense_row_id(spark, block):
+def test_dense_row_id(spark):
     pairs = [("b", i) for i in (0, 1, 2, 7, 8)] + [("a", i) for i in range(10)]
     df = spark.createDataFrame(pairs, "src string, pos int").repartition(4)
-    got = ranking.dense_row_id(df, "src", "pos", "id", block_rows=block).orderBy("id").collect()
+    got = ranking.dense_row_id(df, "src", "pos", "id").orderBy("id").collect()
     assert [(r.id, r.src, r.pos) for r in got] == [(i, *p) for i, p in enumerate(sorted(pairs), start=1)]
+    plan = ranking.dense_row_id(df, "src", "pos", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
 
 
 @pytest.mark.parametrize("groups", [[], ["g"]])

@@ -47,13 +47,39 @@ def test_search_equals_brute_force(spark, seed, k):
     assert {(r.q, r.rank): (r.d, r.score) for r in got} == want
 
 
-def test_pruning_does_not_depend_on_the_seeds(spark, rows, monkeypatch):
-    corpus = spark.createDataFrame([(i, f"the {'rare' if i == 7 else 'common'} word w{chr(97 + i)}") for i in range(20)], "d int, t string")
-    queries = spark.createDataFrame([(1, "the rare word"), (2, "common the")], "q int, t string")
-    with_seeds = rows(search.search_top_k(queries, corpus, "q", "t", ["d"], "t", 2))
-    monkeypatch.setattr(search, "SEED_DOCUMENTS", 0)
-    assert rows(search.search_top_k(queries, corpus, "q", "t", ["d"], "t", 2)) == with_seeds
-    assert [r[1] for r in with_seeds if r[0] == 1 and r[3] == 1] == [7]
+def test_candidates_stay_close_to_the_matching_documents(spark, monkeypatch):
+    """The common word is in all documents, "quux" in every tenth, "zyx" in one: only the latter two find candidates."""
+    corpus = spark.range(30_000).selectExpr(
+        "id as d", "concat('the ', if(id % 10 = 3, 'quux ', ''), if(id = 77, 'zyx ', ''), 'w', repeat('a', int(id % 90))) as t")
+    queries = spark.createDataFrame([(1, "the zyx quux")], "q int, t string")
+    counts = {}
+    store = search.Scratch.store
+
+    def counted(self, df, label):
+        kept = store(self, df, label)
+        counts[label] = kept.count()
+        return kept
+
+    monkeypatch.setattr(search.Scratch, "store", counted)
+    got = search.search_top_k(queries, corpus, "q", "t", ["d"], "t", 5).orderBy("rank").collect()
+    assert got[0].d == 77 and all(r.d % 10 == 3 for r in got[1:])
+    assert counts["search-candidates"] <= 3_100
+
+
+def test_tables_of_a_search_are_removed(spark):
+    corpus = spark.createDataFrame([(1, "a b"), (2, "b")], "d int, t string")
+    scratch = []
+    clear = search.Scratch.clear
+    try:
+        search.Scratch.clear = lambda self: (scratch.extend(self.paths), clear(self))
+        asked = corpus.withColumnRenamed("d", "q")
+        found = search.search_top_k(asked, corpus, "q", "t", ["d"], "t").collect()
+    finally:
+        search.Scratch.clear = clear
+    assert {r.q: r.d for r in found} == {1: 1, 2: 2}
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    assert scratch and not any(
+        folder(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder(p)) for p in scratch)
 
 
 def test_index_counts_terms_and_copies(spark, rows):

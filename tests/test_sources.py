@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from grouptrace.operators.reshape import rename_by
@@ -43,13 +44,27 @@ def test_batch_catalog_leaves_lock_files_out(spark, rows):
     assert rows(readers.query_ranges(catalog)) == [("1-100", 1, 1), ("101-200", 101, 2)]
 
 
-def test_batch_files_in_one_scan(spark, rows, tmp_path):
-    (tmp_path / "b 1.csv").write_text("id,rev\nA,n.a.\nB,5.5\n")
-    (tmp_path / "b 2.csv").write_text("id,rev\nC,#N/A\n")
-    batch = readers.read_batch_csv(spark, str(tmp_path), ["id", "rev"])
-    clean = readers.clean_tokens(batch, {"rev": "double"})
-    assert rows(clean, "id", "rev") == [("A", None), ("B", 5.5), ("C", None)]
-    assert {r.file_name.replace("%20", " ") for r in clean.collect()} == {"b 1.csv", "b 2.csv"}
+def test_batches_are_read_by_their_headers(spark, rows, tmp_path):
+    (tmp_path / "b 1+2.csv").write_text('"BvD ID number","City\nLatin Alphabet",more\nA,"two\nlines",n.a.\nB,x,5.5\n')
+    (tmp_path / "c.csv").write_text('"City\nLatin Alphabet",BvD ID number\ny,C\n')
+    (tmp_path / "~$c.csv").write_text("BvD ID number\nZ\n")
+    batch = readers.read_batches(spark, str(tmp_path), ["company_id", "city", "more"])
+    clean = readers.clean_tokens(batch, {"more": "double"})
+    assert rows(clean) == [("b 1+2.csv", 1, "A", "two\nlines", None), ("b 1+2.csv", 2, "B", "x", 5.5), ("c.csv", 1, "C", "y", None)]
+    listed = readers.list_files(spark, str(tmp_path), "*.csv").collect()
+    assert sorted(r.file_path.rsplit("/", 1)[1] for r in listed) == ["b 1+2.csv", "c.csv", "~$c.csv"]
+
+
+def test_csv_columns_in_another_order_are_an_error(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("city,id\nx,1\n")
+    with pytest.raises(Exception, match="header"):
+        readers.read_csv(spark, str(tmp_path), "id string, city string").collect()
+
+
+def test_csv_line_breaks(spark, rows, tmp_path):
+    df = spark.createDataFrame([("1", "two\nlines", "x")], "id string, body string, z string")
+    sinks.write_csv(df, str(tmp_path / "t"))
+    assert rows(readers.read_csv(spark, str(tmp_path / "t"), df.schema)) == rows(df)
 
 
 def test_positional_ids(spark, rows):
