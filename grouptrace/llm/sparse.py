@@ -101,7 +101,7 @@ def extended(documents: DataFrame, survivors: DataFrame, length: int, spread: in
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"))
             list_text, list_key = words.list_column(batch.column("kept_keys"))
-            for row, data, bounds in words.chunks(batch.column("text")):
+            for row, data, bounds in words.chunks(words.unpacked(batch.column("packed"))):
                 w = words.Words(data, bounds)
                 start, at = anchors(w, length, spread)
                 own = (list_text >= row) & (list_text < row + w.n_texts)
@@ -112,9 +112,8 @@ def extended(documents: DataFrame, survivors: DataFrame, length: int, spread: in
                 text, key = words.distinct_per_text(w.text[start], w.hashes(start, start + length))
                 yield _rows(ids[row + text], key)
 
-    return documents.select("doc_id", "text").join(lists, "doc_id").select("doc_id", "text", "kept_keys").mapInArrow(
-        extend, "key long, doc_id long"
-    )
+    texts = documents.where("doc_id IS NOT NULL").select("doc_id", words.packed(F.col("text")).alias("packed"))
+    return texts.join(lists, "doc_id").mapInArrow(extend, "key long, doc_id long")
 
 
 def later_occurrences(rows: DataFrame) -> DataFrame:
@@ -185,7 +184,22 @@ def runs(w: words.Words, start: np.ndarray, length: int) -> tuple[np.ndarray, np
     return start[new], np.append(start[:-1][new[1:]], start[-1]) + length
 
 
-def packed(documents: DataFrame, repeats: DataFrame) -> DataFrame:
-    """(row, doc_id, text, keys): every document's columns in one struct, so that no name can clash, with its keys."""
-    rows = documents.select(F.struct("*").alias("row"), "doc_id", "text")
-    return rows.join(repeats, "doc_id", "left").select("row", "doc_id", "text", "keys")
+def spans(w: words.Words, first: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+    """Per text its number of words, of words in the given ranges, and these ranges as (first word, words)."""
+    at = np.searchsorted(w.text[first], np.arange(w.n_texts + 1))
+    removed = np.concatenate([[0], np.cumsum(end - first)])
+    ranges = pa.StructArray.from_arrays(
+        [pa.array(first - w.range[w.text[first]], pa.int64()), pa.array(end - first, pa.int64())], names=["first", "words"]
+    )
+    return [
+        pa.array(w.counts(), pa.int64()), pa.array(removed[at[1:]] - removed[at[:-1]], pa.int64()),
+        pa.ListArray.from_arrays(pa.array(at, pa.int32()), ranges),
+    ]
+
+
+def marked(documents: DataFrame, repeats: DataFrame) -> DataFrame:
+    """(row, packed, keys): every document's other columns in one struct, so that no name can clash, its packed text and
+    its keys (null: none)."""
+    others = [f"`{c}`" for c in documents.columns if c != "text"]
+    rows = documents.select(F.struct(*others).alias("row"), "doc_id", words.packed(F.col("text")).alias("packed"))
+    return rows.join(repeats, "doc_id", "left").select("row", "packed", "keys")

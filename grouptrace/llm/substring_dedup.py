@@ -22,7 +22,7 @@ SPREAD = 9
 def parsed(documents: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
     """(row, kept, n_words, n_removed, factors) per document.
 
-    row: the document's own columns. kept: the words outside all factors, joined by one space. factors: (first word,
+    row: the document's own columns but the text. kept: the words outside all factors, joined by one space. factors: (first word,
     words) of the duplicate spans. A null text counts as empty. A document without doc_id, or whose texts repeat only
     under the same doc_id, keeps all its words. An empty table gives an empty result.
     """
@@ -30,8 +30,7 @@ def parsed(documents: DataFrame, length: int = LENGTH, spread: int = SPREAD) ->
     def parse(batches):
         for batch in batches:
             list_text, list_key = words.list_column(batch.column("keys"))
-            kept, n_words, n_removed, factors = [], [], [], []
-            for row, data, bounds in words.chunks(batch.column("text")):
+            for row, data, bounds in words.chunks(words.unpacked(batch.column("packed"))):
                 w = words.Words(data, bounds)
                 own = (list_text >= row) & (list_text < row + w.n_texts)
                 has = np.zeros(w.n_texts, dtype=bool)
@@ -42,26 +41,13 @@ def parsed(documents: DataFrame, length: int = LENGTH, spread: int = SPREAD) ->
                 np.add.at(covered, first, 1)
                 np.add.at(covered, end, -1)
                 keep = np.cumsum(covered)[:-1] == 0
-                of = w.text[first]
-                cut = np.searchsorted(of, np.arange(w.n_texts + 1))
-                for i, n in enumerate(w.counts()):
-                    a, b = cut[i], cut[i + 1]
-                    kept.append(w.joined(i, keep if has[i] else None))
-                    n_words.append(n)
-                    n_removed.append(int((end[a:b] - first[a:b]).sum()))
-                    factors.append([
-                        {"first": int(f - w.range[i]), "words": int(e - f)} for f, e in zip(first[a:b], end[a:b])
-                    ])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"), pa.array(kept, pa.binary()), pa.array(n_words, pa.int64()),
-                    pa.array(n_removed, pa.int64()),
-                    pa.array(factors, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))),
-                ],
-                names=["row", "kept", "n_words", "n_removed", "factors"],
-            )
+                kept = [w.joined(i, keep if has[i] else None) for i in range(w.n_texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row").slice(row, w.n_texts), pa.array(kept, pa.binary()), *sparse.spans(w, first, end)],
+                    names=["row", "kept", "n_words", "n_removed", "factors"],
+                )
 
-    inputs = sparse.packed(documents, sparse.repeated_passages(documents, length, spread))
+    inputs = sparse.marked(documents, sparse.repeated_passages(documents, length, spread))
     schema = (
         f"row {inputs.schema['row'].dataType.simpleString()}, kept binary, n_words long, n_removed long, "
         "factors array<struct<first: bigint, words: bigint>>"

@@ -21,7 +21,7 @@ SPREAD = 24
 def without_repeats(documents: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
     """(row, kept_text, n_words, n_removed, spans) per document.
 
-    row: the document's own columns. kept_text: the text without its spans and the white space that follows each; a text
+    row: the document's own columns but the text. kept_text: the text without its spans and the white space that follows each; a text
     without spans is unchanged, null included. spans: (first word, words). A null text has no words. A document
     without doc_id keeps its text and is nobody's predecessor; rows that repeat one doc_id don't cut each other. An
     empty table gives an empty result.
@@ -30,37 +30,27 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, spread: int = SP
     def cut(batches):
         for batch in batches:
             list_text, list_key = words.list_column(batch.column("keys"))
-            texts, n_words, n_removed, spans = [], [], [], []
-            column = batch.column("text")
+            column = words.unpacked(batch.column("packed"))
             for row, data, bounds in words.chunks(column):
                 w = words.Words(data, bounds)
                 own = (list_text >= row) & (list_text < row + w.n_texts)
                 start = sparse.found_passages(w, length, list_text[own] - row, list_key[own])
                 first, end = sparse.runs(w, start, length)
-                cuts = np.searchsorted(w.text[first], np.arange(w.n_texts + 1))
-                for i, n in enumerate(w.counts()):
-                    a, b = cuts[i], cuts[i + 1]
-                    n_words.append(n)
-                    n_removed.append(int((end[a:b] - first[a:b]).sum()))
-                    spans.append([
-                        {"first": int(f - w.range[i]), "words": int(e - f)} for f, e in zip(first[a:b], end[a:b])
-                    ])
-                    pieces, at = [], bounds[i]
-                    for f, e in zip(first[a:b], end[a:b]):
-                        pieces.append(data[at: w.start[f]].tobytes())
-                        at = w.start[e] if e < w.range[i + 1] else bounds[i + 1]
-                    pieces.append(data[at: bounds[i + 1]].tobytes())
+                at = np.searchsorted(w.text[first], np.arange(w.n_texts + 1))
+                texts = []
+                for i in range(w.n_texts):
+                    pieces, done = [], bounds[i]
+                    for f, e in zip(first[at[i]: at[i + 1]], end[at[i]: at[i + 1]]):
+                        pieces.append(data[done: w.start[f]].tobytes())
+                        done = w.start[e] if e < w.range[i + 1] else bounds[i + 1]
+                    pieces.append(data[done: bounds[i + 1]].tobytes())
                     texts.append(b"".join(pieces) if column[row + i].is_valid else None)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"), pa.array(texts, pa.binary()), pa.array(n_words, pa.int64()),
-                    pa.array(n_removed, pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))),
-                ],
-                names=["row", "kept_text", "n_words", "n_removed", "spans"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row").slice(row, w.n_texts), pa.array(texts, pa.binary()), *sparse.spans(w, first, end)],
+                    names=["row", "kept_text", "n_words", "n_removed", "spans"],
+                )
 
-    inputs = sparse.packed(documents, sparse.repeated_passages(documents, length, spread))
+    inputs = sparse.marked(documents, sparse.repeated_passages(documents, length, spread))
     schema = (
         f"row {inputs.schema['row'].dataType.simpleString()}, kept_text binary, n_words long, n_removed long, "
         "spans array<struct<first: bigint, words: bigint>>"
