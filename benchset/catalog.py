@@ -11,7 +11,7 @@ from benchset.derived import REVENUE_COLUMNS, YEARS, Inputs, with_views
 from grouptrace.functions.text import normalize_name
 from grouptrace.operators import ranking, reshape, sampling, search, tables
 from grouptrace.plans import matching, network, panel, present, registry
-from grouptrace.session import apply_runtime_conf, work_path
+from grouptrace.session import apply_runtime_conf, materialize, work_path
 from grouptrace.sources import readers, schemas, sinks
 from grouptrace.streaming import ingest
 
@@ -121,7 +121,9 @@ def consistent_threshold(t: Inputs) -> DataFrame:
     select distinct ltrim(own_id, 'pr/') as company_number
     from ({GROUPS}) g left join {{revenue_wide}} p using (parent_id)""")
 def qualified_local_companies(t: Inputs) -> DataFrame:
-    return panel.qualified_local_companies(qualified_groups(t), t["revenue_wide"])
+    revenue = materialize(t["revenue_wide"], "revenue")
+    groups = panel.qualified_groups(panel.any_year_worksheet(revenue, PANEL_VALUES, ANY_YEAR_THRESHOLD))
+    return panel.qualified_local_companies(groups, revenue)
 
 
 _UNITS = ", ".join(f"operating_revenue_year_{y}_eur / 1e3 as operating_revenue_year_{y}_eur_th" for y in ("last", 1, 2, 3, 4))
@@ -430,7 +432,8 @@ def local_to_parent_display(t: Inputs) -> DataFrame:
 
 @register("group_rule_status", STATUS)
 def group_rule_status(t: Inputs) -> DataFrame:
-    return network.group_rule_status(local_to_parent(t), rule_adoption(t), t["group_revenue"], _rule_years(t))
+    local, answers = materialize(local_to_parent(t), "local"), materialize(_rule_years(t), "answers")
+    return network.group_rule_status(local, rule_adoption(t), t["group_revenue"], answers)
 
 
 @register("country_rule_summary", SUMMARY)
@@ -924,38 +927,100 @@ def dates_unpivot(t: Inputs) -> DataFrame:
     return reshape.unpivot_known(flat, ["registration_index"], dates, "event_name", "event_date")
 
 
-INGESTED = """
-    select min(record_id) as record_id, min_by(request_id, record_id) as request_id,
+# The odd requests arrive first: of equal records the first one of them is stored, else the first of the others.
+_ARRIVAL = "case when request_id % 2 = 1 then 0 else 1000000000000 end + record_id"
+INGESTED = f"""
+    select min_by(record_id, {_ARRIVAL}) as record_id, min_by(request_id, {_ARRIVAL}) as request_id,
         registration_number, registration_index, corp_name, profit_type_es, status_id, status_es
-    from {registry} group by registration_number, registration_index, corp_name, profit_type_es, status_id, status_es"""
+    from {{registry}} group by registration_number, registration_index, corp_name, profit_type_es, status_id, status_es"""
 _STORE = ["record_id", "request_id", *ingest.CONTENT]
 
 
-@register("ingest_pages_batch", INGESTED)
-def ingest_pages_batch(t: Inputs) -> DataFrame:
-    """The first half of the requests is stored, the other half is added."""
+def _arrivals(t: Inputs) -> list[DataFrame]:
     pages = t["registry"].select(*_STORE)
     odd = F.col("request_id") % 2 == 1
-    empty = pages.filter(F.lit(False))
-    first = ingest.ingest_batch(empty, pages.filter(odd))
-    return _earliest(ingest.ingest_batch(first, pages.filter(~odd)), pages)
+    return [pages.filter(odd), pages.filter(~odd)]
+
+
+@register("ingest_pages_batch", INGESTED)
+def ingest_pages_batch(t: Inputs) -> DataFrame:
+    first, second = _arrivals(t)
+    return ingest.ingest_batch(ingest.ingest_batch(first.filter(F.lit(False)), first), second)
 
 
-def _earliest(store: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages may arrive in any order: name each stored record by its first hit in the log."""
-    first = ranking.distinct_on(pages, ingest.CONTENT, ["record_id"])
-    return store.select(*ingest.CONTENT).join(first, list(ingest.CONTENT))
+def _streamed(t: Inputs) -> tuple[str, DataFrame]:
+    landing, store, progress = (work_path(t.spark, x) for x in ("landing", "store", "progress"))
+    for part in _arrivals(t):
+        part.repartitionByRange(4, "request_id").write.mode("append").parquet(landing)
+        rows = ingest.ingest_stream(t.spark, landing, store, progress, part.schema)
+    return store, rows
 
 
 @register("ingest_pages_stream", INGESTED)
 def ingest_pages_stream(t: Inputs) -> DataFrame:
-    pages = t["registry"].select(*_STORE)
-    landing = work_path(t.spark, "landing")
-    pages.repartitionByRange(4, "request_id").write.parquet(landing)
-    store = ingest.ingest_stream(
-        t.spark, landing, work_path(t.spark, "store"), work_path(t.spark, "progress"), pages.schema, files_per_batch=2
-    )
-    return _earliest(store, pages)
+    """Two runs of the stream, the second one from the first one's checkpoint."""
+    return _streamed(t)[1]
+
+
+@register("ingest_store_compacted", INGESTED)
+def ingest_store_compacted(t: Inputs) -> DataFrame:
+    store, rows = _streamed(t)
+    return ingest.compacted(t.spark, store, rows.schema, work_path(t.spark, "compact"))
+
+
+@register("append_page_records", """
+    select business_entity_id, registration_number, registration_index, corp_name, request_id from {registry}""")
+def append_page_records(t: Inputs) -> DataFrame:
+    """Pages under the names the form gives them, stored by request. Every third request arrives twice."""
+    path = work_path(t.spark, "records")
+    names = {"business_entity_id": "businessEntityId", "registration_number": "registrationNumber",
+             "registration_index": "registrationIndex", "corp_name": "corpName"}
+    pages = t["registry"].select("request_id", *[F.col(c).alias(n) for c, n in names.items()])
+    for arrived in (pages, pages.filter("request_id % 3 = 0")):
+        sinks.append_records(ingest.parse_page_records(arrived, F.col("request_id")), path)
+    return t.spark.read.schema("business_entity_id bigint, registration_number bigint, registration_index string, "
+                               "corp_name string, request_id bigint").parquet(path)
+
+
+@register("json_array_read", """
+    select code, country from {spanish_names}""")
+def json_array_read(t: Inputs) -> DataFrame:
+    """A small dimension as one JSON array over several lines, with a field that isn't asked for."""
+    path = work_path(t.spark, "names")
+    rows = F.array_sort(F.collect_list(F.struct("code", "country", F.lit(True).alias("extended"))))
+    t["spanish_names"].agg(F.regexp_replace(F.to_json(rows), r"\},\{", "},\n{").alias("value")).write.text(path)
+    return readers.read_json_array(t.spark, path, schemas.COUNTRY_NAMES)
+
+
+@register("json_documents_landed", """
+    select company_number, name, locality, owners from {company_flat}""")
+def json_documents_landed(t: Inputs) -> DataFrame:
+    path = work_path(t.spark, "documents")
+    flat = t["company_flat"].select("company_number", "name", "locality", "owners")
+    sinks.write_json_documents(flat, path, "company_number")
+    return readers.read_json_documents(t.spark, path, flat.schema.toDDL())
+
+
+@register("compact_documents", """
+    select corp_register_index || '.json' as file_name, corp_register_index as registration_index from {entity_flat}""")
+def compact_documents(t: Inputs) -> DataFrame:
+    """One file per document, read once and kept as Parquet under the file's name."""
+    folder = t.document_folder(lambda: entity_document_text(t))
+    compact = readers.compact_json_documents(t.spark, folder, schemas.ENTITY_DOCUMENT, work_path(t.spark, "compact"))
+    named = compact.select("file_name", F.col("response.corporation.corpRegisterIndex").alias("registration_index"))
+    return named.join(registry.collected_ids(named), "registration_index", "left_semi").select("file_name", "registration_index")
+
+
+@register("review_versions", f"""
+    select * from ({ORACLE["review_upsert"]})""")
+def review_versions(t: Inputs) -> DataFrame:
+    """The review table kept between runs: a first version, then one with the reviewers' edits."""
+    path, stored = work_path(t.spark, "review"), t["review_old"]
+    tables.write_version(stored, path, matching.REVIEW_KEY)
+    last = tables.read_version(t.spark, path, stored.schema)
+    edited = tables.upsert(last, matching.checked_review_input(t["review_edits"]), matching.REVIEW_KEY, ["aprobado", "rechazado"])
+    tables.write_version(edited, path, matching.REVIEW_KEY)
+    return tables.read_version(t.spark, path, stored.schema)
 
 
 @register("ingest_page_report", """

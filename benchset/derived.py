@@ -332,6 +332,11 @@ def write_named_csv(df: DataFrame, folder: str, name: str, order: str) -> None:
     parts = work_path(spark, "named")
     sorted_rows = df.repartition(name).sortWithinPartitions(name, order).drop(order)
     sorted_rows.write.partitionBy(name).option("header", True).option("escape", '"').csv(parts)
+    move_named(spark, parts, folder, name)
+
+
+def move_named(spark: SparkSession, parts: str, folder: str, name: str) -> None:
+    """The one file of each folder ``name=<value>`` gets the value as its name."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     source = hadoop.Path(parts)
     files = source.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -391,6 +396,17 @@ class Inputs:
             self._landed["batches"] = folder
         return self._landed["batches"]
 
+    def document_folder(self, documents: Callable[[], DataFrame]) -> str:
+        """A folder with one file per entity document, named by its id."""
+        if "document-files" not in self._landed:
+            folder = work_path(self.spark, "document-files")
+            key = F.get_json_object("value", "$.response.corporation.corpRegisterIndex")
+            parts = work_path(self.spark, "named")
+            documents().select(F.concat(key, F.lit(".json")).alias("file_name"), "value").write.partitionBy("file_name").text(parts)
+            move_named(self.spark, parts, folder, "file_name")
+            self._landed["document-files"] = folder
+        return self._landed["document-files"]
+
     def landed(self, name: str, documents: Callable[[], DataFrame]) -> str:
         """Path of a set of JSON documents, written to the shared folder when it is first asked for."""
         if name not in self._landed:

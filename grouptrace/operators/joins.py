@@ -26,7 +26,8 @@ def left_join_fanout(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Da
 
     Spark splits a hot partition on both sides of an inner join and on the left of an anti join, but
     never on the right of an outer join. So: matched rows by inner join, the rest by anti join against
-    the distinct keys; both read the same shuffled left side. Rows with a NULL key meet no partner and
+    the distinct keys. Both need the left side: give a stored table where it is dear to compute. Where the
+    right keys are nearly unique, a plain left join is the better choice. Rows with a NULL key meet no partner and
     pass by without a shuffle, where they would all fall into one partition.
     """
     on = list(on)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grouptrace.operators.joins import anti_join
@@ -71,6 +71,33 @@ def refresh_from(table: DataFrame, source: DataFrame, keys: Sequence[str], updat
     )
 
 
+def write_version(df: DataFrame, path: str, keys: Sequence[str]) -> int:
+    """Store the next version of a keyed table in a folder of its own; a repeated key fails the write."""
+    number = max(versions(df.sparkSession, path), default=-1) + 1
+    assert_unique(df, keys).write.parquet(f"{path}/version={number}")
+    return number
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of a table, in order."""
+    files = spark._jvm.org.apache.hadoop.fs
+    folder = files.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    paths = [s.getPath() for s in system.listStatus(folder)]
+    done = [p for p in paths if system.exists(files.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("version=")) for p in done)
+
+
+def read_version(spark: SparkSession, path: str, schema, number: int | None = None) -> DataFrame:
+    """A version of a table, the last one by default."""
+    stored = versions(spark, path)
+    if not stored:
+        raise ValueError(f"no version in {path}")
+    return spark.read.schema(schema).parquet(f"{path}/version={stored[-1] if number is None else number}")
+
+
 def append_keys(work: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Add literal keys to a work list; repeated keys and keys already listed are added once."""
     literals = F.array(*[F.lit(k) for k in keys])

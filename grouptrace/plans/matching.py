@@ -10,6 +10,7 @@ from grouptrace.operators.joins import anti_join, left_join_fanout
 from grouptrace.operators.ranking import distinct_first_seen, distinct_on
 from grouptrace.operators.search import search_top_k
 from grouptrace.operators.tables import assert_unique, insert_if_absent, pending
+from grouptrace.session import materialize
 
 ENTITY = ["registration_index", "corp_name", "status_id", "status_es"]
 REVIEW_KEY = ["grantee", "registration_index"]
@@ -25,7 +26,8 @@ def exact_name_match(decrees: DataFrame, entities: DataFrame) -> DataFrame:
     """Every grantee with all entities of the same normalised name; ``match_type`` is NULL without one."""
     left = grantees(decrees).select("grantee", normalize_name(F.col("grantee")).alias("_name"))
     right = entities.select(*ENTITY, normalize_name(F.col("corp_name")).alias("_name"))
-    joined = left_join_fanout(left, right, ["_name"])
+    # The join reads its left side three times.
+    joined = left_join_fanout(materialize(left, "grantee-names"), right, ["_name"])
     return joined.select(
         "grantee", *ENTITY, F.when(F.col("corp_name").isNotNull(), F.lit("exact")).alias("match_type")
     )

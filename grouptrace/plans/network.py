@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grouptrace.functions.text import strip_leading_chars
 from grouptrace.functions.values import any_true, exact_sum, yes_no, yes_no_text
-from grouptrace.operators.joins import left_join_fanout, semi_join
+from grouptrace.operators.joins import semi_join
 from grouptrace.operators.reshape import cross_with_list
 from grouptrace.plans.panel import OWN_ID_CHARS
 
@@ -68,12 +68,17 @@ def with_tax_country(network: DataFrame, state: str = LOCAL_STATE) -> DataFrame:
 
 
 def with_parent_tax_country(network: DataFrame) -> DataFrame:
-    """Every member row with the tax country of its parent's row; NULL when the parent has no row."""
+    """Every member row with the tax country of its parent's row; NULL when the parent has no row.
+
+    A large parent's members are the left side, which Spark splits.
+    """
     rows = with_tax_country(network)
     parents = rows.select(
         F.col("company_id").alias("parent_id"), F.col("tax_country").alias("parent_tax_country")
     ).filter(F.col("parent_id").isNotNull())
-    return left_join_fanout(rows.filter(F.col("parent_id").isNotNull()), parents, ["parent_id"])
+    return rows.filter(F.col("parent_id").isNotNull()).join(parents, "parent_id", "left").select(
+        *rows.columns, "parent_tax_country"
+    )
 
 
 def foreign_subsidiary_countries(network: DataFrame) -> DataFrame:
@@ -150,7 +155,7 @@ def local_to_parent(
     names = entities.select(
         F.col("registration_index").alias("company_number"), F.col("corp_name").alias("local_corp_name")
     )
-    named = left_join_fanout(placed, names, ["company_number"])
+    named = placed.join(names, "company_number", "left")
     return named.join(group_revenue, "parent_id", "left").select(
         "company_number",
         "local_corp_name",

@@ -21,6 +21,7 @@ from grouptrace.functions.values import (
 from grouptrace.operators.joins import left_join_fanout, semi_join
 from grouptrace.operators.ranking import dense_row_id
 from grouptrace.operators.reshape import matching_columns, move_first, transpose_panel
+from grouptrace.session import materialize
 
 OWN_ID_CHARS = "pr/"
 
@@ -33,7 +34,8 @@ def merge_search_batches(search: DataFrame, ordinal: str) -> DataFrame:
 def merge_data_batches(data: DataFrame, search: DataFrame) -> DataFrame:
     """Data batches with the caller's own id attached by matched id; several own ids keep several rows."""
     pairs = search.select(F.col("matched_company_id").alias("company_id"), "own_id").dropna(subset=["company_id"])
-    joined = left_join_fanout(data, pairs, ["company_id"])
+    # The join reads its left side three times.
+    joined = left_join_fanout(materialize(data, "data-batches"), pairs, ["company_id"])
     return move_first(joined, "file_name", "own_id")
 
 
@@ -161,7 +163,7 @@ def local_search_sheet(
         F.upper("locality").alias("locality_upper_case"),
     )
     parents = panel.select(strip_leading_chars(F.col("own_id"), OWN_ID_CHARS).alias("company_number"), "parent_id")
-    return left_join_fanout(sheet, parents, ["company_number"])
+    return sheet.join(parents, "company_number", "left").select(*sheet.columns, "parent_id")
 
 
 MINIMUM_TAX_RATE, ASSET_SHARE, PAYROLL_SHARE = 0.15, 0.08, 0.10

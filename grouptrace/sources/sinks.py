@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -24,6 +23,7 @@ def write_json_documents(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def append_records(df: DataFrame, path: str, request_id: int) -> None:
-    """Bulk append of parsed records with the id of the request that brought them."""
-    df.withColumn("request_id", F.lit(request_id).cast("long")).write.mode("append").parquet(path)
+def append_records(df: DataFrame, path: str) -> None:
+    """Parsed records with their request_id, a folder for each request: a request that comes again replaces its own."""
+    writer = df.repartition("request_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("request_id").parquet(path)

@@ -67,6 +67,28 @@ def ingest_batch(store: DataFrame, pages: DataFrame, content: Sequence[str] = CO
     return store.unionByName(new_records(pages, store, content))
 
 
+#: Registration numbers per folder of the stream's store.
+RANGE = 100_000
+
+
+def _ranges(records: DataFrame) -> DataFrame:
+    return records.withColumn("number_range", F.floor(F.col("registration_number") / RANGE).cast("bigint"))
+
+
+def _stored(spark: SparkSession, store_path: str, schema, ranges: Sequence[int] | None = None) -> DataFrame:
+    """The store, or the given number ranges of it; only their folders are listed."""
+    paths = [store_path]
+    if ranges is not None:
+        files = spark._jvm.org.apache.hadoop.fs
+        folder = files.Path(store_path).getFileSystem(spark._jsc.hadoopConfiguration())
+        named = [f"{store_path}/number_range={r}" for r in ranges]
+        paths = [p for p in named if folder.exists(files.Path(p))]
+    ddl = f"{schema.toDDL()}, number_range bigint, batch bigint"
+    if not paths:
+        return spark.createDataFrame([], ddl)
+    return spark.read.schema(ddl).option("basePath", store_path).parquet(*paths)
+
+
 def ingest_stream(
     spark: SparkSession,
     pages_path: str,
@@ -78,21 +100,24 @@ def ingest_stream(
 ) -> DataFrame:
     """Take in all page files that are waiting and return the store.
 
-    Each micro-batch replaces its own folder ``batch=<id>`` of the store. A batch repeated after a
-    failure compares itself with the earlier folders only, so every record lands exactly once.
+    The store is cut by number range. A micro-batch reads the ranges that its own numbers touch, and replaces its folders
+    ``number_range=<r>/batch=<id>`` there: a batch repeated after a failure compares itself with the earlier ones only,
+    so every record lands exactly once, and the work of a batch doesn't grow with the store.
     """
     columns = [f.name for f in schema.fields]
 
     def add(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        earlier = session.read.schema(f"{schema.toDDL()}, batch bigint").parquet(store_path)
-        earlier = earlier.filter(F.col("batch") < batch_id).select(*columns)
-        fresh = new_records(batch.select(*columns), earlier, content)
-        fresh.write.mode("overwrite").parquet(f"{store_path}/batch={batch_id}")
-
-    # An empty first folder, so that the first batch has a store to read.
-    empty = spark.createDataFrame([], schema)
-    empty.write.mode("ignore").parquet(f"{store_path}/batch=-1")
+        batch = batch.select(*columns)
+        # As many as the batch's numbers span folders; equal records have equal numbers.
+        touched = [r["number_range"] for r in _ranges(batch).select("number_range").distinct().collect()]
+        earlier = _stored(session, store_path, schema, [r for r in touched if r is not None])
+        fresh = new_records(batch, earlier.filter(F.col("batch") < batch_id).select(*columns), content)
+        placed = _ranges(fresh).withColumn("batch", F.lit(batch_id).cast("bigint"))
+        writer = placed.repartition("number_range").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("number_range", "batch").parquet(store_path)
+
+    spark.createDataFrame([], _ranges(spark.createDataFrame([], schema)).schema).write.mode("ignore").parquet(store_path)
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -104,4 +129,11 @@ def ingest_stream(
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(f"{schema.toDDL()}, batch bigint").parquet(store_path).select(*columns)
+    return _stored(spark, store_path, schema).select(*columns)
+
+
+def compacted(spark: SparkSession, store_path: str, schema, target: str) -> DataFrame:
+    """A copy of the store with one folder of files per number range, for readers and as the next run's start."""
+    rows = _stored(spark, store_path, schema).withColumn("batch", F.lit(-1).cast("bigint"))
+    rows.repartition("number_range").write.partitionBy("number_range", "batch").parquet(target)
+    return _stored(spark, target, schema).select(*[f.name for f in schema.fields])

@@ -114,4 +114,14 @@ def test_snake_case_and_batch_headers():
     assert batch_header("Operating revenue (Turnover)\nth EUR Year - 3") == "operating_revenue_year_3_eur_th"
     assert batch_header("Operating revenue (Turnover)\nEUR Last avail. yr") == "operating_revenue_year_last_eur"
     assert batch_header("Own ID") == "own_id"
+    assert batch_header("Matched BvD ID") == "matched_company_id"
+    assert batch_header("Other ID number") == "other_id_number"
     assert batch_header("Anything else (x)") == "anything_else_x"
+
+
+def test_unicode_spaces_are_trimmed_tabs_stay(spark):
+    from grouptrace.functions.text import normalize_name
+
+    names = ["\u00a0Acme Inc.\u2003", " Acme Inc. ", "Acme\u00a0Inc.", "\tAcme Inc."]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(normalize_name("n")).collect()]
+    assert got == ["acme inc", "acme inc", "acme\u00a0inc", "\tacme inc"]

@@ -6,8 +6,8 @@ from grouptrace.plans import matching, network, panel, present, registry
 from grouptrace.sources import schemas
 
 YEARLY = (
-    "company_id string, operating_revenue_year_last_eur double, operating_revenue_year_1_eur double, "
-    "operating_revenue_year_2_eur double, operating_revenue_year_3_eur double, operating_revenue_year_4_eur double"
+    "company_id string, operating_revenue_year_last_eur_th double, operating_revenue_year_1_eur_th double, "
+    "operating_revenue_year_2_eur_th double, operating_revenue_year_3_eur_th double, operating_revenue_year_4_eur_th double"
 )
 
 

@@ -126,3 +126,26 @@ def test_samples_repeat(spark, rows):
     assert first == rows(sampling.sample_ids(df.repartition(7), "id", 0.05))
     assert 60 < len(first) < 140
     assert len(sampling.sample_rows(df, "id", 20).collect()) == 20
+
+
+def test_refresh_never_adds_rows(spark, rows):
+    table = spark.createDataFrame([("k", 1), ("m", 2)], "id string, v int")
+    source = spark.createDataFrame([("k", None), ("k", 9), ("k", 7)], "id string, v int")
+    assert rows(tables.refresh_from(table, source, ["id"], ["v"])) == [("k", 7), ("m", 2)]
+
+
+def test_distinct_on_prefers_known_values(spark, rows):
+    df = spark.createDataFrame([("k", None, 1), ("k", "b", 2), ("m", None, 3)], "id string, a string, b int")
+    assert rows(ranking.distinct_on(df, ["id"], ["a"])) == [("k", "b", 2), ("m", None, 3)]
+
+
+def test_versions_of_a_keyed_table(spark, rows, tmp_path):
+    path, schema = str(tmp_path / "versions"), "id string, v int"
+    assert tables.versions(spark, path) == []
+    for v in (1, 2):
+        tables.write_version(spark.createDataFrame([("k", v)], schema), path, ["id"])
+    assert rows(tables.read_version(spark, path, schema)) == [("k", 2)]
+    assert rows(tables.read_version(spark, path, schema, 0)) == [("k", 1)]
+    with pytest.raises(Exception, match="duplicate key"):
+        tables.write_version(spark.createDataFrame([("k", 1), ("k", 2)], schema), path, ["id"])
+    assert tables.versions(spark, path) == [0, 1]

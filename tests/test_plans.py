@@ -67,6 +67,17 @@ def test_top_k_limits_before_the_shuffle(table):
     assert text.count("WindowGroupLimit") == 2
 
 
+def test_group_joins_read_each_table_once(table):
+    assert plan(network.with_parent_tax_country(table)).count("FileScan") == 2
+    names = table.select(F.col("company_id").alias("registration_index"), F.col("note").alias("corp_name"))
+    network_rows = table.select("company_id", F.col("note").alias("company_name"), "country_iso_code", "state")
+    panel_rows = table.select(F.col("company_id").alias("own_id"), "parent_id")
+    revenue = table.select("parent_id", F.col("r_last").alias("filial_operating_revenue_max"))
+    ids = table.select(F.col("company_id").alias("company_number"))
+    text = plan(network.local_to_parent(ids, panel_rows, names, network_rows, revenue))
+    assert text.count("FileScan") == 5
+
+
 def test_filters_reach_the_scan(table):
     text = plan(network.with_parent_tax_country(table))
     assert "PushedFilters: [IsNotNull(parent_id)]" in text

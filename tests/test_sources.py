@@ -3,7 +3,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from grouptrace.operators.reshape import rename_by
 from grouptrace.sources import readers, schemas, sinks
 from grouptrace.streaming import ingest
 
@@ -99,8 +98,9 @@ def test_page_records(spark, rows, tmp_path):
     page = spark.createDataFrame([(1, 5, "5-111", "N")], "businessEntityId bigint, registrationNumber bigint, registrationIndex string, corpName string")
     parsed = ingest.parse_page_records(page, 7)
     assert parsed.columns == ["business_entity_id", "registration_number", "registration_index", "corp_name", "request_id"]
-    sinks.append_records(rename_by(page, str.lower), str(tmp_path / "records"), 7)
-    assert spark.read.parquet(str(tmp_path / "records")).first()["request_id"] == 7
+    for _ in range(2):
+        sinks.append_records(parsed, str(tmp_path / "records"))
+    assert [r["request_id"] for r in spark.read.parquet(str(tmp_path / "records")).collect()] == [7]
 
 
 def test_ingest_stores_border_records_once(spark, rows):
