@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grouptrace.llm import words
+from grouptrace.llm import bits, words
 from grouptrace.llm.components import components
 from grouptrace.session import materialize
 
@@ -54,63 +54,68 @@ def _array(values, kind=None) -> pa.Array:
     return pa.array(values, kind or pa.int64())
 
 
-def vertices(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, vertex, n, s0..s3) per document. s: parity of the set's members in each of 256 cells, so that two sets
-    differ in at least as many members as their signatures in bits."""
+_SIGNATURE = tuple(f"s{k}" for k in range(_SIGNATURE_WORDS))
+_DESCRIBED = f"doc_id long, vertex long, n long, {', '.join(f'{s} long' for s in _SIGNATURE)}, slice int, counts binary"
+
+
+def described(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One pass over the texts, with two kinds of rows.
+
+    Per document (doc_id, vertex, n, s0..s3), where s is the parity of the set's members in each of 256 cells: two sets
+    differ in at least as many members as their signatures in bits. Per task, and with a slice, a sketch of the shingles'
+    frequencies: compressed counts of documents in 2**20 cells, a size that doesn't depend on the data.
+    """
+    names = ["doc_id", "vertex", "n", *_SIGNATURE, "slice", "counts"]
 
     def describe(batches):
+        total = np.zeros(1 << _CELL_BITS, dtype=np.int64)
         for batch in batches:
             for row, n_texts, vertex, size, text, key, _ in _sets(batch):
+                total += np.bincount((key >> words.U(64 - _CELL_BITS)).astype(np.int64), minlength=len(total))
                 bits = np.zeros((n_texts, 64 * _SIGNATURE_WORDS), dtype=np.uint8)
                 cell = (words.mix(key ^ words.U(0x14057B7EF767814F)) % words.U(64 * _SIGNATURE_WORDS)).astype(np.int64)
                 flips = np.bincount(text * (64 * _SIGNATURE_WORDS) + cell, minlength=bits.size)
                 signature = np.packbits((flips & 1).astype(np.uint8).reshape(bits.shape), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(row, n_texts), _array(vertex), _array(size)]
-                    + [_array(signature[:, k].copy()) for k in range(_SIGNATURE_WORDS)],
-                    names=["doc_id", "vertex", "n", *(f"s{k}" for k in range(_SIGNATURE_WORDS))],
+                    + [_array(signature[:, k].copy()) for k in range(_SIGNATURE_WORDS)]
+                    + [pa.nulls(n_texts, pa.int32()), pa.nulls(n_texts, pa.binary())],
+                    names=names,
                 )
+        if total.any():
+            empty = [pa.nulls(_SLICES, pa.int64())] * (len(names) - 2)
+            yield pa.RecordBatch.from_arrays([*empty, *_slices(dict(enumerate(total.reshape(_SLICES, -1))))], names=names)
 
-    fields = ", ".join(f"s{k} long" for k in range(_SIGNATURE_WORDS))
-    return documents.select("doc_id", "text").mapInArrow(describe, f"doc_id long, vertex long, n long, {fields}")
+    return documents.select("doc_id", "text").mapInArrow(describe, _DESCRIBED)
 
 
-def frequency_levels(documents: DataFrame) -> np.ndarray:
-    """A sketch of the shingles' frequencies: the number of documents in each of 2**20 cells, summed over all documents.
+def _slices(parts: dict[int, np.ndarray]) -> list[pa.Array]:
+    codec = pa.Codec("zstd")
+    return [pa.array(list(parts), pa.int32()),
+            pa.array([codec.compress(x.tobytes(), asbytes=True) for x in parts.values()], pa.binary())]
 
-    Its size doesn't depend on the data, so it may be collected and sent to the tasks.
-    """
-    per_slice = (1 << _CELL_BITS) // _SLICES
 
-    def count(batches):
-        total = np.zeros(1 << _CELL_BITS, dtype=np.int64)
-        for batch in batches:
-            for _, _, _, _, _, key, _ in _sets(batch):
-                total += np.bincount((key >> words.U(64 - _CELL_BITS)).astype(np.int64), minlength=len(total))
-        if total.any():
-            parts = total.reshape(_SLICES, per_slice)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(_SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                names=["slice", "counts"],
-            )
+def _counts(blob: bytes) -> np.ndarray:
+    n = (1 << _CELL_BITS) // _SLICES
+    return np.frombuffer(pa.Codec("zstd").decompress(blob, 8 * n, asbytes=True), dtype=np.int64)
+
+
+def frequency_levels(rows: DataFrame) -> np.ndarray:
+    """The sum of all tasks' sketches."""
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for number, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-                own = sums.setdefault(number, np.zeros(per_slice, dtype=np.int64))
-                own += np.frombuffer(counts, dtype=np.int64)
+            for number, blob in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
+                counts = _counts(blob)
+                sums[number] = sums[number] + counts if number in sums else counts
         if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
-                names=["slice", "counts"],
-            )
+            yield pa.RecordBatch.from_arrays(_slices(sums), names=["slice", "counts"])
 
-    schema = "slice int, counts binary"
-    parts = documents.select("text").mapInArrow(count, schema).repartition(_SLICES, "slice").mapInArrow(add, schema)
-    total = np.zeros((_SLICES, per_slice), dtype=np.int64)
-    for part in parts.collect():
-        total[part["slice"]] = np.frombuffer(part["counts"], dtype=np.int64)
+    parts = rows.where("slice IS NOT NULL").select("slice", "counts").repartition(_SLICES, "slice")
+    total = np.zeros((_SLICES, (1 << _CELL_BITS) // _SLICES), dtype=np.int64)
+    for part in parts.mapInArrow(add, "slice int, counts binary").collect():
+        total[part["slice"]] = _counts(part["counts"])
     return total.ravel()
 
 
@@ -191,14 +196,19 @@ def shared_prefixes(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(compare, "key long, vertex long, place int")
 
 
-def candidates(shared: DataFrame, sets: DataFrame, percent: int, best_only: bool) -> DataFrame:
+def large_groups(shared: DataFrame) -> DataFrame:
+    """(key, count) of the prefix shingles with more than TILE vertices."""
+    return shared.groupBy("key").count().where(F.col("count") > TILE)
+
+
+def candidates(shared: DataFrame, large: DataFrame, sets: DataFrame, percent: int, best_only: bool) -> DataFrame:
     """(a, b, na, nb): pairs of vertices that share a prefix shingle and may reach the threshold, each once.
 
     A group of more than TILE vertices is cut into tiles, and pairs of tiles go to separate tasks. best_only: of a
-    group's pairs only each vertex's with the least signature distance; else all that lie in different components.
+    group's pairs only each vertex's with the least signature distance, so every vertex that may have a link is in a
+    pair; else all pairs that lie in different components.
     """
     rows = shared.join(sets, "vertex")
-    large = rows.groupBy("key").count().where(F.col("count") > TILE)
     tiles = F.ceil(F.coalesce("count", F.lit(1)) / TILE).cast("int")
     rows = rows.join(large, "key", "left").withColumn("tiles", tiles)
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("vertex"), F.col("tiles")).cast("int"))
@@ -232,8 +242,9 @@ def candidates(shared: DataFrame, sets: DataFrame, percent: int, best_only: bool
             near = apart <= (na + nb - 2 * need)[ok]
             x, y, apart = x[near], y[near], apart[near]
             if best_only:
-                less = apart < best[y]
-                best[y[less]], partner[y[less]] = apart[less], x[less]
+                for own, other in ((x, y), (y, x)):
+                    less = apart < best[own]
+                    best[own[less]], partner[own[less]] = apart[less], other[less]
             else:
                 found_i.append(x)
                 found_j.append(y)
@@ -274,10 +285,13 @@ def fragments(documents: DataFrame, first: DataFrame, wanted: DataFrame, order:
     first: (vertex, doc_id), a document of each vertex. wanted: (vertex).
     """
     chosen = first.join(wanted, "vertex").groupBy("doc_id").agg(F.collect_set("vertex").alias("own"))
+    chosen = materialize(chosen.where("doc_id IS NOT NULL"), "chosen")
+    known = bits.filter_of(chosen.select(F.col("doc_id").alias("key")))
 
     def cut(batches):
         for batch in batches:
             own = batch.column("own").to_pylist()
+            batch = pa.RecordBatch.from_arrays([words.unpacked(batch.column("packed"))], names=["text"])
             for row, n_texts, vertex, _, text, key, at in _sets(batch):
                 part = order.fragment(key)
                 by = np.lexsort((key, part, text))
@@ -293,44 +307,56 @@ def fragments(documents: DataFrame, first: DataFrame, wanted: DataFrame, order:
                     names=["fragment", "vertex", "keys"],
                 )
 
-    texts = documents.select("doc_id", "text").join(chosen, "doc_id").select("text", "own")
+    near = documents.where("doc_id IS NOT NULL").select("doc_id", "text")
+    near = near.where(bits.may_be_in(F.col("doc_id"), known, documents.sparkSession))
+    texts = near.select("doc_id", words.packed(F.col("text")).alias("packed")).join(chosen, "doc_id")
+    texts = texts.select("packed", "own")
     return texts.mapInArrow(cut, "fragment int, vertex long, keys binary").dropDuplicates(["fragment", "vertex"])
 
 
-def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """pairs with their overlap: counted in every fragment, summed per pair."""
+def _partial(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b, na, nb, sa, sb, partial) per pair and fragment that both sets have: its sizes in it, and the overlap."""
     left = parts.select("fragment", F.col("vertex").alias("a"), F.col("keys").alias("a_keys"))
     right = parts.select("fragment", F.col("vertex").alias("b"), F.col("keys").alias("b_keys"))
     both = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "a_keys", "b_keys")
 
     def count(batches):
         for batch in batches:
-            values, row = [], []
+            values, row, sizes = [], [], []
             for name in ("a_keys", "b_keys"):
                 column = batch.column(name)
-                lengths = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset:][: len(column) + 1]) // 8
-                values.append(np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64))
-                row.append(np.repeat(np.arange(len(column)), lengths))
+                blobs = column.to_pylist()
+                sizes.append(np.array([len(x) // 8 for x in blobs], dtype=np.int64))
+                values.append(np.frombuffer(b"".join(blobs), dtype=np.uint64))
+                row.append(np.repeat(np.arange(len(column)), sizes[-1]))
             key, row = np.concatenate(values), np.concatenate(row)
             by = np.lexsort((key, row))
             key, row = key[by], row[by]
             common = (key[1:] == key[:-1]) & (row[1:] == row[:-1])
             partial = np.bincount(row[1:][common], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x) for x in ("a", "b", "na", "nb")), _array(partial)],
-                names=["a", "b", "na", "nb", "partial"],
+                [*(batch.column(x) for x in ("a", "b", "na", "nb")), *(_array(x) for x in (*sizes, partial))],
+                names=["a", "b", "na", "nb", "sa", "sb", "partial"],
             )
 
-    counted = both.mapInArrow(count, "a long, b long, na long, nb long, partial long")
-    return counted.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("overlap"))
+    return both.mapInArrow(count, "a long, b long, na long, nb long, sa long, sb long, partial long")
+
 
+def links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold: partial overlaps per fragment, summed per pair.
 
-def links(documents: DataFrame, first: DataFrame, pairs: DataFrame, order: Order, percent: int) -> DataFrame:
-    pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct()
-    parts = materialize(fragments(documents, first, wanted, order), "fragments")
+    The first fragment is counted for all pairs. A pair goes on to the others only if it would reach the threshold with
+    all of its remaining members in common.
+    """
+    pair = ["a", "b", "na", "nb"]
+    need = -F.floor(-percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    first = pairs.join(_partial(pairs, parts.where("fragment = 0")), pair, "left").fillna(0, ["sa", "sb", "partial"])
+    most = F.col("partial") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb"))
+    open_pairs = materialize(first.where(most >= need).select(*pair, "partial"), "open-pairs")
+    rest = _partial(open_pairs.select(*pair), parts.where("fragment > 0")).select(*pair, "partial")
+    overlap = open_pairs.unionByName(rest).groupBy(*pair).agg(F.sum("partial").alias("overlap"))
     linked = 100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))
-    return overlaps(pairs, parts).where(linked).select("a", "b")
+    return overlap.where(linked).select("a", "b")
 
 
 def joined(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -340,24 +366,30 @@ def joined(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     linked whatever their number. A row without doc_id gets its component's id too (null if all are without).
     An empty table gives an empty result.
     """
-    order = Order(frequency_levels(documents))
-    described = materialize(vertices(documents), "vertices")
-    signature = [f"s{k}" for k in range(_SIGNATURE_WORDS)]
-    sets = described.where("n > 0").groupBy("vertex").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(s).alias(s) for s in signature)
+    rows = materialize(described(documents), "vertices")
+    order = Order(frequency_levels(rows))
+    rows = rows.where("slice IS NULL").select("doc_id", "vertex", "n", *_SIGNATURE)
+    sets = rows.where("n > 0").groupBy("vertex").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(s).alias(s) for s in _SIGNATURE)
     )
     sets = materialize(sets, "sets")
-    first = sets.select("vertex", "doc_id")
     shared = materialize(shared_prefixes(prefixes(documents, order, percent)), "prefixes")
+    large = materialize(large_groups(shared), "large-groups")
+
     alone = sets.drop("doc_id").withColumn("root", F.col("vertex"))
-    near = materialize(links(documents, first, candidates(shared, alone, percent, True), order, percent), "links")
-    roots = materialize(components(near), "roots")
-    grouped = alone.drop("root").join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    across = links(documents, first, candidates(shared, grouped, percent, False), order, percent)
-    every = across.unionByName(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")))
+    pairs = materialize(candidates(shared, large, alone, percent, True), "pairs")
+    wanted = materialize(pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct(), "wanted")
+    parts = materialize(fragments(documents, sets.select("vertex", "doc_id"), wanted, order), "fragments")
+    roots = materialize(components(links(pairs, parts, percent)), "roots")
+
+    grouped = alone.drop("root").join(wanted, "vertex").join(roots, "vertex", "left")
+    grouped = grouped.withColumn("root", F.coalesce("root", "vertex"))
+    across = materialize(candidates(shared, large, grouped, percent, False), "pairs")
+    every = links(across, parts, percent).unionByName(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")))
     roots = components(every)
+
     root = F.when(F.col("n") > 0, F.coalesce("root", "vertex"))
-    placed = described.select("doc_id", "vertex", "n").join(roots, "vertex", "left").withColumn("root", root)
+    placed = rows.select("doc_id", "vertex", "n").join(roots, "vertex", "left").withColumn("root", root)
     least = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
