@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from grouptrace.llm import byte_bpe, decontamination, jaccard_join, license_scan, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filter, warc, words
+from grouptrace.llm import byte_bpe, decontamination, jaccard_join, license_scan, oracles, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filter, warc, words
 from grouptrace.session import apply_runtime_conf
 
 
@@ -96,5 +96,7 @@ ORACLE = {
     "op3_license_scan": license_scan.oracle_sql(),
     "op5_warc": warc.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
+    "op7_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op8_jaccard_join": oracles.JACCARD_JOIN,
     "op9_url_filter": url_filter.ORACLE_SQL,
 }
