@@ -697,9 +697,10 @@ def unmatched_grantees(t: Inputs) -> DataFrame:
     return matching.unmatched_grantees(t["decrees"], name_entities(t))
 
 
-def _bm25_sql(queries: str, corpus: str, keys: str, k: int) -> str:
+def _bm25_sql(queries: str, corpus: str, keys: str, k: int, analysis: str = "{0}") -> str:
     """Plain BM25 over all pairs; ``queries`` gives (query, text), ``corpus`` gives the keys and text."""
     words = "list_filter(string_split_regex({0}, '[^a-z]+'), lambda w: w <> '')".format(NAME_KEY.format("text"))
+    words = analysis.format(words)
     return f"""
     with query_rows as ({queries}), corpus as ({corpus}),
     words as (select {keys}, {words} as ws from corpus),
@@ -729,6 +730,16 @@ for _k in (1, 5):
     select query as item_id, doc_id, score, rank from ({_bm25_sql(_BENCHMARK, _DOCUMENTS, "doc_id", _k)})""")(
         lambda t, k=_k: search.search_top_k(t["benchmark"], t["documents"], "item_id", "text", ["doc_id"], "text", k))
 
+_STOP_WORDS = ("the", "of", "and", "to", "in", "it", "is", "de", "la", "der", "die", "en", "le")
+_ANALYSIS = (
+    f"list_transform(list_filter({{0}}, lambda w: not list_contains([{', '.join(repr(w) for w in _STOP_WORDS)}], w)), "
+    "lambda w: regexp_replace(w, '^(.{{3,}}?)(ings?|edly|ed|ly|es|s)$', '\\1'))"
+)
+register("text_search_stemmed_top3", f"""
+    select query as item_id, doc_id, score, rank from ({_bm25_sql(_BENCHMARK, _DOCUMENTS, "doc_id", 3, _ANALYSIS).replace("{3,}", "{{3,}}")})""")(
+        lambda t: search.search_top_k(t["benchmark"], t["documents"], "item_id", "text", ["doc_id"], "text", 3,
+                                      stop_words=_STOP_WORDS, stem=search.light_stem))
+
 GRANTEE_SEARCH = f"""
     select query as grantee, registration_index, corp_name, status_id, status_es, score
     from ({_bm25_sql(

@@ -22,7 +22,7 @@ Weights are whole billionths, so a sum does not depend on the order of its parts
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,11 +39,15 @@ SLACK = 2_000
 
 @dataclass(frozen=True)
 class TextIndex:
-    """``texts``: text_no, words_id, first_keys, copies, doc_len, terms. ``members``: words_id, document keys."""
+    """``texts``: text_no, words_id, first_keys, copies, doc_len, terms. ``members``: words_id, document keys.
+
+    ``stems``: (token, stem) of the tokens that count, where the index is of stems.
+    """
 
     texts: DataFrame
     members: DataFrame
     keys: tuple[str, ...]
+    stems: DataFrame | None = None
 
 
 def build_index(corpus: DataFrame, keys: Sequence[str], text: str) -> TextIndex:
@@ -84,6 +88,33 @@ def build_index(corpus: DataFrame, keys: Sequence[str], text: str) -> TextIndex:
     return TextIndex(materialize(numbered, "search-texts"), rows.select("words_id", *keys), tuple(keys))
 
 
+def light_stem(token: Column) -> Column:
+    """A token without its commonest English endings, as long as three letters remain."""
+    return F.regexp_replace(token, "^(.{3,}?)(ings?|edly|ed|ly|es|s)$", "$1")
+
+
+def analysed(
+    index: TextIndex, stop_words: Sequence[str] = (), stem: Callable[[Column], Column] | None = None
+) -> TextIndex:
+    """The index without stop words and, with ``stem``, of stems instead of words.
+
+    Both are decided once per distinct token, and the stored terms are then mapped by a join. Searches of the new
+    index treat their queries alike.
+    """
+    terms = index.texts.select("words_id", F.inline("terms"))
+    vocabulary = terms.select("token").distinct().filter(~F.col("token").isin(*stop_words))
+    stems = materialize(vocabulary.select("token", (stem(F.col("token")) if stem else F.col("token")).alias("stem")), "stems")
+    counted = terms.join(stems, "token").groupBy("words_id", "stem").agg(F.sum("tf").cast("int").alias("tf"))
+    kept = counted.groupBy("words_id").agg(
+        F.sum("tf").cast("long").alias("doc_len"), F.collect_list(F.struct(F.col("stem").alias("token"), "tf")).alias("terms")
+    )
+    texts = index.texts.drop("doc_len", "terms").join(kept, "words_id", "left").select(
+        "text_no", "words_id", "first_keys", "copies", F.coalesce("doc_len", F.lit(0).cast("long")).alias("doc_len"),
+        F.coalesce("terms", F.array().cast("array<struct<token:string,tf:int>>")).alias("terms"),
+    )
+    return TextIndex(materialize(texts, "analysed-texts"), index.members, index.keys, stems)
+
+
 def _points(idf: Column, saturation: Column) -> Column:
     return F.floor(idf * saturation * UNIT + 0.5)
 
@@ -112,9 +143,12 @@ def search_index(
     scratch = Scratch(queries.sparkSession)
 
     # Queries as sets of tokens, each set once.
-    asked = queries.select(
-        F.col(query_key), F.sort_array(F.array_distinct(tokens(F.col(query_text)))).alias("_set")
-    ).filter(F.size("_set") > 0)
+    asked = queries.select(F.col(query_key), F.array_distinct(tokens(F.col(query_text))).alias("_set"))
+    if index.stems is not None:
+        # Tokens no document has find nothing and may go.
+        mapped = asked.select(query_key, F.explode("_set").alias("token")).join(index.stems, "token")
+        asked = mapped.groupBy(query_key).agg(F.collect_set("stem").alias("_set"))
+    asked = asked.select(query_key, F.sort_array("_set").alias("_set")).filter(F.size("_set") > 0)
     asked = asked.withColumn("_set_id", F.unhex(F.sha2(F.concat_ws(" ", "_set"), 256)))
     asked = materialize(asked, "search-queries")
     sets = asked.groupBy("_set_id").agg(F.first("_set").alias("_set"))
@@ -212,6 +246,11 @@ def search_top_k(
     k: int = 1,
     k1: float = 1.2,
     b: float = 0.75,
+    stop_words: Sequence[str] = (),
+    stem: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Index the corpus and search it."""
-    return search_index(build_index(corpus, keys, text), queries, query_key, query_text, k, k1, b)
+    """Index the corpus and search it. Neither stop words nor stems unless asked for."""
+    index = build_index(corpus, keys, text)
+    if stop_words or stem:
+        index = analysed(index, stop_words, stem)
+    return search_index(index, queries, query_key, query_text, k, k1, b)

@@ -87,3 +87,12 @@ def test_index_counts_terms_and_copies(spark, rows):
     index = search.build_index(corpus, ["d"], "t")
     got = rows(index.texts.selectExpr("copies", "doc_len", "to_json(terms) as terms"))
     assert got == [(1, 0, "[]"), (2, 3, '[{"token":"a","tf":1},{"token":"b","tf":2}]')]
+
+
+def test_stop_words_and_stems(spark):
+    corpus = spark.createDataFrame([(1, "the walking dogs"), (2, "the the cat"), (3, "the"), (4, None)], "d int, t string")
+    queries = spark.createDataFrame([(1, "walked dog"), (2, "the"), (3, "the cats"), (4, "none here")], "q int, t string")
+    got = search.search_top_k(queries, corpus, "q", "t", ["d"], "t", 2, stop_words=["the"], stem=search.light_stem)
+    assert sorted((r.q, r.d) for r in got.collect()) == [(1, 1), (3, 2)]
+    index = search.analysed(search.build_index(corpus, ["d"], "t"), ["the"])
+    assert sorted((r.copies, r.doc_len) for r in index.texts.collect()) == [(1, 0), (1, 0), (1, 1), (1, 2)]
