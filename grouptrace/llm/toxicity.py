@@ -9,6 +9,7 @@ seen, so misspellings keep most of their vector.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grouptrace.llm import words
+from grouptrace.session import materialize
 
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 18
 DIMENSIONS = 8
 #: Bound of the training sample, in texts of each label (toxic, other); taken in order of a hash of doc_id.
-SAMPLE = {1: 2500, 0: 6000}
+SAMPLE = {1: 2000, 0: 4000}
 THRESHOLD = 0.7
 
 #: The mean counts this many neutral subwords besides a text's own, so that a few words alone decide little.
@@ -89,7 +91,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / (count + NEUTRAL) + self.bias, -500, 500)))
 
 
-def train(texts: list[str], toxic: list[int], epochs: int = 8, batch: int = 64, rate: float = 0.1, seed: int = 7) -> Model:
+def train(texts: pa.ChunkedArray | list[str], toxic: list[int], epochs: int = 8, batch: int = 64, rate: float = 0.1, seed: int = 7) -> Model:
     """Embeddings, linear layer and bias, learnt together by Adagrad on the softmax loss. Deterministic."""
     random = np.random.default_rng(seed)
     embedding = random.normal(0, 0.02, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32)
@@ -97,7 +99,9 @@ def train(texts: list[str], toxic: list[int], epochs: int = 8, batch: int = 64,
     seen = np.full(len(embedding), 1e-6, dtype=np.float32)
     seen_layer, seen_bias = np.full(layer.shape, 1e-3, np.float32), np.full(2, 1e-3, np.float32)
     bags = []
-    for row, data, bounds in words.chunks(pa.array(texts, pa.large_string())):
+    if isinstance(texts, list):
+        texts = pa.chunked_array([pa.array(texts, pa.string())])
+    for data, bounds in ((d, b) for part in texts.chunks for _, d, b in words.chunks(part)):
         text, bucket = (np.concatenate(x) for x in zip(*subwords(data, bounds)))
         pair, count = np.unique((text << BUCKET_BITS) | bucket, return_counts=True)
         at = np.searchsorted(pair >> BUCKET_BITS, np.arange(len(bounds)))
@@ -148,13 +152,18 @@ def fitted(documents: DataFrame, labels: DataFrame, sample: dict[int, int] = SAM
     """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = documents.where("text <> ''").select("doc_id", "text")
-    rows = texts.join(known.where(~held_out(F.col("doc_id"))), "doc_id")
-    order = [F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")]
-    taken = {y: [r["text"] for r in rows.where(F.col("toxic") == y).orderBy(*order).limit(n).select("text").collect()]
-             for y, n in sample.items()}
-    if not all(taken.values()):
+    usable = known.where(~held_out(F.col("doc_id"))).join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in sample.items()]
+    chosen = materialize(reduce(DataFrame.unionByName, chosen), "labelled-sample")
+    # As many rows as the sample's bound, so they may be sent to all tasks.
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("toxic", "doc_id").agg(F.min("text").alias("text"))
+    rows = materialize(rows, "labelled-texts")
+    taken = {y: rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").toArrow()["text"]
+             for y in sample}
+    if not all(len(own) for own in taken.values()):
         return Model(np.zeros(1 << BUCKET_BITS, np.float32), 0.0)
-    return train([t for own in taken.values() for t in own], [y for y, own in taken.items() for _ in own])
+    texts = pa.chunked_array([c for own in taken.values() for c in own.chunks])
+    return train(texts, [y for y, own in taken.items() for _ in range(len(own))])
 
 
 def score(text: Column, model: Model, spark) -> Column:
