@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from benchset.derived import REVENUE_COLUMNS, YEARS, Inputs, with_views
 from grouptrace.functions.text import normalize_name
+from grouptrace.functions.values import ISO_SECONDS_PATTERN
 from grouptrace.operators import ranking, reshape, sampling, search, tables
 from grouptrace.plans import matching, network, panel, present, registry
 from grouptrace.session import apply_runtime_conf, materialize, work_path
@@ -544,7 +545,7 @@ register("foreign_active", _foreign_sql("ACTIVA"))(
 register("foreign_merged", _foreign_sql("FUSIONADA"))(
     lambda t: registry.foreign_entities(entity_documents(t), registry.MERGED, LINK))
 
-_PATTERN = "([0-9]{{4}})-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T([01][0-9]|2[0-3]):([0-5][0-9]):([0-5][0-9])"
+_PATTERN = ISO_SECONDS_PATTERN.replace("{4}", "{{4}}")
 
 
 def _date_sql(c: str) -> str:
@@ -665,13 +666,17 @@ register("number_search_first_page", f"""
 
 # Matching ---------------------------------------------------------------------------------------
 
-EXACT = f"""
+def _exact_sql(decrees: str) -> str:
+    return f"""
     select g.grantee, e.registration_index, e.corp_name, e.status_id, e.status_es,
         case when e.corp_name is not null then 'exact' end as match_type
-    from (select distinct grantee from {{decrees}} where grantee is not null) g
+    from (select distinct grantee from {{{decrees}}} where grantee is not null) g
     left join {{name_records}} e on {NAME_KEY.format("g.grantee")} = {NAME_KEY.format("e.corp_name")}"""
 
 
+EXACT, SEARCHED_EXACT = _exact_sql("decrees"), _exact_sql("benchmark_decrees")
+
+
 @register("normalized_names", f"""
     select doc_id, {NAME_KEY.format("spaced")} as name from {{spaced_texts}}""")
 def normalized_names(t: Inputs) -> DataFrame:
@@ -743,7 +748,7 @@ register("text_search_stemmed_top3", f"""
 GRANTEE_SEARCH = f"""
     select query as grantee, registration_index, corp_name, status_id, status_es, score
     from ({_bm25_sql(
-        f"select grantee as query, grantee as text from ({EXACT}) where match_type is null",
+        f"select grantee as query, grantee as text from ({SEARCHED_EXACT}) where match_type is null",
         "select registration_index, corp_name, corp_name as text from {name_records}",
         "registration_index, corp_name", 1)}) h
     join {{name_records}} r using (registration_index, corp_name)"""
@@ -751,7 +756,8 @@ GRANTEE_SEARCH = f"""
 
 @register("grantee_search_top1", GRANTEE_SEARCH)
 def grantee_search_top1(t: Inputs) -> DataFrame:
-    return matching.search_grantees(unmatched_grantees(t), name_entities(t), 1)
+    entities = name_entities(t)
+    return matching.search_grantees(matching.unmatched_grantees(t["benchmark_decrees"], entities), entities, 1)
 
 
 _STORED = f"select distinct grantee from ({EXACT}) where match_type is null and length(grantee) % 2 = 0"

@@ -247,6 +247,14 @@ VIEWS: dict[str, str] = {
     "decrees": """
         select doc_id as decree_id, case when doc_id % 6 = 0 then ' ' || line || ' ' else line end as grantee
         from {text_lines} where doc_id % 2 = 0""",
+    # Every line of the benchmark's texts, to be searched among the documents' lines.
+    "benchmark_lines": """
+        select distinct item_id, line from (select item_id, unnest(string_split(text, chr(10))) as line from {benchmark})
+        where line <> ''""",
+    "benchmark_decrees": """
+        select item_id as decree_id, line as grantee from {benchmark_lines}
+        union all
+        select doc_id as decree_id, line as grantee from {text_lines} where line like '%icense%'""",
     "decree_texts": """
         select doc_id as decree_id, text as grantee from {documents}""",
     "name_records": """

@@ -61,10 +61,6 @@ def split_at(col: Column, delimiter: str, position: int) -> Column:
     return F.try_element_at(F.split(col, re.escape(delimiter)), F.lit(position))
 
 
-def strip_json_quotes(col: Column) -> Column:
-    return F.replace(col, F.lit('"'), F.lit(""))
-
-
 def file_name_of(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
