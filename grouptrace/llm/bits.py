@@ -8,8 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from grouptrace.llm import words
 
@@ -64,15 +63,9 @@ def filter_of(keys: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def may_be_in(key: Column, bits: np.ndarray, spark) -> Column:
-    """Does a key, which isn't null, pass the filter?"""
-    shared = spark.sparkContext.broadcast(bits)
-
-    @F.arrow_udf("boolean")
-    def passes(column: pa.Array) -> pa.Array:
-        found = np.ones(len(column), dtype=bool)
-        for at in _places(np.asarray(column)):
-            found &= (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return pa.array(found)
-
-    return passes(key)
+def may_be_in(key: np.ndarray, filter_bits: np.ndarray) -> np.ndarray:
+    """Which keys pass the filter?"""
+    found = np.ones(len(key), dtype=bool)
+    for at in _places(key):
+        found &= (filter_bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return found

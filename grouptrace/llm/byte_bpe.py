@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Pieces up to this many bytes keep all steps of the recursion (a quadratic number of rows); longer ones only the last.
 SHORT = 64
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_500_000
 CACHED_PIECES = 400_000
 
 _STEPS = """
@@ -82,7 +82,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Coder:
     """A vocabulary in an in-memory DuckDB. encode() and decode() work on many pieces or texts in one query."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: str = "300MB"):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: str = "150MB"):
         import duckdb
         import regex
 

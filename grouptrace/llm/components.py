@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from grouptrace.session import materialize
 
 
+ROWS_PER_FILE = 200_000
+
+
 def _directed(links: DataFrame) -> DataFrame:
     return links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
 
@@ -16,6 +19,11 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def files_for(rows: int) -> int:
+    """How many files a table of short rows is worth."""
+    return 1 + rows // ROWS_PER_FILE
+
+
 def components(links: DataFrame) -> DataFrame:
     """(vertex, root): for each vertex that has a link the smallest vertex it can reach.
 
@@ -28,10 +36,11 @@ def components(links: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "links")
+        large = materialize(large.coalesce(files_for(state[0])), "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         lower = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(lower.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        lower = lower.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        now = materialize(lower.coalesce(files_for(state[0])), "links")
         before, state = state, _state(now)
         if before == state:
             roots = now.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct()

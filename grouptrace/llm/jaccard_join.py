@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grouptrace.llm import bits, words
-from grouptrace.llm.components import components
+from grouptrace.llm.components import components, files_for
 from grouptrace.session import materialize
 
 SHINGLE = 5
@@ -307,10 +307,16 @@ def fragments(documents: DataFrame, first: DataFrame, wanted: DataFrame, order:
                     names=["fragment", "vertex", "keys"],
                 )
 
-    near = documents.where("doc_id IS NOT NULL").select("doc_id", "text")
-    near = near.where(bits.may_be_in(F.col("doc_id"), known, documents.sparkSession))
-    texts = near.select("doc_id", words.packed(F.col("text")).alias("packed")).join(chosen, "doc_id")
-    texts = texts.select("packed", "own")
+    shared = documents.sparkSession.sparkContext.broadcast(known)
+
+    def thinned(batches):
+        for batch in batches:
+            kept = batch.filter(pa.array(bits.may_be_in(np.asarray(batch.column("doc_id")), shared.value)))
+            yield pa.RecordBatch.from_arrays(
+                [kept.column("doc_id"), words.pack(kept.column("text"))], names=["doc_id", "packed"])
+
+    near = documents.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(thinned, "doc_id long, packed binary")
+    texts = words.met(near, chosen, "doc_id").select("packed", "own")
     return texts.mapInArrow(cut, "fragment int, vertex long, keys binary").dropDuplicates(["fragment", "vertex"])
 
 
@@ -378,9 +384,11 @@ def joined(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     alone = sets.drop("doc_id").withColumn("root", F.col("vertex"))
     pairs = materialize(candidates(shared, large, alone, percent, True), "pairs")
-    wanted = materialize(pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct(), "wanted")
+    files = files_for(pairs.count())
+    wanted = pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct()
+    wanted = materialize(wanted.coalesce(files), "wanted")
     parts = materialize(fragments(documents, sets.select("vertex", "doc_id"), wanted, order), "fragments")
-    roots = materialize(components(links(pairs, parts, percent)), "roots")
+    roots = materialize(components(links(pairs, parts, percent)).coalesce(files), "roots")
 
     grouped = alone.drop("root").join(wanted, "vertex").join(roots, "vertex", "left")
     grouped = grouped.withColumn("root", F.coalesce("root", "vertex"))

@@ -113,7 +113,7 @@ def extended(documents: DataFrame, survivors: DataFrame, length: int, spread: in
                 yield _rows(ids[row + text], key)
 
     texts = documents.where("doc_id IS NOT NULL").select("doc_id", words.packed(F.col("text")).alias("packed"))
-    return texts.join(lists, "doc_id").mapInArrow(extend, "key long, doc_id long")
+    return words.met(texts, lists, "doc_id").mapInArrow(extend, "key long, doc_id long")
 
 
 def later_occurrences(rows: DataFrame) -> DataFrame:
@@ -202,4 +202,4 @@ def marked(documents: DataFrame, repeats: DataFrame) -> DataFrame:
     its keys (null: none)."""
     others = [f"`{c}`" for c in documents.columns if c != "text"]
     rows = documents.select(F.struct(*others).alias("row"), "doc_id", words.packed(F.col("text")).alias("packed"))
-    return rows.join(repeats, "doc_id", "left").select("row", "packed", "keys")
+    return words.met(rows, repeats, "doc_id", "left").select("row", "packed", "keys")

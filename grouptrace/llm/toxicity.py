@@ -23,7 +23,7 @@ SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 18
 DIMENSIONS = 8
 #: Bound of the training sample, in texts of each label (toxic, other); taken in order of a hash of doc_id.
-SAMPLE = {1: 2000, 0: 4000}
+SAMPLE = {1: 1500, 0: 3000}
 THRESHOLD = 0.7
 
 #: The mean counts this many neutral subwords besides a text's own, so that a few words alone decide little.
@@ -98,26 +98,32 @@ def train(texts: pa.ChunkedArray | list[str], toxic: list[int], epochs: int = 8,
     layer, bias = random.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
     seen = np.full(len(embedding), 1e-6, dtype=np.float32)
     seen_layer, seen_bias = np.full(layer.shape, 1e-3, np.float32), np.full(2, 1e-3, np.float32)
-    bags = []
+    # All texts' bags in three flat arrays: buckets, their weights in the mean, and where each bag begins.
+    buckets, weights, lengths = [], [], []
     if isinstance(texts, list):
         texts = pa.chunked_array([pa.array(texts, pa.string())])
-    for data, bounds in ((d, b) for part in texts.chunks for _, d, b in words.chunks(part)):
+    for data, bounds in ((d, b) for part in texts.chunks for _, d, b in words.chunks(part, 100_000)):
         text, bucket = (np.concatenate(x) for x in zip(*subwords(data, bounds)))
         pair, count = np.unique((text << BUCKET_BITS) | bucket, return_counts=True)
-        at = np.searchsorted(pair >> BUCKET_BITS, np.arange(len(bounds)))
-        for a, b in zip(at[:-1], at[1:]):
-            bags.append(((pair[a:b] & ((1 << BUCKET_BITS) - 1)).astype(np.int32),
-                         (SCALE * count[a:b] / (NEUTRAL + count[a:b].sum())).astype(np.float32)))
+        text = pair >> BUCKET_BITS
+        size = NEUTRAL + np.bincount(text, weights=count, minlength=len(bounds) - 1)
+        buckets.append((pair & ((1 << BUCKET_BITS) - 1)).astype(np.int32))
+        weights.append((SCALE * count / size[text]).astype(np.float32))
+        lengths.append(np.bincount(text, minlength=len(bounds) - 1))
+    buckets = np.concatenate(buckets)
+    weights = np.concatenate(weights)
+    lengths = np.concatenate(lengths)
+    ends = np.cumsum(lengths)
     labels = np.array(toxic)
-    usable = np.array([i for i, (bucket, _) in enumerate(bags) if len(bucket)], dtype=np.int64)
+    usable = np.flatnonzero(lengths)
     for _ in range(epochs):
         order = random.permutation(usable)
         for o in range(0, len(order), batch):
             chosen = order[o: o + batch]
-            n = np.array([len(bags[i][0]) for i in chosen])
-            bucket = np.concatenate([bags[i][0] for i in chosen])
-            weight = np.concatenate([bags[i][1] for i in chosen])[:, None]
+            n = lengths[chosen]
             starts = np.cumsum(n) - n
+            at = np.repeat(ends[chosen] - n - starts, n) + np.arange(n.sum())
+            bucket, weight = buckets[at], weights[at][:, None]
             mean = np.add.reduceat(embedding[bucket] * weight, starts, axis=0)
             logits = mean @ layer + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
@@ -114,8 +114,8 @@ class Words:
         return b" ".join(self.data[self.start[j]: self.end[j]].tobytes() for j in chosen)
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, text bounds) of slices of a string column of about CHUNK_BYTES; null is an empty text.
+def chunks(column: pa.Array, size: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, text bounds) of slices of a string column of about CHUNK_BYTES (or size); null is an empty text.
 
     A text is never cut: a longer one makes a chunk of its own.
     """
@@ -132,23 +132,30 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
-        end = int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[row] + (size or CHUNK_BYTES), side="right")) - 1
         end = min(len(column), max(end, row + 1))
         yield row, data[offsets[row]: offsets[end]], offsets[row: end + 1] - offsets[row]
         row = end
 
 
-def packed(text: Column) -> Column:
+def pack(column: pa.Array) -> pa.Array:
     """Texts compressed for a shuffle, each behind its length; null stays null."""
+    codec = pa.Codec("zstd")
+    raw = (None if x is None else x.encode() for x in column.to_pylist())
+    out = [None if x is None else len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in raw]
+    return pa.array(out, pa.binary())
 
-    @F.arrow_udf("binary")
-    def pack(column: pa.Array) -> pa.Array:
-        codec = pa.Codec("zstd")
-        raw = (None if x is None else x.encode() for x in column.to_pylist())
-        out = [None if x is None else len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in raw]
-        return pa.array(out, pa.binary())
 
-    return pack(text)
+def packed(text: Column) -> Column:
+    return F.arrow_udf(pack, "binary")(text)
+
+
+def met(texts: DataFrame, rows: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Packed texts joined with rows for a next Python step.
+
+    Always by a shuffle: a broadcast would chain both Python steps in each task, which takes two workers at a time.
+    """
+    return texts.join(rows.hint("merge"), key, how)
 
 
 def unpacked(column: pa.Array) -> pa.Array:
