@@ -41,13 +41,13 @@ SLACK = 2_000
 class TextIndex:
     """``texts``: text_no, words_id, first_keys, copies, doc_len, terms. ``members``: words_id, document keys.
 
-    ``stems``: (token, stem) of the tokens that count, where the index is of stems.
+    ``analysis``: how tokens became the index's terms, as (column of tokens kept?, column of the term), where it isn't plain.
     """
 
     texts: DataFrame
     members: DataFrame
     keys: tuple[str, ...]
-    stems: DataFrame | None = None
+    analysis: tuple[Callable[[Column], Column], Callable[[Column], Column]] | None = None
 
 
 def build_index(corpus: DataFrame, keys: Sequence[str], text: str) -> TextIndex:
@@ -101,9 +101,10 @@ def analysed(
     Both are decided once per distinct token, and the stored terms are then mapped by a join. Searches of the new
     index treat their queries alike.
     """
+    counts, term = (lambda token: ~token.isin(*stop_words)), (stem or (lambda token: token))
     terms = index.texts.select("words_id", F.inline("terms"))
-    vocabulary = terms.select("token").distinct().filter(~F.col("token").isin(*stop_words))
-    stems = materialize(vocabulary.select("token", (stem(F.col("token")) if stem else F.col("token")).alias("stem")), "stems")
+    vocabulary = terms.select("token").distinct().filter(counts(F.col("token")))
+    stems = materialize(vocabulary.select("token", term(F.col("token")).alias("stem")), "stems")
     counted = terms.join(stems, "token").groupBy("words_id", "stem").agg(F.sum("tf").cast("int").alias("tf"))
     kept = counted.groupBy("words_id").agg(
         F.sum("tf").cast("long").alias("doc_len"), F.collect_list(F.struct(F.col("stem").alias("token"), "tf")).alias("terms")
@@ -112,7 +113,7 @@ def analysed(
         "text_no", "words_id", "first_keys", "copies", F.coalesce("doc_len", F.lit(0).cast("long")).alias("doc_len"),
         F.coalesce("terms", F.array().cast("array<struct<token:string,tf:int>>")).alias("terms"),
     )
-    return TextIndex(materialize(texts, "analysed-texts"), index.members, index.keys, stems)
+    return TextIndex(materialize(texts, "analysed-texts"), index.members, index.keys, (counts, term))
 
 
 def _points(idf: Column, saturation: Column) -> Column:
@@ -144,10 +145,9 @@ def search_index(
 
     # Queries as sets of tokens, each set once.
     asked = queries.select(F.col(query_key), F.array_distinct(tokens(F.col(query_text))).alias("_set"))
-    if index.stems is not None:
-        # Tokens no document has find nothing and may go.
-        mapped = asked.select(query_key, F.explode("_set").alias("token")).join(index.stems, "token")
-        asked = mapped.groupBy(query_key).agg(F.collect_set("stem").alias("_set"))
+    if index.analysis:
+        kept = F.filter("_set", index.analysis[0])
+        asked = asked.withColumn("_set", F.array_distinct(F.transform(kept, index.analysis[1])))
     asked = asked.select(query_key, F.sort_array("_set").alias("_set")).filter(F.size("_set") > 0)
     asked = asked.withColumn("_set_id", F.unhex(F.sha2(F.concat_ws(" ", "_set"), 256)))
     asked = materialize(asked, "search-queries")
