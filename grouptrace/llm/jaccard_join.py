@@ -369,8 +369,8 @@ def joined(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of documents.
 
     A null or empty text has no shingles and links with nothing: it is its own component. Rows with equal sets are
-    linked whatever their number. A row without doc_id gets its component's id too (null if all are without).
-    An empty table gives an empty result.
+    linked whatever their number; rows with one doc_id are one document. A row without doc_id gets its component's id
+    too (null if all are without). An empty table gives an empty result.
     """
     rows = materialize(described(documents), "vertices")
     order = Order(frequency_levels(rows))
@@ -394,11 +394,16 @@ def joined(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     grouped = grouped.withColumn("root", F.coalesce("root", "vertex"))
     across = materialize(candidates(shared, large, grouped, percent, False), "pairs")
     every = links(across, parts, percent).unionByName(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")))
-    roots = components(every)
 
-    root = F.when(F.col("n") > 0, F.coalesce("root", "vertex"))
-    placed = rows.select("doc_id", "vertex", "n").join(roots, "vertex", "left").withColumn("root", root)
-    least = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "root", "left").select(
+    # Between the smallest documents of the classes, so that a root is the component's smallest document.
+    least = sets.select("vertex", "doc_id")
+    for side in ("a", "b"):
+        named = least.select(F.col("vertex").alias(side), F.col("doc_id").alias(f"{side}_doc"))
+        every = every.join(named, side)
+    found = components(every.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")))
+    placed = least.join(found.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").select(
+        "vertex", F.coalesce("root", "doc_id").alias("least")
+    )
+    return rows.join(placed, "vertex", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
     )
