@@ -745,21 +745,31 @@ register("text_search_stemmed_top3", f"""
         lambda t: search.search_top_k(t["benchmark"], t["documents"], "item_id", "text", ["doc_id"], "text", 3,
                                       stop_words=_STOP_WORDS, stem=search.light_stem))
 
-GRANTEE_SEARCH = f"""
+def _grantee_search_sql(exact: str) -> str:
+    return f"""
     select query as grantee, registration_index, corp_name, status_id, status_es, score
     from ({_bm25_sql(
-        f"select grantee as query, grantee as text from ({SEARCHED_EXACT}) where match_type is null",
+        f"select grantee as query, grantee as text from ({exact}) where match_type is null",
         "select registration_index, corp_name, corp_name as text from {name_records}",
         "registration_index, corp_name", 1)}) h
     join {{name_records}} r using (registration_index, corp_name)"""
 
 
+GRANTEE_SEARCH = _grantee_search_sql(SEARCHED_EXACT)
+
+
 @register("grantee_search_top1", GRANTEE_SEARCH)
 def grantee_search_top1(t: Inputs) -> DataFrame:
     entities = name_entities(t)
     return matching.search_grantees(matching.unmatched_grantees(t["benchmark_decrees"], entities), entities, 1)
 
 
+@register("unmatched_grantee_search_top1", _grantee_search_sql(EXACT))
+def unmatched_grantee_search_top1(t: Inputs) -> DataFrame:
+    """The whole C05: everything that C04 leaves over is searched."""
+    return matching.search_grantees(unmatched_grantees(t), name_entities(t), 1)
+
+
 _STORED = f"select distinct grantee from ({EXACT}) where match_type is null and length(grantee) % 2 = 0"
 
 

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from benchset import catalog
 from grouptrace.operators import search
 
 
@@ -96,3 +97,20 @@ def test_stop_words_and_stems(spark):
     assert sorted((r.q, r.d) for r in got.collect()) == [(1, 1), (3, 2)]
     index = search.analysed(search.build_index(corpus, ["d"], "t"), ["the"])
     assert sorted((r.copies, r.doc_len) for r in index.texts.collect()) == [(1, 0), (1, 0), (1, 1), (1, 2)]
+
+
+def test_every_unmatched_grantee_is_searched(spark, tmp_path):
+    """All lines of even documents that no odd document has are searched, whatever words they hold."""
+    rng = random.Random(6)
+    line = lambda: " ".join(rng.choice(["iron", "coal", "salt", "wool", "silk", "jute"]) for _ in range(rng.randint(1, 5)))
+    texts = {d: [line() for _ in range(3)] for d in range(1, 21)}
+    spark.createDataFrame([(d, "\n".join(own)) for d, own in texts.items()], "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    entities = [((f"{d}-111", name), name) for d, own in texts.items() if d % 2 for name in sorted(set(own))]
+    names = {name for _, name in entities}
+    asked = {x for d, own in texts.items() if d % 2 == 0 for x in own} - names
+    got = catalog.QUERIES["unmatched_grantee_search_top1"](spark, str(tmp_path)).collect()
+    # Grantees and names of some documents stand between spaces.
+    found = {r.grantee.strip(): ((r.registration_index, r.corp_name.strip()), r.score) for r in got}
+    assert found == {q: hit for (q, _), hit in brute_force([(q, q) for q in asked], entities, 1).items()}
+    assert set(found) == asked and len(asked) > 10
