@@ -4,10 +4,15 @@ Texts are brought to templates: tokens are lower-cased and freed of outer punctu
 measure become typed placeholders. Windows of ten tokens are hash-joined between documents and benchmark items. Along
 each alignment of a document with an item, a slot's value in the item must always stand for the same value in the document:
 a question with new numbers or names is caught, a chance match of templates isn't.
+
+Beside them, windows of the values themselves find verbatim copies, whatever share of them is literal. Windows of ten tokens
+are compared without regard to case. An item of fewer tokens, which is one window, must agree in case too.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +21,7 @@ from pyspark.sql import functions as F
 from grouptrace.llm import words
 
 WINDOW = 10
-#: An item with fewer tokens than WINDOW is searched as a whole, down to this many.
+#: An item with fewer tokens than WINDOW is searched as a whole; its template down to this many, its values always.
 SHORTEST = 5
 #: Share of a window's tokens that must be literal, in percent.
 LITERAL_PERCENT = 60
@@ -84,39 +89,52 @@ class Template:
         self.slot = number | name | unit
         self.code = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, self.value)))
         self.range = np.searchsorted(text, np.arange(len(bounds)))
+        self.bytes = data, start, end
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and keys of the windows of so many tokens with enough literals among them."""
-        start = np.arange(max(0, len(self.code) - size + 1))
-        literal = np.concatenate([[0], np.cumsum(~self.slot)])
-        enough = 100 * (literal[start + size] - literal[start]) >= LITERAL_PERCENT * size
-        start = start[(self.text[start] == self.text[start + size - 1]) & enough]
-        return start, words.sequence_hash(self.code, start, start + size) ^ words.U(size)
+    @cached_property
+    def exact(self) -> np.ndarray:
+        """Hashes of the tokens in their own case."""
+        return words.range_hash(*self.bytes)
 
-    def slots(self, start: np.ndarray, size: int) -> pa.Array:
-        """Per window the values in its slots."""
+    def windows(self, size: int, verbatim: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and keys of the windows of so many tokens: verbatim ones, or templates with enough literals among them."""
+        start = np.arange(max(0, len(self.code) - size + 1))
+        start = start[self.text[start] == self.text[start + size - 1]]
+        if verbatim:
+            codes = self.value if size == WINDOW else self.exact
+        else:
+            codes = self.code
+            literal = np.concatenate([[0], np.cumsum(~self.slot)])
+            start = start[100 * (literal[start + size] - literal[start]) >= LITERAL_PERCENT * size]
+        return start, words.sequence_hash(codes, start, start + size) ^ words.U(size)
+
+    def slots(self, start: np.ndarray, size: int, verbatim: bool) -> pa.Array:
+        """Per window the values in its slots; a verbatim window has none."""
         at = start[:, None] + np.arange(size)
-        inside = self.slot[at]
+        inside = self.slot[at] & (not verbatim)
         ends = np.concatenate([[0], np.cumsum(inside.sum(axis=1))])
         return pa.ListArray.from_arrays(
             pa.array(ends, pa.int32()), pa.array(self.value[at][inside].view(np.int64), pa.int64()))
 
 
-_COLUMNS = ("key", "id", "place", "size", "slots")
-_SCHEMA = "key long, id long, place int, size int, slots array<bigint>"
+_COLUMNS = ("key", "id", "place", "size", "verbatim", "slots")
+_SCHEMA = "key long, id long, place int, size int, verbatim boolean, slots array<bigint>"
 
 
-def _rows(ids: np.ndarray, row: int, t: Template, start: np.ndarray, key: np.ndarray, size: int) -> pa.RecordBatch:
+def _rows(
+    ids: np.ndarray, row: int, t: Template, start: np.ndarray, key: np.ndarray, size: int, verbatim: bool
+) -> pa.RecordBatch:
     place = start - t.range[t.text[start]]
     return pa.RecordBatch.from_arrays(
         [pa.array(key.view(np.int64)), pa.array(ids[row + t.text[start]], pa.int64()), pa.array(place, pa.int32()),
-         pa.array(np.full(len(start), size), pa.int32()), t.slots(start, size)],
+         pa.array(np.full(len(start), size), pa.int32()), pa.array(np.full(len(start), verbatim)),
+         t.slots(start, size, verbatim)],
         names=list(_COLUMNS),
     )
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(key, id, place, size, slots) of all items' template windows; short items are one window."""
+    """(key, id, place, size, verbatim, slots) of all items' windows of both kinds; short items are one window."""
 
     def cut(batches):
         for batch in batches:
@@ -124,12 +142,13 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             for row, data, bounds in words.chunks(batch.column("text")):
                 t = Template(data, bounds)
                 lengths = np.diff(t.range)
-                for size in range(SHORTEST, WINDOW + 1):
-                    start, key = t.windows(size)
-                    if size < WINDOW:
-                        whole = lengths[t.text[start]] == size
-                        start, key = start[whole], key[whole]
-                    yield _rows(ids, row, t, start, key, size)
+                for verbatim, least in ((False, SHORTEST), (True, 1)):
+                    for size in range(least, WINDOW + 1):
+                        start, key = t.windows(size, verbatim)
+                        if size < WINDOW:
+                            whole = lengths[t.text[start]] == size
+                            start, key = start[whole], key[whole]
+                        yield _rows(ids, row, t, start, key, size, verbatim)
 
     rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
     return rows.mapInArrow(cut, _SCHEMA)
@@ -167,8 +186,8 @@ def _filter(items: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def document_windows(documents: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
-    """(key, id, place, size, slots) of the documents' template windows that pass the filter."""
+def document_windows(documents: DataFrame, bits: np.ndarray, kinds: list[tuple[bool, int]]) -> DataFrame:
+    """(key, id, place, size, verbatim, slots) of the documents' windows of some kinds and sizes that pass the filter."""
     shared = documents.sparkSession.sparkContext.broadcast(bits)
 
     def cut(batches):
@@ -176,13 +195,13 @@ def document_windows(documents: DataFrame, bits: np.ndarray, sizes: list[int]) -
             ids = np.asarray(batch.column("doc_id"))
             for row, data, bounds in words.chunks(batch.column("text")):
                 t = Template(data, bounds)
-                for size in sizes:
-                    start, key = t.windows(size)
+                for verbatim, size in kinds:
+                    start, key = t.windows(size, verbatim)
                     bit = key >> words.U(64 - _FILTER_BITS)
                     hit = (shared.value[(bit >> words.U(3)).astype(np.int64)] >> (7 - (bit & words.U(7))).astype(np.uint8)) & 1
                     start, key = start[hit == 1], key[hit == 1]
                     if len(start):
-                        yield _rows(ids, row, t, start, key, size)
+                        yield _rows(ids, row, t, start, key, size, verbatim)
 
     rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     return rows.mapInArrow(cut, _SCHEMA)
@@ -195,24 +214,24 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     have no windows. Rows that share an id are taken together. Empty tables give an empty result.
     """
     items = item_windows(benchmark)
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
-    found = document_windows(documents, _filter(items), sizes)
+    kinds = sorted((r["verbatim"], r["size"]) for r in items.select("verbatim", "size").distinct().collect())
+    found = document_windows(documents, _filter(items), kinds)
     joined = found.join(
-        items.select("key", "size", F.col("id").alias("item_id"), F.col("place").alias("item_place"),
+        items.select("key", "size", "verbatim", F.col("id").alias("item_id"), F.col("place").alias("item_place"),
                      F.col("slots").alias("item_slots")),
-        ["key", "size"],
+        ["key", "size", "verbatim"],
     ).select(
-        F.col("id").alias("doc_id"), "item_id", "place", "size", (F.col("place") - F.col("item_place")).alias("shift"),
+        F.col("id").alias("doc_id"), "item_id", "place", "size", "verbatim", (F.col("place") - F.col("item_place")).alias("shift"),
         "slots", "item_slots",
     )
     passage = ["doc_id", "item_id", "shift"]
     pairs = joined.where(F.size("slots") > 0).select(*passage, F.explode(F.arrays_zip("item_slots", "slots")).alias("p"))
     values = pairs.groupBy(*passage, "p.item_slots").agg(F.min("p.slots").alias("low"), F.max("p.slots").alias("high"))
-    unlike = values.where("low <> high").select(*passage).distinct()
-    passages = joined.groupBy(*passage).agg(
+    unlike = values.where("low <> high").select(*passage, F.lit(False).alias("verbatim")).distinct()
+    passages = joined.join(unlike, [*passage, "verbatim"], "left_anti")
+    agreed = passages.groupBy(*passage).agg(
         F.countDistinct("place").alias("n"), F.min("place").alias("first"),
         F.max(F.col("place") + F.col("size")).alias("end"))
-    agreed = passages.join(unlike, passage, "left_anti")
     return agreed.groupBy("doc_id", "item_id").agg(
         F.sum("n").alias("n_windows"), F.min("first").cast("long").alias("first_token"),
         (F.max("end") - F.min("first")).cast("long").alias("n_tokens"),

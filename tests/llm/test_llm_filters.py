@@ -64,6 +64,17 @@ def test_random_passages(spark):
     assert leaked(spark, texts + texts[:3], bench) == want and want
 
 
+def test_verbatim_copies_are_found_whatever_they_hold(spark):
+    sums = " ".join(f"{i} + {3 * i} = {4 * i}" for i in range(10, 22))
+    title = "The Old Mill Near Silver Creek Was Bought By Anna Berg And Paul Stone In Spring"
+    german = "Am Montag kaufte der Bauer zwei Pferde auf dem Markt von Neustadt und gab dem Nachbarn sein Geld"
+    short, tiny = "What is the boiling point of mercury", "Name four Moons"
+    pairs = [(1, sums), (2, title), (3, german), (4, short), (5, tiny)]
+    texts = [(1, "see " + sums), (2, title.upper()), (3, german.lower()), (4, "Q1 " + short + "? 357"), (5, "please: " + tiny + "."),
+             (6, " ".join(str(7 * i) for i in range(40))), (7, "Name four moons or Moons four Name")]
+    assert leaked(spark, texts, pairs) == {(i, i) for i in range(1, 6)}
+
+
 def test_empty_tables_have_no_leaks(spark):
     assert leaked(spark, [], [(1, QUESTION)]) == set()
     assert leaked(spark, [(1, QUESTION)], []) == set()
