@@ -1,8 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Texts are brought to templates: tokens are lower-cased and freed of outer punctuation, and numbers, names and units of
-measure become typed placeholders. Windows of ten tokens are hash-joined between documents and benchmark items. Along
-each alignment of a document with an item, a slot's value in the item must always stand for the same value in the document:
+measure become typed placeholders. Windows of ten tokens are hash-joined between documents and benchmark items. In each
+run of overlapping windows along an alignment, a slot's value in the item must always stand for the same value in the document:
 a question with new numbers or names is caught, a chance match of templates isn't.
 
 Beside them, windows of the values themselves find verbatim copies, whatever share of them is literal. Windows of ten tokens
@@ -15,7 +15,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grouptrace.llm import words
@@ -91,6 +91,11 @@ class Template:
         self.range = np.searchsorted(text, np.arange(len(bounds)))
         self.bytes = data, start, end
 
+    @cached_property
+    def row(self) -> np.ndarray:
+        """Per text a hash of its values, which tells apart rows that share an id."""
+        return words.sequence_hash(self.value, self.range[:-1], self.range[1:])
+
     @cached_property
     def exact(self) -> np.ndarray:
         """Hashes of the tokens in their own case."""
@@ -117,8 +122,8 @@ class Template:
             pa.array(ends, pa.int32()), pa.array(self.value[at][inside].view(np.int64), pa.int64()))
 
 
-_COLUMNS = ("key", "id", "place", "size", "verbatim", "slots")
-_SCHEMA = "key long, id long, place int, size int, verbatim boolean, slots array<bigint>"
+_COLUMNS = ("key", "id", "row", "place", "size", "verbatim", "slots")
+_SCHEMA = "key long, id long, row long, place int, size int, verbatim boolean, slots array<bigint>"
 
 
 def _rows(
@@ -126,15 +131,15 @@ def _rows(
 ) -> pa.RecordBatch:
     place = start - t.range[t.text[start]]
     return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), pa.array(ids[row + t.text[start]], pa.int64()), pa.array(place, pa.int32()),
-         pa.array(np.full(len(start), size), pa.int32()), pa.array(np.full(len(start), verbatim)),
+        [pa.array(key.view(np.int64)), pa.array(ids[row + t.text[start]], pa.int64()),
+         pa.array(t.row[t.text[start]].view(np.int64)), pa.array(place, pa.int32()), pa.array(np.full(len(start), size), pa.int32()), pa.array(np.full(len(start), verbatim)),
          t.slots(start, size, verbatim)],
         names=list(_COLUMNS),
     )
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(key, id, place, size, verbatim, slots) of all items' windows of both kinds; short items are one window."""
+    """(key, id, row, place, size, verbatim, slots) of all items' windows of both kinds; short items are one window."""
 
     def cut(batches):
         for batch in batches:
@@ -187,7 +192,7 @@ def _filter(items: DataFrame) -> np.ndarray:
 
 
 def document_windows(documents: DataFrame, bits: np.ndarray, kinds: list[tuple[bool, int]]) -> DataFrame:
-    """(key, id, place, size, verbatim, slots) of the documents' windows of some kinds and sizes that pass the filter."""
+    """(key, id, row, place, size, verbatim, slots) of the documents' windows of some kinds and sizes that pass the filter."""
     shared = documents.sparkSession.sparkContext.broadcast(bits)
 
     def cut(batches):
@@ -210,28 +215,34 @@ def document_windows(documents: DataFrame, bits: np.ndarray, kinds: list[tuple[b
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, first_token, n_tokens): each item that a document contains, once.
 
-    first_token and n_tokens span all its passages, n_windows counts the windows that agree. Rows without an id or a text
-    have no windows. Rows that share an id are taken together. Empty tables give an empty result.
+    first_token and n_tokens span all its passages, n_windows counts the windows that agree. Windows that don't overlap, or
+    come from different rows, needn't agree with each other. Rows without an id or a text have no windows. What is found
+    for rows that share an id is taken together. Empty tables give an empty result.
     """
     items = item_windows(benchmark)
     kinds = sorted((r["verbatim"], r["size"]) for r in items.select("verbatim", "size").distinct().collect())
     found = document_windows(documents, _filter(items), kinds)
     joined = found.join(
-        items.select("key", "size", "verbatim", F.col("id").alias("item_id"), F.col("place").alias("item_place"),
+        items.select("key", "size", "verbatim", F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("place").alias("item_place"),
                      F.col("slots").alias("item_slots")),
         ["key", "size", "verbatim"],
     ).select(
-        F.col("id").alias("doc_id"), "item_id", "place", "size", "verbatim", (F.col("place") - F.col("item_place")).alias("shift"),
+        F.col("id").alias("doc_id"), "item_id", "row", "item_row", "place", "size", "verbatim", (F.col("place") - F.col("item_place")).alias("shift"),
         "slots", "item_slots",
     )
-    passage = ["doc_id", "item_id", "shift"]
-    pairs = joined.where(F.size("slots") > 0).select(*passage, F.explode(F.arrays_zip("item_slots", "slots")).alias("p"))
-    values = pairs.groupBy(*passage, "p.item_slots").agg(F.min("p.slots").alias("low"), F.max("p.slots").alias("high"))
-    unlike = values.where("low <> high").select(*passage, F.lit(False).alias("verbatim")).distinct()
-    passages = joined.join(unlike, [*passage, "verbatim"], "left_anti")
-    agreed = passages.groupBy(*passage).agg(
-        F.countDistinct("place").alias("n"), F.min("place").alias("first"),
-        F.max(F.col("place") + F.col("size")).alias("end"))
+    alignment = ["doc_id", "item_id", "shift", "row", "item_row", "verbatim"]
+    ordered = Window.partitionBy(*alignment).orderBy("place")
+    apart = F.coalesce(F.col("place") >= F.lag("place").over(ordered) + F.col("size"), F.lit(False))
+    runs = joined.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(ordered))
+    pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda p: F.xxhash64(p["item_slots"], p["slots"]))
+    passages = runs.groupBy(*alignment, "run").agg(
+        F.collect_set("place").alias("places"), F.min("place").alias("first"), F.max(F.col("place") + F.col("size")).alias("end"),
+        F.flatten(F.collect_list("item_slots")).alias("values"), F.flatten(F.collect_list(pairs)).alias("pairs"))
+    # As many pairs as values: each value stands for one other.
+    agreed = passages.where(F.size(F.array_distinct("values")) == F.size(F.array_distinct("pairs")))
+    agreed = agreed.select("doc_id", "item_id", "shift", "first", "end", F.explode("places").alias("place"))
+    agreed = agreed.groupBy("doc_id", "item_id", "shift").agg(
+        F.countDistinct("place").alias("n"), F.min("first").alias("first"), F.max("end").alias("end"))
     return agreed.groupBy("doc_id", "item_id").agg(
         F.sum("n").alias("n_windows"), F.min("first").cast("long").alias("first_token"),
         (F.max("end") - F.min("first")).cast("long").alias("n_tokens"),

@@ -75,6 +75,19 @@ def test_verbatim_copies_are_found_whatever_they_hold(spark):
     assert leaked(spark, texts, pairs) == {(i, i) for i in range(1, 6)}
 
 
+def test_passages_and_rows_are_judged_alone(spark):
+    one, two = QUESTION.replace("12", "75"), QUESTION.replace("12", "80")
+    filler = lambda letter: " ".join(f"{letter}{i}x" for i in range(30))
+    pair = QUESTION + " " + filler("a") + " " + QUESTION
+    texts = [(1, one), (1, two), (2, one + " " + filler("b") + " " + two), (3, one.replace("gave 75", "gave 80"))]
+    assert leaked(spark, texts, [(1, QUESTION)]) == {(1, 1), (2, 1)}
+    assert leaked(spark, texts[2:], [(1, pair)]) == {(2, 1)}
+    long = " ".join(f"c{i}x" for i in range(100))
+    found = decontamination.leaks(documents(spark, [(1, "12 apples " + long + " 13 apples")]), items(spark, [(1, "12 apples " + long + " 12 apples")]))
+    # All windows but the two that hold the altered number, whether or not the rest of its run agrees.
+    assert [(r.n_windows, r.first_token, r.n_tokens) for r in found.collect()] == [(93, 0, 102)]
+
+
 def test_empty_tables_have_no_leaks(spark):
     assert leaked(spark, [], [(1, QUESTION)]) == set()
     assert leaked(spark, [(1, QUESTION)], []) == set()
