@@ -77,14 +77,28 @@ class Cascade:
         return out
 
 
-def cascade(universe: DataFrame, listed: Iterable[str]) -> Cascade:
-    """The cascade of the listed keys over a universe of distinct keys (column key).
+def _listed_hashes(listed: Iterable[str] | DataFrame) -> np.ndarray:
+    """Distinct hashes of listed keys; of a table its first column, whose keys are hashed where they lie."""
+    if not isinstance(listed, DataFrame):
+        return np.unique(_hashes(pa.array(sorted(set(listed)), pa.string())))
+
+    def hashed(batches):
+        for batch in batches:
+            key = np.unique(_hashes(batch.column("key").drop_null()))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+
+    keys = listed.select(F.col(listed.columns[0]).alias("key")).mapInArrow(hashed, "key long").distinct()
+    return np.sort(keys.limit(MOST_LISTED + 1).toPandas()["key"].to_numpy(np.int64).view(np.uint64))
+
+
+def cascade(universe: DataFrame, listed: Iterable[str] | DataFrame) -> Cascade:
+    """The cascade of the listed keys, or of a table's first column, over a universe of distinct keys (column key).
 
     Level 1 lets about as many other keys pass as there are listed ones; Spark finds these, and only their hashes come
     to the driver. Every further level lets half of its other side pass, so levels halve. A cascade therefore takes a few
     bits for each listed key and each doubling of the universe. A listed key needn't be in the universe.
     """
-    own = np.unique(_hashes(pa.array(sorted(set(listed)), pa.string())))
+    own = _listed_hashes(listed)
     if len(own) > MOST_LISTED:
         raise ValueError(f"{len(own)} listed keys; at most {MOST_LISTED} fit a cascade")
     spark = universe.sparkSession
@@ -159,9 +173,23 @@ def _candidates(parts: DataFrame, depth: int) -> DataFrame:
     return parts.select("host", "path").mapInArrow(expand, "key string")
 
 
+def _deepest(rules: Iterable[str] | DataFrame) -> int:
+    """The most slashes in a rule, after a look at the form of all of them."""
+    if isinstance(rules, DataFrame):
+        rule = F.col(rules.columns[0])
+        odd = rules.where(~rule.endswith("/") | rule.startswith("/")).select(rule).limit(1).collect()
+        deepest = rules.agg(F.max(F.length(rule) - F.length(F.replace(rule, F.lit("/"), F.lit(""))))).first()[0] or 0
+    else:
+        odd = [(rule,) for rule in rules if not rule.endswith("/") or rule.startswith("/")]
+        deepest = max((rule.count("/") for rule in rules), default=0)
+    if odd:
+        raise ValueError(f"a rule is a host and a path that ends with a slash: {odd[0][0]!r}")
+    return deepest
+
+
 def judged(
-    pages: DataFrame, block: tuple[str, ...], allow: tuple[str, ...], listed_names: Iterable[str] = (),
-    url_column: str = "url",
+    pages: DataFrame, block: tuple[str, ...] | DataFrame, allow: tuple[str, ...] | DataFrame,
+    listed_names: Iterable[str] | DataFrame = (), url_column: str = "url",
 ) -> DataFrame:
     """(row, host, path, rule, verdict) per row of pages, whose own columns are in row.
 
@@ -170,12 +198,9 @@ def judged(
     Where none fits, the url is blocked if a label of its host is a listed
     name, else allowed. A null url, or one without ://, has an empty
     host and path, which no rule fits, and is allowed. An empty table gives an empty result; rows are judged alone, so
-    repeats don't matter.
+    repeats don't matter. Rules and names may be tables, whose first column is read.
     """
-    for rule in (*block, *allow):
-        if not rule.endswith("/") or rule.startswith("/"):
-            raise ValueError(f"a rule is a host and a path that ends with a slash: {rule!r}")
-    depth = max((rule.count("/") for rule in (*block, *allow)), default=0)
+    depth = max(_deepest(block), _deepest(allow))
     url = F.col(f"row.{url_column}")
     parts = pages.select(F.struct("*").alias("row")).select("row", host(url).alias("host"), path(url).alias("path"))
     keys = materialize(_candidates(parts, depth).distinct(), "rule-keys")

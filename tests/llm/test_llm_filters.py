@@ -197,6 +197,31 @@ def test_a_cascade_is_exact_for_its_universe(spark):
     assert not url_filter.cascade(universe, []).listed(url_filter._hashes(pa.array(keys))).any()
 
 
+def test_tables_of_many_keys_equal_a_plain_join(spark):
+    pages = spark.range(2000).selectExpr(
+        "id AS page_id", "concat('http://n', id % 700, '.d', id * 7 % 900, '.net/p', id % 11, '/q', id % 7, '/x') AS url")
+    names = spark.range(0, 60000, 3).selectExpr("concat('n', id) AS name").union(spark.createDataFrame([(None,)], "name string"))
+    rules = spark.range(30000).selectExpr(
+        "concat('d', id % 5000, '.net/', if(id % 3 = 0, '', concat('p', id % 11, '/'))) AS rule", "if(id % 5000 % 4 = 0, 'block', 'allow') AS verdict"
+    ).where("substr(rule, 2, 1) <> '1'").distinct()
+    block, allow = (rules.where(f"verdict = '{v}'").select("rule") for v in ("block", "allow"))
+    got = url_filter.judged(pages, block, allow, names).select("row.page_id", "rule", "verdict").collect()
+    pages.createOrReplaceTempView("p"), rules.createOrReplaceTempView("r"), names.createOrReplaceTempView("n")
+    want = spark.sql("""
+        WITH parts AS (SELECT page_id, split(url, '/')[2] AS host, concat('/', split(url, '/', 4)[3]) AS path FROM p),
+        cut AS (SELECT *, substring_index(rule, '/', 1) AS domain, substr(rule, instr(rule, '/')) AS start FROM r),
+        fits AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict FROM parts
+          JOIN cut ON domain = substr(host, instr(host, '.') + 1) AND startswith(path, start) GROUP BY page_id),
+        bad AS (SELECT DISTINCT page_id FROM parts JOIN n ON name = substring_index(host, '.', 1))
+        SELECT page_id, rule, coalesce(verdict, if(bad.page_id IS NULL, 'allow', 'block')) AS verdict
+        FROM parts LEFT JOIN fits USING (page_id) LEFT JOIN bad USING (page_id)""").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    kinds = {(r.rule is None, r.verdict) for r in want}
+    assert len(kinds) == 4 and names.count() > 20000 and rules.count() > 5000
+    with pytest.raises(ValueError):
+        url_filter.judged(pages, spark.createDataFrame([("net",)], "rule string"), allow)
+
+
 @pytest.fixture(scope="module")
 def toxic_corpus(spark):
     r = random.Random(2)
