@@ -1,10 +1,9 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against an indexed reference.
+"""Substring deduplication by window lookup among the passages of smaller doc_ids.
 
-The reference of a document are all documents with a smaller doc_id. Its index holds every `length`-word passage that
-can occur twice, cut into blocks by ranges of (fingerprint, doc_id) so that each block lies in one task. A document is
-parsed greedily from left to right: at a word where the index has the passage, a factor begins and takes in words as
-long as the next passage is also known; otherwise the word is a literal. A passage across the boundary of two factors is
-asked of the index in its own right, so factors that follow each other join and nothing is missed between them.
+Every `length`-word passage that a smaller doc_id has too is found through minimiser suffixes (see `sparse`). All windows
+of a document that are such passages are marked at once, and marked windows that overlap or touch are united to spans.
+This is not a relative Lempel-Ziv parse: there are no factors that point at a source document, no literals and no reference
+blocks. The words that go are those that lie in a passage of a smaller doc_id, wherever a parse would cut its factors.
 """
 
 from __future__ import annotations
@@ -22,8 +21,8 @@ SPREAD = 9
 def parsed(documents: DataFrame, length: int = LENGTH, spread: int = SPREAD) -> DataFrame:
     """(row, kept, n_words, n_removed, factors) per document.
 
-    row: the document's own columns but the text. kept: the words outside all factors, joined by one space. factors: (first word,
-    words) of the duplicate spans. A null text counts as empty. A document without doc_id, or whose texts repeat only
+    row: the document's own columns but the text. kept: the words outside all spans, joined by one space. factors: (first word,
+    words) of these spans. A null text counts as empty. A document without doc_id, or whose texts repeat only
     under the same doc_id, keeps all its words. An empty table gives an empty result.
     """
 
