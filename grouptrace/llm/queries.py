@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from grouptrace.llm import byte_bpe, decontamination, jaccard_join, license_scan, oracles, quality_rules, substring_dedup, suffix_dedup, toxicity, url_filter, warc, words
+from grouptrace.llm import byte_bpe, decontamination, jaccard_join, license_scan, oracles, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter, warc, words
 from grouptrace.session import apply_runtime_conf
 
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
+LONGEST = 1024
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -79,6 +81,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classified(documents, labels).select("row.doc_id", "held_out", "score", "predicted")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.counted(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(TOKENIZER))
+    return counted.select("row.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LONGEST).alias("over_limit"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontamination": op2_decontamination,
@@ -90,6 +97,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_token_counts": op11_token_counts,
 }
 
 ORACLE = {
