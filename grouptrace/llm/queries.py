@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from grouptrace.llm import byte_bpe, decontamination, jaccard_join, license_scan, oracles, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter, warc, words
+from grouptrace.llm import byte_bpe, decontamination, jaccard_join, license_scan, oracles, periodic_runs, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter, warc, words
 from grouptrace.session import apply_runtime_conf
 
 
@@ -86,6 +86,32 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("row.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LONGEST).alias("over_limit"))
 
 
+def planted_runs(documents: DataFrame) -> DataFrame:
+    """Documents of whose ids' checksums ten is a divisor repeat a stretch of their own words up to the end of the text."""
+    checksum, words_of = F.crc32(F.col("doc_id").cast("string")), r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"
+    g, n = F.floor(checksum / 10), F.size("_words")
+    chosen = documents.withColumn("_words", F.when(checksum % 10 == 0, F.expr(words_of)))
+    chosen = chosen.withColumn("_n", n).withColumn("_a", F.when(n > 0, F.pmod(g, n)).cast("int"))
+    chosen = chosen.withColumn("_p", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8))).cast("int"))
+    planted = F.expr(
+        "array_join(concat(slice(_words, 1, _a), slice(flatten(array_repeat(slice(_words, _a + 1, _p), "
+        "cast(ceil((_n - _a) / _p) as int))), 1, _n - _a)), ' ')"
+    )
+    return chosen.withColumn("text", F.when(F.col("_n") > 0, planted).otherwise(F.col("text"))).select(*documents.columns)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.found(planted_runs(_table(spark, sf_dir, "documents", "doc_id", "text")))
+    by_length = F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("a"), (-r.period).alias("b")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[x].cast("string") for x in ("start", "length", "period"))), F.lit("\n")))
+    found = found.withColumn("best", F.array_max(by_length))
+    return found.select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.a")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.b")).alias("period"), F.expr("1000 * best.length div -best.b").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontamination": op2_decontamination,
@@ -98,6 +124,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
     "op11_token_counts": op11_token_counts,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE = {
