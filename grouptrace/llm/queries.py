@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from grouptrace.llm import byte_bpe, decontamination, jaccard_join, license_scan, oracles, periodic_runs, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter, warc, words
+from grouptrace.llm import byte_bpe, decontamination, jaccard_join, license_scan, oracles, periodic_runs, quality_rules, spelling_variants, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter, warc, words
 from grouptrace.session import apply_runtime_conf
 
 
@@ -112,6 +112,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.grouped(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_decontamination": op2_decontamination,
@@ -125,6 +129,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_token_counts": op11_token_counts,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE = {
