@@ -22,7 +22,7 @@ HEADLINE = [
     "network_profile", "tax_country", "foreign_subsidiary_countries", "subject_to_rule_by_year",
     "local_to_parent", "group_rule_status", "country_rule_summary", "ranked_group_table",
     "registry_entities", "foreign_active", "detail_dates", "events_by_year", "detailed_sample", "decree_list",
-    "exact_name_match", "text_search_top1", "text_search_top5", "grantee_search_top1", "merge_batches_from_files", "review_merge", "search_back_match",
+    "exact_name_match", "text_search_top1", "text_search_top5", "unmatched_grantee_search_top1", "merge_batches_from_files", "review_merge", "search_back_match",
     "json_documents_parse", "ingest_pages_batch", "ingest_pages_stream",
 ]
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from benchset.derived import REVENUE_COLUMNS, YEARS, Inputs, with_views
 from grouptrace.functions.text import normalize_name
 from grouptrace.functions.values import ISO_SECONDS_PATTERN
-from grouptrace.operators import ranking, reshape, sampling, search, tables
+from grouptrace.operators import joins, name_index, ranking, reshape, sampling, search, tables
 from grouptrace.plans import matching, network, panel, present, registry
 from grouptrace.session import apply_runtime_conf, materialize, work_path
 from grouptrace.sources import readers, schemas, sinks
-from grouptrace.streaming import ingest
+from grouptrace.streaming import documents, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -188,6 +188,14 @@ def batch_query_ranges(t: Inputs) -> DataFrame:
     return readers.query_ranges(batch_catalog(t))
 
 
+@register("batch_query_range_list", f"""
+    select string_agg(query_range, ',' order by query_num_start) as query_ranges, count(*) as ranges
+    from (select distinct query_range, query_num_start from ({CATALOG}))""")
+def batch_query_range_list(t: Inputs) -> DataFrame:
+    listed = readers.query_range_list(batch_catalog(t))
+    return listed.select(joined_list("query_ranges"), F.size("query_ranges").cast("long").alias("ranges"))
+
+
 @register("null_tokens", """
     select company_id, try_cast(nullif(nullif(rev_2001, 'n.a.'), '#N/A') as double) as rev_2001,
         try_cast(nullif(nullif(rev_2000, 'n.a.'), '#N/A') as double) as rev_2000,
@@ -313,6 +321,23 @@ register("totals_by_country", _totals_sql("country"))(_totals("country"))
 register("totals_by_country_year", _totals_sql("country, yr"))(_totals("country", "yr"))
 
 
+_DIMENSIONS, _VARIABLES = ["yr", "region", "country"], ["TOT_REV", "PROFIT", "TAX_ACCRUED"]
+
+
+@register("totals_all", """
+    select yr, region, country, cast(grouping(yr, region, country) as int) as level,
+        cast(sum(cents) as double) / 100 as TOT_REV, cast(sum(profit) as double) / 10000 as PROFIT,
+        cast(sum(tax) as double) / 10000 as TAX_ACCRUED
+    from {country_year_money} group by cube (yr, region, country)""")
+def totals_all(t: Inputs) -> DataFrame:
+    """All choices of dimensions at once, from partial sums to which the years are added in two batches."""
+    path = work_path(t.spark, "partial-totals")
+    facts = materialize(t["country_year_totals"], "totals")
+    for batch in (0, 1):
+        panel.add_partial_totals(facts.filter(F.col("yr") % 2 == batch), path, batch, _DIMENSIONS, _VARIABLES)
+    return panel.totals_all(t.spark.read.parquet(path).drop("batch"), _DIMENSIONS, _VARIABLES)
+
+
 # Networks and rule status -----------------------------------------------------------------------
 
 @register("network_profile", """
@@ -325,6 +350,16 @@ def network_profile(t: Inputs) -> DataFrame:
     return network.network_profile(t["network"])
 
 
+@register("network_profile_incremental", ORACLE["network_profile"])
+def network_profile_incremental(t: Inputs) -> DataFrame:
+    """Rows that come in two batches, of which the second one comes twice."""
+    path = work_path(t.spark, "profile")
+    odd = F.col("row_number") % 2 == 1
+    for batch, part in ((0, odd), (1, ~odd), (1, ~odd)):
+        network.add_profile_batch(t["network"].filter(part), path, batch)
+    return network.stored_profile(t.spark, path)
+
+
 COUNTRIES = """
     select c.*, s.country as country_es from {countries} c left join {spanish_names} s on c."alpha-2" = s.code"""
 ADOPTION = """
@@ -437,6 +472,13 @@ def group_rule_status(t: Inputs) -> DataFrame:
     return network.group_rule_status(local, rule_adoption(t), t["group_revenue"], answers)
 
 
+@register("group_rule_status_bucketed", STATUS)
+def group_rule_status_bucketed(t: Inputs) -> DataFrame:
+    """The same from inputs that are stored once in buckets of parents, for this and all further reports."""
+    local, revenue, answers = network.stored_by_parent(local_to_parent(t), t["group_revenue"], _rule_years(t), 8)
+    return network.group_rule_status_by_parent(local, rule_adoption(t), revenue, answers)
+
+
 @register("country_rule_summary", SUMMARY)
 def country_rule_summary(t: Inputs) -> DataFrame:
     return network.country_rule_summary(group_rule_status(t))
@@ -592,6 +634,17 @@ def detailed_sample(t: Inputs) -> DataFrame:
     return registry.detailed_sample(t["entity_targets"], entity_documents(t), LINK, fraction=0.1)
 
 
+@register("system_sample", f"""
+    select corp_register_index as registration_index, corp_name from {{entity_flat}}
+    where {_SAMPLED.format("corp_register_index || '.json'")}""")
+def system_sample(t: Inputs) -> DataFrame:
+    """A sample of files: the documents of about a tenth of them; the others are not opened."""
+    folder = t.document_folder(lambda: entity_document_text(t))
+    documents = sampling.sample_files(readers.read_json_documents(t.spark, folder, schemas.ENTITY_DOCUMENT), 0.1)
+    return documents.select(
+        F.col("response.corporation.corpRegisterIndex").alias("registration_index"), F.col("response.corporation.corpName").alias("corp_name"))
+
+
 register("sample_without_detail", f"select registration_index from ({SAMPLE}) where register_index is null")(
     lambda t: registry.sample_without_detail(detailed_sample(t)))
 register("sample_fixed_n", """
@@ -664,6 +717,23 @@ register("number_search_first_page", f"""
         lambda t: registry.number_search(t["registry"], "greater", 120, 250).select(*_SEARCH_COLUMNS.split(", ")))
 
 
+_WANTED = NAME_KEY.format("text")
+_WANTED_WORDS = f"list_filter(string_split({_WANTED}, ' '), lambda w: w <> '')"
+
+
+@register("name_search_many", f"""
+    select mode, text, record_id, corp_name from {{name_searches}} s join {{registry}} r on case mode
+        when 'contains' then contains(lower(corp_name), lower(text))
+        when 'begins_with' then starts_with({_KEY}, {_WANTED})
+        when 'exact' then {_KEY} = {_WANTED}
+        when 'any_word' then list_has_any(string_split({_KEY}, ' '), {_WANTED_WORDS})
+        else len({_WANTED_WORDS}) > 0 and list_has_all(string_split({_KEY}, ' '), {_WANTED_WORDS}) end""")
+def name_search_many(t: Inputs) -> DataFrame:
+    """A table of searches of all modes at once, through the inverted index of names."""
+    index = name_index.build_name_index(t["registry"].select("record_id", "corp_name"), "corp_name", 8)
+    return name_index.search_names(index, t["name_searches"])
+
+
 # Matching ---------------------------------------------------------------------------------------
 
 def _exact_sql(decrees: str) -> str:
@@ -674,7 +744,7 @@ def _exact_sql(decrees: str) -> str:
     left join {{name_records}} e on {NAME_KEY.format("g.grantee")} = {NAME_KEY.format("e.corp_name")}"""
 
 
-EXACT, SEARCHED_EXACT = _exact_sql("decrees"), _exact_sql("benchmark_decrees")
+EXACT = _exact_sql("decrees")
 
 
 @register("normalized_names", f"""
@@ -702,6 +772,12 @@ def unmatched_grantees(t: Inputs) -> DataFrame:
     return matching.unmatched_grantees(t["decrees"], name_entities(t))
 
 
+@register("unmatched_grantees_bitmap", f"select grantee from ({EXACT}) where match_type is null")
+def unmatched_grantees_bitmap(t: Inputs) -> DataFrame:
+    """Most grantees have no entity of their name: a bitmap of all entities' names spares these the shuffle."""
+    return matching.unmatched_grantees(materialize(t["decrees"], "decrees"), name_entities(t), joins.bitmap_anti_join)
+
+
 def _bm25_sql(queries: str, corpus: str, keys: str, k: int, analysis: str = "{0}") -> str:
     """Plain BM25 over all pairs; ``queries`` gives (query, text), ``corpus`` gives the keys and text."""
     words = "list_filter(string_split_regex({0}, '[^a-z]+'), lambda w: w <> '')".format(NAME_KEY.format("text"))
@@ -755,15 +831,6 @@ def _grantee_search_sql(exact: str) -> str:
     join {{name_records}} r using (registration_index, corp_name)"""
 
 
-GRANTEE_SEARCH = _grantee_search_sql(SEARCHED_EXACT)
-
-
-@register("grantee_search_top1", GRANTEE_SEARCH)
-def grantee_search_top1(t: Inputs) -> DataFrame:
-    entities = name_entities(t)
-    return matching.search_grantees(matching.unmatched_grantees(t["benchmark_decrees"], entities), entities, 1)
-
-
 @register("unmatched_grantee_search_top1", _grantee_search_sql(EXACT))
 def unmatched_grantee_search_top1(t: Inputs) -> DataFrame:
     """The whole C05: everything that C04 leaves over is searched."""
@@ -989,6 +1056,16 @@ def ingest_pages_stream(t: Inputs) -> DataFrame:
     return _streamed(t)[1]
 
 
+@register("ingest_pages_stateful", INGESTED)
+def ingest_pages_stateful(t: Inputs) -> DataFrame:
+    """As above with Spark's own state, kept in the first run's checkpoint; no batch reads the store."""
+    landing, store, progress = (work_path(t.spark, x) for x in ("landing", "store", "progress"))
+    for part in _arrivals(t):
+        part.repartitionByRange(4, "request_id").write.mode("append").parquet(landing)
+        rows = ingest.ingest_stateful(t.spark, landing, store, progress, part.schema)
+    return rows
+
+
 @register("ingest_store_compacted", INGESTED)
 def ingest_store_compacted(t: Inputs) -> DataFrame:
     store, rows = _streamed(t)
@@ -1038,6 +1115,20 @@ def compact_documents(t: Inputs) -> DataFrame:
     return named.join(registry.collected_ids(named), "registration_index", "left_semi").select("file_name", "registration_index")
 
 
+@register("compact_documents_incremental", """
+    select corp_register_index as registration_index, corp_name from {entity_flat}""")
+def compact_documents_incremental(t: Inputs) -> DataFrame:
+    """Small files that come in two parts; the second run reads only the files it hasn't seen."""
+    folder, target, progress = (work_path(t.spark, x) for x in ("collected", "compact", "progress"))
+    text = entity_document_text(t)
+    odd = F.crc32("value") % 2 == 1
+    for part in (text.filter(odd), text.filter(~odd)):
+        part.write.mode("append").option("maxRecordsPerFile", 20).text(folder)
+        compact = documents.compact_new_documents(t.spark, folder, schemas.ENTITY_DOCUMENT, target, progress)
+    corporation = F.col("response.corporation")
+    return compact.select(corporation["corpRegisterIndex"].alias("registration_index"), corporation["corpName"].alias("corp_name"))
+
+
 @register("review_versions", f"""
     select * from ({ORACLE["review_upsert"]})""")
 def review_versions(t: Inputs) -> DataFrame:
@@ -1050,6 +1141,19 @@ def review_versions(t: Inputs) -> DataFrame:
     return tables.read_version(t.spark, path, stored.schema)
 
 
+@register("review_versions_incremental", f"""
+    select * from ({ORACLE["review_upsert"]})""")
+def review_versions_incremental(t: Inputs) -> DataFrame:
+    """The review table in buckets; two runs of edits, each of which rewrites only the buckets it changes."""
+    path, stored, buckets = work_path(t.spark, "review"), t["review_old"], 16
+    tables.create_buckets(stored, path, matching.REVIEW_KEY, buckets)
+    edits = matching.checked_review_input(t["review_edits"])
+    first = F.crc32("grantee") % 2 == 0
+    for run, part in enumerate((edits.filter(first), edits.filter(~first))):
+        tables.upsert_buckets(t.spark, path, stored.schema, part, matching.REVIEW_KEY, ["aprobado", "rechazado"], buckets, run)
+    return tables.read_buckets(t.spark, path, stored.schema)
+
+
 @register("ingest_page_report", """
     select request_id, count(*) as records, min(registration_number) as first_number,
         max(registration_number) as last_number, min(registration_number) = max(registration_number)

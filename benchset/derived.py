@@ -182,6 +182,25 @@ VIEWS: dict[str, str] = {
             case p_partkey % 5 when 0 then 'EXPIRED' when 1 then 'ACTIVE' when 2 then 'MERGED'
                 when 3 then 'CANCELED' else 'ACTIVE' end as status_en
         from {part}""",
+    # A table of name searches: those of every part whose key is divisible by 20.
+    "name_searches": """
+        select distinct mode, text from (
+            select 'contains' as mode, substr(p_name, 2, 5) || case p_size % 3 when 0 then '' else substr(p_name, 7, 4) end as text
+            from {part} where p_partkey % 20 = 0
+            union all
+            select 'contains', substr(p_name, 1 + p_size % 9, 1 + p_size % 3) from {part} where p_partkey % 20 = 0
+            union all
+            select 'begins_with', substr(upper(p_name), 1, 1 + p_size % 12) from {part} where p_partkey % 20 = 0
+            union all
+            select 'exact', upper(p_name) || ' ' || lower(p_brand) || ' inc' from {part} where p_partkey % 20 = 0
+            union all
+            select 'any_word', p_brand || ',  none' || p_type from {part} where p_partkey % 20 = 0
+            union all
+            select 'all_words', 'corp ' || p_name || case p_size % 5 when 0 then ' ' || p_brand else '' end from {part}
+            where p_partkey % 20 = 0
+            union all
+            select 'all_words', case p_size % 2 when 0 then ' ' end from {part} where p_partkey % 20 = 0)
+        t""",
     "registry": """
         select record_id, request_id, business_entity_id, registration_number, registration_index, corp_name,
             class_es, class_en, profit_type_es, profit_type_en, status_id, status_es, status_en
@@ -247,14 +266,6 @@ VIEWS: dict[str, str] = {
     "decrees": """
         select doc_id as decree_id, case when doc_id % 6 = 0 then ' ' || line || ' ' else line end as grantee
         from {text_lines} where doc_id % 2 = 0""",
-    # Every line of the benchmark's texts, to be searched among the documents' lines.
-    "benchmark_lines": """
-        select distinct item_id, line from (select item_id, unnest(string_split(text, chr(10))) as line from {benchmark})
-        where line <> ''""",
-    "benchmark_decrees": """
-        select item_id as decree_id, line as grantee from {benchmark_lines}
-        union all
-        select doc_id as decree_id, line as grantee from {text_lines} where line like '%icense%'""",
     "decree_texts": """
         select doc_id as decree_id, text as grantee from {documents}""",
     "name_records": """

@@ -9,13 +9,14 @@ Pairing every query token with every document that holds it would pair nearly al
 all documents through words such as "the". The search gives the same result without that:
 
 1. Documents with the same words are scored once, and so are queries with the same words.
-2. Every token brings along the k documents in which it weighs most. The best k of those that a query's
-   tokens bring are scored exactly; the k-th of these scores is a floor under the k-th best score.
-3. The highest weight a token has in any document bounds what it can add. A query's tokens are summed
-   up from the smallest bound; while the sum stays below the floor, a document that holds only these
-   tokens cannot be among the best k. Only the remaining tokens look for candidates.
-4. The leading candidates are scored exactly for a better floor. Candidates whose score so far plus
-   the bounds of the other tokens stays below it are dropped, the remaining ones scored exactly.
+2. The postings are laid out in blocks of documents with like words: in a block, each token's postings stand together and
+   its largest weight in the block is known. These largest weights, summed over a query's tokens, bound what any document
+   of the block can score.
+3. A query opens blocks in the order of their bounds, first one and then ever more at a time. The k-th best score so far is
+   a floor; blocks whose bound lies below it are never opened.
+4. The queries that open a block come to it in chunks. A chunk's task holds the block and scores some queries at a time
+   in numpy. Of a query's tokens only the heaviest look for texts: those whose weights alone, or with all lighter ones, reach the
+   floor. What they find is completed by the lighter tokens, and what can still be among the best k is passed on.
 
 Weights are whole billionths, so a sum does not depend on the order of its parts.
 """
@@ -25,6 +26,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +39,14 @@ from grouptrace.session import Scratch, materialize
 UNIT = 1e9
 # Scores are reported in millionths; a text within this many billionths of the floor can still tie.
 SLACK = 2_000
+# Texts and postings of a block; a longer text has one of its own. Queries that one task scores against a block.
+BLOCK_TEXTS = 16_384
+BLOCK_POSTINGS = 524_288
+CHUNK_QUERIES = 2_048
+# Queries that are scored together.
+GROUP = 32
+# By how much the number of blocks that a query opens grows from round to round.
+WIDER = 16
 
 
 @dataclass(frozen=True)
@@ -120,6 +132,208 @@ def _points(idf: Column, saturation: Column) -> Column:
     return F.floor(idf * saturation * UNIT + 0.5)
 
 
+def vocabulary(index: TextIndex) -> DataFrame:
+    """(token_id, token, df) of an index. Postings know a token by its id, a 64-bit hash."""
+    terms = index.texts.select("copies", F.inline("terms"))
+    return terms.groupBy("token").agg(F.sum("copies").alias("df")).withColumn("token_id", F.xxhash64("token"))
+
+
+def _without_collision(known: DataFrame) -> DataFrame:
+    """Two tokens with one id would be scored as one: an error."""
+    counts = known.agg(F.count("*").alias("tokens"), F.count_distinct("token_id").alias("ids")).first()
+    if counts["tokens"] != counts["ids"]:
+        raise ValueError("two tokens share an id")
+    return known
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted values."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+
+
+_BLOCK = "block long, texts array<long>, token_ids binary, tops binary, offsets binary, docs binary, sats binary"
+
+
+def posting_blocks(index: TextIndex, mean_len: float, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The postings in blocks: per block its texts, its tokens in order with their largest weight (without the idf) and the
+    bounds of their postings, and the postings as (place of the text in the block, weight).
+
+    Texts with the same most frequent word are neighbours, so that blocks differ in what they hold. A block is cut where
+    it has BLOCK_TEXTS texts or BLOCK_POSTINGS postings: memory and tasks are bounded whatever the corpus.
+    """
+    commonest = F.array_max(F.transform("terms", lambda t: F.struct(t.tf, t.token)))["token"]
+    texts = index.texts.filter(F.size("terms") > 0).select(
+        commonest.alias("_near"), "text_no", F.col("doc_len").cast("double").alias("doc_len"),
+        F.transform("terms", lambda t: F.xxhash64(t.token)).alias("token_ids"), F.transform("terms", lambda t: t.tf).alias("tfs"),
+    )
+    near = texts.repartitionByRange("_near", "text_no").sortWithinPartitions("_near", "text_no").drop("_near")
+
+    def block(number: int, rows: list[tuple]) -> pa.RecordBatch:
+        sizes = [len(ids) for _, _, ids, _ in rows]
+        ids, tf = np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows]).astype(np.float64)
+        doc = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+        length = np.repeat(np.array([r[1] for r in rows], dtype=np.float64), sizes)
+        sat = tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * length / mean_len))
+        by = np.argsort(ids, kind="stable")
+        ids, doc, sat = ids[by], doc[by], sat[by]
+        at = _starts(ids)
+        arrays = (ids[at], np.maximum.reduceat(sat, at), np.append(at, len(ids)).astype(np.int64), doc, sat)
+        columns = [pa.array([x.tobytes()], pa.binary()) for x in arrays]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number]), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), *columns],
+            names=["block", "texts", "token_ids", "tops", "offsets", "docs", "sats"])
+
+    def cut(batches):
+        number, rows, held = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            columns = [batch.column(i) for i in range(4)]
+            bounds = np.concatenate([[0], np.cumsum(np.asarray(columns[2].value_lengths()))])
+            ids, tfs = np.asarray(columns[2].flatten()), np.asarray(columns[3].flatten())
+            for i, (text, length) in enumerate(zip(columns[0].to_pylist(), columns[1].to_pylist())):
+                own = slice(bounds[i], bounds[i + 1])
+                if rows and (len(rows) == BLOCK_TEXTS or held + bounds[i + 1] - bounds[i] > BLOCK_POSTINGS):
+                    yield block(number, rows)
+                    number, rows, held = number + 1, [], 0
+                rows.append((text, length, ids[own], tfs[own]))
+                held += bounds[i + 1] - bounds[i]
+        if rows:
+            yield block(number, rows)
+
+    return near.mapInArrow(cut, _BLOCK)
+
+
+def _block_tops(blocks: DataFrame) -> DataFrame:
+    """(block, token_id, top): the largest weights. Reads no postings."""
+
+    def spread(batches):
+        for batch in batches:
+            for block, ids, tops in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                ids = np.frombuffer(ids, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(ids), block)), pa.array(ids), pa.array(np.frombuffer(tops, dtype=np.float64))],
+                    names=["block", "token_id", "top"])
+
+    return blocks.select("block", "token_ids", "tops").mapInArrow(spread, "block long, token_id long, top double")
+
+
+class _Block:
+    """A block's arrays. Within a token, postings stand in the order of their texts."""
+
+    def __init__(self, texts: pa.Array, token_ids: bytes, tops: bytes, offsets: bytes, docs: bytes, sats: bytes):
+        self.texts = np.asarray(texts)
+        self.tokens, self.offsets = np.frombuffer(token_ids, dtype=np.int64), np.frombuffer(offsets, dtype=np.int64)
+        self.tops, self.sats = np.frombuffer(tops, dtype=np.float64), np.frombuffer(sats, dtype=np.float64)
+        self.docs = np.frombuffer(docs, dtype=np.int32)
+        self.keys = np.repeat(np.arange(len(self.tokens)) * len(self.texts), np.diff(self.offsets)) + self.docs
+
+    def best(
+        self, ids: np.ndarray, idf: np.ndarray, query: np.ndarray, floors: np.ndarray, k: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, text, points) of the texts that reach their query's floor and can be among the block's best k.
+
+        ids and idf: the tokens of a group of queries, query: whose they are (numbers from 0, in order).
+        """
+        n, texts = len(floors), len(self.texts)
+        at = np.minimum(np.searchsorted(self.tokens, ids), len(self.tokens) - 1)
+        hit = self.tokens[at] == ids
+        at, idf, query = at[hit], idf[hit], query[hit]
+        most = np.floor(idf * self.tops[at] * UNIT + 0.5)
+        by = np.lexsort((-most, query))
+        at, idf, query, most = at[by], idf[by], query[by], most[by]
+        # What a token and its query's lighter ones can add: a text without heavier ones reaches no more.
+        bounds = np.searchsorted(query, np.arange(n + 1))
+        upto = np.concatenate([[0.0], np.cumsum(most)])
+        rest = upto[bounds[query + 1]] - upto[:-1]
+        seeking = rest >= np.maximum(floors, 1)[query]
+        seeks = bounds[:-1] + np.bincount(query, weights=seeking, minlength=n).astype(np.int64)
+        rest = np.append(rest, 0.0)
+
+        def left(token: np.ndarray, of: np.ndarray) -> np.ndarray:
+            return np.where(token < bounds[of + 1], rest[token], 0.0)
+
+        own = at[seeking]
+        size = self.offsets[own + 1] - self.offsets[own]
+        place = np.repeat(self.offsets[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        points = np.floor(np.repeat(idf[seeking], size) * self.sats[place] * UNIT + 0.5)
+        total = np.bincount(np.repeat(query[seeking] * texts, size) + self.docs[place], weights=points, minlength=n * texts)
+        # What has been summed so far is a floor as well.
+        table = total.reshape(n, texts)
+        if texts >= k:
+            kth = table.max(axis=1) if k == 1 else np.partition(table, texts - k, axis=1)[:, texts - k]
+            floors = np.maximum(floors, kth - SLACK)
+        least = np.maximum(np.maximum(floors, 1) - left(seeks, np.arange(n)), 1)
+        cell = np.flatnonzero(table >= least[:, None])
+        of, doc, total = cell // texts, cell % texts, total[cell]
+        # The lighter tokens one by one, each for the texts that can still reach the floor.
+        token = seeks[of]
+        done = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        while len(of):
+            can = total + left(token, of) >= np.maximum(floors[of], 1)
+            of, doc, total, token = of[can], doc[can], total[can], token[can]
+            over = token == bounds[of + 1]
+            for out, x in zip(done, (of, doc, total)):
+                out.append(x[over])
+            of, doc, total, token = of[~over], doc[~over], total[~over], token[~over]
+            wanted = at[token] * texts + doc
+            place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            total = total + np.where(self.keys[place] == wanted, np.floor(idf[token] * self.sats[place] * UNIT + 0.5), 0)
+            token = token + 1
+        of, doc, total = (np.concatenate(x) for x in done)
+        by = np.lexsort((-total, of))
+        of, doc, total = of[by], doc[by], total[by]
+        first = np.searchsorted(of, np.arange(n + 1))
+        kth = first[of] + k - 1
+        reached = np.where(kth < first[of + 1], total[np.minimum(kth, len(total) - 1)] - SLACK, 0) if len(of) else total
+        best = total >= reached
+        return of[best], self.texts[doc[best]], total[best].astype(np.int64)
+
+
+def _scored(opened: DataFrame, blocks: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """(_q, text_no, points) of the texts of opened (_q, block, _floor) that reach the floor and can be among the block's best k.
+
+    Sorted by (block, chunk), a block's row comes first and its queries follow, so a task holds one block at a time.
+    """
+    sizes = opened.groupBy("block").agg(F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("_chunks"))
+    sizes = materialize(sizes, "search-chunks")
+    tasks = sizes.agg(F.sum("_chunks")).first()[0]
+    packed = [c.split()[0] for c in _BLOCK.split(", ")][1:]
+    placed = blocks.join(sizes, "block").select(
+        "block", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), F.lit(None).cast("long").alias("_q"), *packed)
+    asking = opened.join(sizes, "block").join(terms, "_q").select(
+        "block", F.pmod(F.xxhash64("_q"), F.col("_chunks")).cast("int").alias("_chunk"), "_q", "asked", "idfs", "_floor")
+    rows = placed.unionByName(asking, allowMissingColumns=True)
+    rows = rows.repartition(tasks, "block", "_chunk").sortWithinPartitions("block", "_chunk", F.asc_nulls_first("_q"))
+    rows = rows.select("_q", *packed, "asked", "idfs", "_floor")
+
+    def score(batches):
+        block = None
+        for batch in batches:
+            c = {name: batch.column(name) for name in batch.schema.names}
+            queries = np.asarray(c["_q"].fill_null(-1))
+            floors = np.asarray(c["_floor"].fill_null(0)).astype(np.float64)
+            sizes = np.asarray(c["asked"].value_lengths().fill_null(0))
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            ids, idfs = np.asarray(c["asked"].flatten()), np.asarray(c["idfs"].flatten())
+            found = []
+            i = 0
+            while i < len(queries):
+                if queries[i] < 0:
+                    block = _Block(c["texts"][i].values, *(c[x][i].as_py() for x in packed[1:]))
+                    i += 1
+                    continue
+                end = min(len(queries), i + GROUP)
+                blocks_ahead = np.flatnonzero(queries[i:end] < 0)
+                end = i + int(blocks_ahead[0]) if len(blocks_ahead) else end
+                own = slice(bounds[i], bounds[end])
+                of, texts, points = block.best(ids[own], idfs[own], np.repeat(np.arange(end - i), sizes[i:end]), floors[i:end], k)
+                found.append((queries[i + of], texts, points))
+                i = end
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["_q", "text_no", "points"])
+
+    return rows.mapInArrow(score, "_q long, text_no long, points long")
+
+
 def search_index(
     index: TextIndex,
     queries: DataFrame,
@@ -148,79 +362,45 @@ def search_index(
     if index.analysis:
         kept = F.filter("_set", index.analysis[0])
         asked = asked.withColumn("_set", F.array_distinct(F.transform(kept, index.analysis[1])))
-    asked = asked.select(query_key, F.sort_array("_set").alias("_set")).filter(F.size("_set") > 0)
-    asked = asked.withColumn("_set_id", F.unhex(F.sha2(F.concat_ws(" ", "_set"), 256)))
-    asked = materialize(asked, "search-queries")
+    # Stored before anything asks for the set again, else its text is taken apart each time.
+    asked = materialize(asked.select(query_key, F.sort_array("_set").alias("_set")), "search-queries")
+    asked = asked.filter(F.size("_set") > 0).withColumn("_set_id", F.unhex(F.sha2(F.concat_ws(" ", "_set"), 256)))
     sets = asked.groupBy("_set_id").agg(F.first("_set").alias("_set"))
     sets = materialize(sets.withColumn("_q", F.monotonically_increasing_id()), "search-sets")
     wanted = sets.select("_q", F.explode("_set").alias("token"))
 
-    tf, length = F.col("tf"), F.col("doc_len")
-    saturation = tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * length / mean_len))
-    postings = (
-        index.texts.select("text_no", "copies", "doc_len", F.inline("terms"))
-        .join(wanted.select("token").distinct(), "token", "left_semi")
-        .select("token", "text_no", "copies", saturation.alias("sat"))
-    )
-    postings = scratch.store(postings, "search-postings")
-
-    per_token = postings.groupBy("token").agg(F.sum("copies").alias("df"), F.max("sat").alias("top"))
-    idf = F.log(1 + (documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = per_token.select("token", "df", idf.alias("idf"), (_points(idf, F.col("top")) + 1).alias("bound"))
-    terms = scratch.store(wanted.join(weighted, "token").select("_q", "token", "df", "idf", "bound"), "search-terms")
-
-    hits = postings.select("token", "text_no", "sat")
-    points = _points(F.col("idf"), F.col("sat"))
-
-    def exact(pairs: DataFrame) -> DataFrame:
-        """Full scores of chosen (query, text) pairs."""
-        return (
-            pairs.select("_q", "text_no")
-            .join(terms.select("_q", "token", "idf"), "_q")
-            .join(hits, ["text_no", "token"])
-            .groupBy("_q", "text_no")
-            .agg(F.sum(points).alias("points"))
-        )
-
-    def kth_exact(leaders: DataFrame) -> DataFrame:
-        """Per query, the k-th best full score among its leading candidates, less the slack."""
-        places = top_k(exact(top_k(leaders, ["_q"], [F.desc("points"), F.asc("text_no")], k)), ["_q"], [F.desc("points")], k)
-        return places.filter(F.col("rank") == k).select("_q", (F.col("points") - SLACK).alias("_floor"))
-
-    # First floor: each token's k heaviest texts. A query with a token in k texts has a floor.
-    of_query = Window.partitionBy("_q")
-    heaviest = top_k(hits, ["token"], [F.desc("sat"), F.asc("text_no")], k, "_place").drop("_place")
-    floors = kth_exact(terms.join(heaviest, "token").groupBy("_q", "text_no").agg(F.sum(points).alias("points")))
-
-    ascending = of_query.orderBy("bound", "token").rowsBetween(Window.unboundedPreceding, 0)
-    planned = (
-        terms.join(floors, "_q", "left")
-        .withColumn("_seeks", F.sum("bound").over(ascending) >= F.coalesce("_floor", F.lit(0)))
-        .withColumn("_rest", F.sum(F.when(F.col("_seeks"), 0).otherwise(F.col("bound"))).over(of_query))
-        .select("_q", "token", "idf", "_seeks", "_rest")
-    )
-    planned = scratch.store(planned, "search-plan")
+    df = F.col("df")
+    known = _without_collision(scratch.store(vocabulary(index), "search-vocabulary"))
+    weighted = known.select("token_id", "token", F.log(1 + (documents - df + 0.5) / (df + 0.5)).alias("idf"))
+    terms = wanted.join(weighted, "token").groupBy("_q").agg(F.collect_list(F.struct("token_id", "idf")).alias("_terms"))
+    terms = scratch.store(terms.select("_q", F.col("_terms.token_id").alias("asked"), F.col("_terms.idf").alias("idfs")), "search-terms")
+
+    blocks = scratch.store(posting_blocks(index, mean_len, k1, b), "search-blocks")
+    each = terms.select("_q", F.inline(F.arrays_zip(F.col("asked").alias("token_id"), F.col("idfs").alias("idf"))))
+    bounds = each.join(_block_tops(blocks), "token_id").groupBy("_q", "block").agg(
+        F.sum(_points(F.col("idf"), F.col("top"))).alias("bound"))
+    order = Window.partitionBy("_q").orderBy(F.desc("bound"), F.asc("block"))
+    bounds = scratch.store(bounds.withColumn("_place", F.row_number().over(order)), "search-bounds")
+
+    found, first, last = None, 1, 1
+    while True:
+        opened = bounds.filter(F.col("_place").between(first, last)).withColumn("_floor", F.lit(0).cast("long"))
+        if found is not None:
+            places = top_k(found, ["_q"], [F.desc("points"), F.asc("text_no")], k).filter(F.col("rank") == k)
+            floors = places.select("_q", (F.col("points") - SLACK).alias("_least"))
+            opened = opened.join(floors, "_q", "left").withColumn("_floor", F.coalesce("_least", "_floor"))
+            opened = opened.filter(F.col("bound") >= F.col("_floor"))
+        opened = scratch.store(opened.select("_q", "block", "_floor"), "search-opened")
+        if opened.isEmpty():
+            break
+        more = scratch.store(_scored(opened, blocks, terms, k), "search-candidates")
+        found = more if found is None else found.unionByName(more)
+        first, last = last + 1, last + WIDER * last
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], "_q long, text_no long, points long")
 
-    found = (
-        planned.filter("_seeks")
-        .join(hits, "token")
-        .groupBy("_q", "text_no")
-        .agg(F.sum(points).alias("points"), F.max("_rest").alias("_rest"))
-    )
-    found = scratch.store(found, "search-candidates")
-    # Second floor: the candidates that lead so far; far fewer can still reach it.
-    alive = found.join(kth_exact(found.select("_q", "text_no", "points")), "_q", "left").filter(
-        F.col("points") + F.col("_rest") >= F.coalesce("_floor", F.lit(0))
-    )
-    added = (
-        alive.select("_q", "text_no")
-        .join(planned.filter("NOT _seeks").select("_q", "token", "idf"), "_q")
-        .join(hits, ["text_no", "token"])
-        .select("_q", "text_no", points.alias("points"))
-    )
-    scored = alive.select("_q", "text_no", "points").unionByName(added)
-    scored = scored.groupBy("_q", "text_no").agg(F.sum("points").alias("points"))
-    scored = scored.withColumn("score", F.floor((F.col("points") + 500) / 1000) / 1e6)
+    of_query = Window.partitionBy("_q")
+    scored = found.withColumn("score", F.floor((F.col("points") + 500) / 1000) / 1e6)
     # Among texts with equal scores, those of the smallest document keys win. The keys are only fetched
     # for texts that reach the k-th place, which rank() keeps together with all their ties.
     placed = scored.withColumn("_place", F.rank().over(of_query.orderBy(F.desc("score")))).filter(F.col("_place") <= k)

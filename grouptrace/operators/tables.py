@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grouptrace.operators.joins import anti_join
 from grouptrace.operators.ranking import distinct_on
+from grouptrace.session import materialize
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -98,6 +100,85 @@ def read_version(spark: SparkSession, path: str, schema, number: int | None = No
     return spark.read.schema(schema).parquet(f"{path}/version={stored[-1] if number is None else number}")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def create_buckets(df: DataFrame, path: str, keys: Sequence[str], buckets: int) -> None:
+    """Lay a keyed table out by the hash of its key: one folder ``bucket=<n>`` each. A repeated key fails the write.
+
+    Choose so many buckets that one holds some 100 MB. Rows with a NULL in the key are kept and found like others.
+    """
+    placed = assert_unique(df, keys).withColumn("bucket", _bucket(keys, buckets))
+    placed.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/rows")
+
+
+def read_buckets(spark: SparkSession, path: str, schema: T.StructType, chosen: Sequence[int] | None = None) -> DataFrame:
+    """The table, or some of its buckets; only their folders are listed and read."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())]))
+    if chosen is None:
+        return rows.parquet(f"{path}/rows").drop("bucket")
+    folders = [f for f in (f"{path}/rows/bucket={n}" for n in chosen) if _exists(spark, f)]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return rows.option("basePath", f"{path}/rows").parquet(*folders).drop("bucket")
+
+
+def upsert_buckets(
+    spark: SparkSession, path: str, schema: T.StructType, new: DataFrame, keys: Sequence[str], update: Sequence[str],
+    buckets: int, run: int,
+) -> list[int]:
+    """``upsert`` into a table laid out by ``create_buckets``; gives the buckets that changed.
+
+    Only the buckets of the new keys are read. Of these, only those whose rows differ afterwards are written, by dynamic
+    partition overwrite; all other files stay as they are. Each changed row goes to the table's log as it is then, with the
+    ``run`` and whether it was added. The log is written before the first bucket, so a run that failed can be repeated: a run
+    that is in the log already only brings its buckets to their final state.
+    """
+    columns = [f.name for f in schema.fields]
+    # Equal numbers of different types have different hashes.
+    new = new.withColumns({k: F.col(k).cast(schema[k].dataType) for k in keys})
+    incoming = materialize(new.withColumn("bucket", _bucket(keys, buckets)), "bucket-input")
+    # At most as many as the table has buckets, in any size of input.
+    touched = [r["bucket"] for r in incoming.select("bucket").distinct().collect()]
+    before = read_buckets(spark, path, schema, touched)
+    after = upsert(before, incoming.drop("bucket"), keys, update).withColumn("_new", F.lit(1))
+    both = after.unionByName(before.withColumn("_new", F.lit(0)))
+    rest = [c for c in columns if c not in keys]
+    row = lambda new: F.max(F.when(F.col("_new") == new, F.struct(F.lit(1).alias("_set"), *rest)))
+    sides = both.groupBy(*keys).agg(row(0).alias("_old"), row(1).alias("_now"))
+    differs = ~F.col("_old").eqNullSafe(F.col("_now"))
+    rows = sides.select(
+        *[F.col(c) if c in keys else F.col(f"_now.{c}").alias(c) for c in columns],
+        F.col("_old").isNull().alias("added"), differs.alias("changed"), _bucket(keys, buckets),
+    )
+    rows = materialize(rows, "bucket-rows")
+    dynamic = {"partitionOverwriteMode": "dynamic"}
+    changed = rows.filter("changed").select(*columns, "added", "bucket", F.lit(run).cast("long").alias("run"))
+    if not _exists(spark, f"{path}/log/run={run}"):
+        changed.write.mode("overwrite").options(**dynamic).partitionBy("run").parquet(f"{path}/log")
+    if not _exists(spark, f"{path}/log/run={run}"):
+        return []
+    changed = bucket_changes(spark, path, schema).filter(F.col("run") == run)
+    numbers = sorted(r["bucket"] for r in changed.select("bucket").distinct().collect())
+    kept = rows.filter(F.col("bucket").isin(numbers)).select(*columns, "bucket")
+    kept.repartition("bucket").write.mode("overwrite").options(**dynamic).partitionBy("bucket").parquet(f"{path}/rows")
+    return numbers
+
+
+def bucket_changes(spark: SparkSession, path: str, schema: T.StructType, after_run: int = -1) -> DataFrame:
+    """The log's rows of later runs: what a reader of the table as it was after ``after_run`` lacks."""
+    extra = [T.StructField("added", T.BooleanType()), T.StructField("bucket", T.IntegerType()), T.StructField("run", T.LongType())]
+    logged = T.StructType([*schema.fields, *extra])
+    log = spark.read.schema(logged).parquet(f"{path}/log") if _exists(spark, f"{path}/log") else spark.createDataFrame([], logged)
+    return log.filter(F.col("run") > after_run)
+
+
 def append_keys(work: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Add literal keys to a work list; repeated keys and keys already listed are added once."""
     literals = F.array(*[F.lit(k) for k in keys])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +35,13 @@ def exact_name_match(decrees: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def unmatched_grantees(decrees: DataFrame, entities: DataFrame) -> DataFrame:
+def unmatched_grantees(
+    decrees: DataFrame, entities: DataFrame, without: Callable[[DataFrame, DataFrame, list[str]], DataFrame] = anti_join
+) -> DataFrame:
+    """Grantees without an entity of their name. ``without``: ``joins.bitmap_anti_join`` pays where most stay unmatched."""
     left = grantees(decrees).select("grantee", normalize_name(F.col("grantee")).alias("_name"))
     right = entities.select(normalize_name(F.col("corp_name")).alias("_name"))
-    return anti_join(left, right, ["_name"]).select("grantee")
+    return without(left, right, ["_name"]).select("grantee")
 
 
 def grantees_to_search(unmatched: DataFrame, stored: DataFrame) -> DataFrame:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grouptrace.functions.text import strip_leading_chars
 from grouptrace.functions.values import any_true, exact_sum, yes_no, yes_no_text
+from grouptrace.operators.id_sets import add_to_sets, set_sizes
 from grouptrace.operators.joins import semi_join
 from grouptrace.operators.reshape import cross_with_list
 from grouptrace.plans.panel import OWN_ID_CHARS
+from grouptrace.sources.sinks import write_bucketed
 
 LOCAL_STATE = "PR"
 RULE_YEARS = (2024, 2025, 2026)
@@ -45,6 +47,31 @@ def network_profile(network: DataFrame, state: str = LOCAL_STATE) -> DataFrame:
     )
 
 
+_PROFILE = {
+    "num_unique_companies": "company", "num_unique_companies_with_local_state": "local company",
+    "num_unique_parents": "parent", "num_unique_parents_with_local_state": "local parent",
+}
+
+
+def add_profile_batch(network: DataFrame, path: str, batch: int, state: str = LOCAL_STATE) -> None:
+    """Add rows to a profile that is kept between runs: their number, and the ids as sets of bits."""
+    local = F.col("state") == state
+    kinds = F.array(
+        *[F.struct(F.lit(kind).alias("measure"), F.col(f"{kind}_id").alias("id")) for kind in ("company", "parent")],
+        *[F.struct(F.lit(f"local {kind}").alias("measure"), F.when(local, F.col(f"{kind}_id")).alias("id")) for kind in ("company", "parent")],
+    )
+    add_to_sets(network.select(F.inline(kinds)), f"{path}/sets", batch)
+    network.agg(F.count("*").alias("num_rows")).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+
+
+def stored_profile(spark: SparkSession, path: str) -> DataFrame:
+    """``network_profile`` of all batches added so far, from their sets."""
+    rows = spark.read.schema("num_rows bigint").parquet(f"{path}/rows").agg(F.sum("num_rows").alias("num_rows"))
+    sizes = set_sizes(spark, f"{path}/sets").agg(
+        *[F.coalesce(F.sum(F.when(F.col("measure") == kind, F.col("ids"))), F.lit(0)).alias(name) for name, kind in _PROFILE.items()])
+    return rows.withColumn("_", F.lit(1)).join(sizes.withColumn("_", F.lit(1)), "_").drop("_")
+
+
 def country_dimension(countries: DataFrame, spanish_names: DataFrame) -> DataFrame:
     """Countries with their Spanish name by two-letter code."""
     names = spanish_names.select(F.col("code").alias("alpha-2"), F.col("country").alias("country_es"))
@@ -200,6 +227,51 @@ def group_rule_status(
     )
 
 
+def stored_by_parent(
+    local_companies: DataFrame, group_revenue: DataFrame, rule_by_year: DataFrame, buckets: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three large inputs of ``group_rule_status`` bucketed by parent, once for all reports that join them.
+
+    ``group_rule_status`` of them shuffles none of the three. Some 100 MB per bucket is a good size.
+    """
+    return tuple(
+        write_bucketed(df, ["parent_id"], buckets, label)
+        for df, label in ((local_companies, "local-companies"), (group_revenue, "group-revenue"), (rule_by_year, "rule-by-year"))
+    )
+
+
+def group_rule_status_by_parent(
+    local_companies: DataFrame, adoption: DataFrame, group_revenue: DataFrame, rule_by_year: DataFrame,
+    state: str = LOCAL_STATE,
+) -> DataFrame:
+    """``group_rule_status`` with all joins on the parent first, so that inputs bucketed by parent stay where they are.
+
+    A parent's answers are gathered to one row by year before the join (as many as there are years). The adoption table, one
+    row per country and year, comes last; Spark sends it to all tasks where its size allows.
+    """
+    tax_country = F.when(F.col("parent_state") == state, F.lit(state)).otherwise(F.col("parent_country_iso_code"))
+    parents = (
+        local_companies.withColumn("parent_tax_country", tax_country)
+        .groupBy("parent_id", "parent_company_name", "parent_tax_country")
+        .agg(F.count_distinct("company_number").alias("num_local_companies"))
+    )
+    answers = rule_by_year.filter(F.col("parent_id").isNotNull()).groupBy("parent_id").agg(
+        F.collect_list(F.struct("year", yes_no_text(F.col("parent_subject_to_rule")).alias("utpr"))).alias("_answers"))
+    flags = adoption.filter(F.col("country_code").isNotNull()).select(
+        F.col("country_code").alias("parent_tax_country"),
+        F.col("country").alias("parent_country"),
+        "year", "pillar2", "iir", "qdmtt",
+    )
+    placed = parents.join(group_revenue, "parent_id", "left").join(answers, "parent_id", "left").join(flags, "parent_tax_country", "left")
+    # A parent may have several rows with different tax countries, and with them several answers a year.
+    of_year = F.filter("_answers", lambda a: a.year == F.col("year"))
+    answered = placed.withColumn("_utpr", F.explode_outer(F.transform(of_year, lambda a: F.struct(a.utpr.alias("utpr")))))
+    return answered.select(
+        "parent_id", "parent_company_name", "num_local_companies", "parent_tax_country", "parent_country",
+        "year", "pillar2", "iir", "qdmtt", F.col("_utpr.utpr").alias("utpr"), "filial_operating_revenue_max",
+    )
+
+
 def country_rule_summary(status: DataFrame) -> DataFrame:
     """Per country and year: parents, local companies, flags, parents per flag, and revenue."""
     revenue, utpr = F.col("filial_operating_revenue_max"), F.col("utpr") == "Yes"

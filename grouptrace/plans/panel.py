@@ -207,6 +207,24 @@ def totals_by(facts: DataFrame, dimensions: Sequence[str], variables: Sequence[s
     return facts.groupBy(*dimensions).agg(*[exact_sum(F.col(v)).alias(v) for v in variables])
 
 
+def add_partial_totals(
+    facts: DataFrame, path: str, batch: int, dimensions: Sequence[str], variables: Sequence[str]
+) -> None:
+    """Store a batch's exact sums by all dimensions together. A repeated batch replaces itself."""
+    sums = [F.sum(F.col(v).cast("decimal(38,9)")).alias(v) for v in variables]
+    facts.groupBy(*dimensions).agg(*sums).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def totals_all(partials: DataFrame, dimensions: Sequence[str], variables: Sequence[str]) -> DataFrame:
+    """Sums by every choice of the dimensions, none and all included, in one pass over facts or stored partial sums.
+
+    ``level`` tells which dimensions are summed over, as Spark's grouping id: bit 0 for the last one. There a dimension is
+    NULL; elsewhere NULL is a value of its own.
+    """
+    sums = [F.sum(F.col(v).cast("decimal(38,9)")).cast("double").alias(v) for v in variables]
+    return partials.cube(*dimensions).agg(F.grouping_id().cast("int").alias("level"), *sums)
+
+
 def year_columns(df: DataFrame, pattern: str = r"_year_(\d{4})_") -> list[str]:
     """Columns of single years, latest first."""
     found = [(int(m[1]), c) for c in df.columns if (m := re.search(pattern, c))]

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import re
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grouptrace.functions.text import file_name_of, regex_struct
 from grouptrace.functions.values import NULL_TOKENS, null_if_token
 from grouptrace.operators.ranking import distinct_on, spread_row_number
-from grouptrace.session import materialize
 from grouptrace.sources.schemas import batch_header
 
 # A batch file is named e.g. "Export (DATA with ids) 1-1000.csv".
@@ -60,15 +63,6 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_registry_table(
-    spark: SparkSession, url: str, table: str, partition_column: str, lower: int, upper: int, partitions: int
-) -> DataFrame:
-    """Registry records straight from a database, read in parallel ranges of the record id."""
-    return spark.read.jdbc(
-        url, table, column=partition_column, lowerBound=lower, upperBound=upper, numPartitions=partitions
-    )
-
-
 def clean_tokens(
     df: DataFrame, types: Mapping[str, str], tokens: Sequence[str] = NULL_TOKENS
 ) -> DataFrame:
@@ -99,37 +93,62 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return files.select(_plain_name(F.col("path")).alias("file_path"))
 
 
+# The first record of a CSV text: cells without quotes or line breaks, and quoted cells. Possessive, so that no header is too long.
+_FIRST_RECORD = r'^((?:[^"\r\n]++|"(?:[^"]++|"")*+")++)(\r\n|\r|\n)?'
+
+
+def _as_glob(path: str) -> str:
+    """A path that stands for itself where a pattern is expected."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def batch_headers(spark: SparkSession, path: str) -> dict[tuple[tuple[str, ...], str], list[str]]:
+    """The headers that occur in batch files, with the line end behind them, each with its files; lock files and empty
+    files are left out.
+
+    One short row per file comes to the driver, which lists the files for any scan.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    text = F.regexp_replace(F.col("content").cast("string"), "^\uFEFF", "")
+    head, end = F.regexp_extract(text, _FIRST_RECORD, 1), F.regexp_extract(text, _FIRST_RECORD, 2)
+    named = files.filter(~F.startswith(file_name_of(_plain_name(F.col("path"))), F.lit(LOCK_PREFIX)))
+    found: dict[tuple[tuple[str, ...], str], list[str]] = {}
+    for row in named.select("path", head.alias("head"), end.alias("end")).filter("head <> ''").collect():
+        names = tuple(next(csv.reader(io.StringIO(row["head"], newline=""))))
+        found.setdefault((names, row["end"]), []).append(row["path"])
+    return found
+
+
 def read_batches(
-    spark: SparkSession, path: str, columns: Sequence[str], header: Callable[[str], str] = batch_header, widest: int = 512
+    spark: SparkSession, path: str, columns: Sequence[str], header: Callable[[str], str] = batch_header
 ) -> DataFrame:
     """Batch files as (file_name, row_in_file, *columns), every cell as text; lock files are left out.
 
     Cells are found by each file's own header, in whatever order it names them, after ``header`` has made its names
-    canonical; a file without a column gives NULL there. Cells and headers may hold line breaks. A file is read by one
-    task, so its rows are numbered from 1 as they stand in it. More than ``widest`` cells in a row are an error.
+    canonical; a file without a column gives NULL there. Files with equal headers are one scan, with a schema as wide as their
+    header, of which only the wanted columns are parsed. Cells and headers may hold line breaks. A file is read by one task, so
+    its rows are numbered from 1 as they stand in it. Cells beyond the header's are left out.
     """
-    cells = [f"c{i}" for i in range(widest)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*cells, "_more")])
-    reader = spark.read.schema(schema).option("quote", '"').option("escape", '"').option("multiLine", True)
-    rows = reader.option("header", False).csv(path).select(
-        _plain_name(F.col("_metadata.file_name")).alias("file_name"), F.monotonically_increasing_id().alias("_line"),
-        F.when(F.col("_more").isNotNull(), F.raise_error(F.lit("a batch row is too wide"))).otherwise(F.array(*cells)).alias("_cells"),
-    )
-    rows = materialize(rows.filter(~F.startswith("file_name", F.lit(LOCK_PREFIX))), "batch-rows")
-    heads = rows.groupBy("file_name").agg(F.min(F.struct("_line", "_cells")).alias("_head"))
-    heads = heads.select("file_name", F.col("_head._line").alias("_first"), F.col("_head._cells").alias("_names"))
-    # The headers that occur: as many as a batch has columns, in a few spellings.
-    named = heads.select(F.explode("_names").alias("name")).filter("name IS NOT NULL").distinct().collect()
-    known = {r["name"]: header(r["name"]) for r in named}
-    places = {c: [n for n, canonical in known.items() if canonical == c] for c in columns}
-
-    def cell(column: str) -> Column:
-        spellings = F.array(*[F.lit(n) for n in places[column]]).cast("array<string>")
-        place = F.array_position(F.transform("_names", lambda n: F.array_contains(spellings, n)), True)
-        return F.when(place > 0, F.get("_cells", place.cast("int") - 1)).alias(column)
-
-    body = rows.join(heads, "file_name").filter(F.col("_line") > F.col("_first"))
-    return body.select("file_name", (F.col("_line") - F.col("_first")).alias("row_in_file"), *[cell(c) for c in columns])
+    scans = []
+    for (names, line_end), paths in sorted(batch_headers(spark, path).items()):
+        canonical = [header(n) for n in names]
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+        if line_end:
+            reader = reader.option("lineSep", line_end)
+        cells = [
+            (F.col(f"c{canonical.index(c)}") if c in canonical else F.lit(None).cast("string")).alias(c) for c in columns
+        ]
+        scans.append(reader.csv([_as_glob(p) for p in sorted(paths)]).select(
+            F.col("_metadata.file_path").alias("_path"), _plain_name(F.col("_metadata.file_name")).alias("file_name"),
+            F.monotonically_increasing_id().alias("_line"), *cells))
+    if not scans:
+        return spark.createDataFrame([], T.StructType([
+            T.StructField("file_name", T.StringType()), T.StructField("row_in_file", T.LongType()),
+            *[T.StructField(c, T.StringType()) for c in columns]]))
+    rows = reduce(DataFrame.unionByName, scans)
+    in_file = F.row_number().over(Window.partitionBy("_path").orderBy("_line")).cast("long")
+    return rows.select("file_name", in_file.alias("row_in_file"), *columns)
 
 
 def batch_catalog(files: DataFrame, path: str = "file_path", pattern: str = BATCH_NAME_PATTERN) -> DataFrame:
@@ -157,6 +176,13 @@ def query_ranges(catalog: DataFrame) -> DataFrame:
     return spread_row_number(ranges, [F.asc("query_num_start"), F.asc("query_range")], "position")
 
 
+def query_range_list(catalog: DataFrame) -> DataFrame:
+    """The distinct ranges as one ordered list, one row (query_ranges). As long as there are batches: a list to be shown."""
+    ranges = distinct_on(catalog.select("query_range", "query_num_start"), ["query_range"], ["query_num_start"])
+    listed = F.sort_array(F.collect_list(F.struct("query_num_start", "query_range")))
+    return ranges.agg(F.transform(listed, lambda r: r.query_range).alias("query_ranges"))
+
+
 def attach_positional_ids(
     rows: DataFrame, id_lists: DataFrame, source: str, ordinal: str, ids: str, name: str, delimiter: str = ", "
 ) -> DataFrame:

@@ -6,10 +6,13 @@ again. They are stored once: a record is identified by all its content, not by r
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from grouptrace.functions.text import snake_case
 from grouptrace.functions.values import zone_iso_text
@@ -137,3 +140,56 @@ def compacted(spark: SparkSession, store_path: str, schema, target: str) -> Data
     rows = _stored(spark, store_path, schema).withColumn("batch", F.lit(-1).cast("bigint"))
     rows.repartition("number_range").write.partitionBy("number_range", "batch").parquet(target)
     return _stored(spark, target, schema).select(*[f.name for f in schema.fields])
+
+
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def start_stateful_ingest(
+    spark: SparkSession,
+    pages_path: str,
+    store_path: str,
+    checkpoint_path: str,
+    schema,
+    content: Sequence[str] = CONTENT,
+    files_per_batch: int | None = None,
+) -> StreamingQuery:
+    """A stream that stores every record once and never reads its store: which contents have come is Spark's keyed state.
+
+    A record's content is the key, and all that is kept for it is that it has come; the first batch with a content stores its
+    copy with the smallest record_id. The state is cut by the content's hash and lives in RocksDB, on the executors' disks and in
+    the checkpoint, so a restarted stream goes on where it was, and so does the file sink, whose log lets readers see each
+    batch once and whole. Contents are remembered for ever, as a collection may be run again from any number.
+    """
+    columns = [f.name for f in schema.fields]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+
+    def first_copy(key: tuple, pages: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, first = state.exists, None
+        for page in pages:
+            if not known and len(page):
+                best = page.loc[[page["record_id"].idxmin()], columns]
+                if first is None or best["record_id"].iat[0] < first["record_id"].iat[0]:
+                    first = best
+        state.update((True,))
+        if first is not None:
+            yield first
+
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    fresh = reader.parquet(pages_path).groupBy(*content).applyInPandasWithState(
+        first_copy, schema, "seen boolean", "append", GroupStateTimeout.NoTimeout
+    )
+    writer = fresh.writeStream.format("parquet").outputMode("append").option("path", store_path)
+    return writer.option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start()
+
+
+def ingest_stateful(
+    spark: SparkSession, pages_path: str, store_path: str, checkpoint_path: str, schema, content: Sequence[str] = CONTENT,
+    files_per_batch: int | None = None,
+) -> DataFrame:
+    """Take in all page files that are waiting with keyed state, and return the store."""
+    query = start_stateful_ingest(spark, pages_path, store_path, checkpoint_path, schema, content, files_per_batch)
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(store_path)
