@@ -4,12 +4,16 @@ Every task holds its own in-memory database with the vocabulary and its merge ta
 tokens whose bytes together are a token. A text is cut into pieces by the tokenizer's pattern; the pieces a task hasn't
 seen yet become rows (word, pos, id), one per byte, and each step of the recursion joins neighbours with the merge
 table and contracts, in every word that still has one, the leftmost pair of minimum rank.
+
+A long piece is encoded in overlapping windows, each a word of its own, that are joined where two neighbours have a token in
+common. That is exact: a sequence of tokens is the encoding of its bytes if each two neighbours in it are the encoding of
+theirs, and each two neighbours of the joined sequence stand together in a window. Windows without a common token are made
+wider, up to the whole piece.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterable
 
 import numpy as np
@@ -17,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces up to this many bytes keep all steps of the recursion (a quadratic number of rows); longer ones only the last.
+#: Pieces up to this many bytes keep all steps of the recursion (a quadratic number of rows). Longer ones are cut into
+#: windows of so many bytes that overlap by half.
 SHORT = 64
 CHUNK_CHARS = 2_500_000
-CACHED_PIECES = 400_000
+#: Rows of a recursion, and pieces whose ids a worker keeps (about 200 bytes each).
+ROWS = 2_000_000
+CACHED_PIECES = 1_200_000
 
 _STEPS = """
 WITH RECURSIVE step AS (
@@ -69,7 +76,7 @@ SELECT word, pos, id FROM step WHERE id IS NOT NULL ORDER BY word, pos
 """
 
 _DECODE = """
-SELECT text, string_agg(hex, '' ORDER BY pos) AS hex FROM tokens JOIN vocabulary USING (id) GROUP BY text
+SELECT text, string_agg(letters, '' ORDER BY pos) AS letters FROM tokens JOIN vocabulary USING (id) GROUP BY text
 """
 
 
@@ -87,7 +94,9 @@ class Coder:
         import regex
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.db = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": memory})
+        self.db = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": memory, "temp_directory": ""})
+        self.size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.size[list(ranks.values())] = [len(token) for token in ranks]
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         pairs = [
             (ranks[token[:i]], ranks[token[i:]], rank) for token, rank in ranks.items()
@@ -98,7 +107,7 @@ class Coder:
         for side in (left, right):
             np.minimum.at(least, side, rank)
         self._table("merges", l=left, r=right, rank=rank, safe=least[rank] > rank)
-        self._table("vocabulary", id=pa.array(ranks.values(), pa.int32()), hex=pa.array([t.hex() for t in ranks]))
+        self._table("vocabulary", id=pa.array(ranks.values(), pa.int32()), letters=pa.array([t.decode("latin-1") for t in ranks]))
         self._forget()
 
     def _table(self, name: str, **columns) -> None:
@@ -120,6 +129,46 @@ class Coder:
         found = self.db.execute(query).fetchnumpy()
         return np.bincount(np.asarray(found["word"]), minlength=len(pieces)), np.asarray(found["id"], dtype=np.int32)
 
+    def _merged(self, pieces: list[bytes], query: str = _STEPS) -> tuple[np.ndarray, np.ndarray]:
+        """_merge() in blocks of bounded memory: all steps of a piece have at most half its length squared in rows."""
+        if not pieces:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        rows = np.cumsum([len(x) ** 2 if query == _STEPS else 50 * len(x) for x in pieces])
+        cuts = np.unique(np.searchsorted(rows, np.arange(0, rows[-1] + ROWS, ROWS)))
+        cuts = [*cuts[cuts < len(pieces)], len(pieces)]
+        found = [self._merge(pieces[a:b], query) for a, b in zip(cuts[:-1], cuts[1:])]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _joined(self, windows: list[np.ndarray], starts: list[int]) -> np.ndarray | None:
+        """One sequence of the tokens of overlapping windows; None if two neighbours have no token in common."""
+        out, low = [], 0
+        ids, end = windows[0], np.cumsum(self.size[windows[0]])
+        for other, start in zip(windows[1:], starts[1:]):
+            other_end = start + np.cumsum(self.size[other])
+            shared = np.intersect1d(end << 32 | ids, other_end << 32 | other)
+            shared = shared[(shared >> 32) - self.size[shared & 0xFFFFFFFF] >= low]
+            if not len(shared):
+                return None
+            cut = int(shared[0] >> 32)
+            out.append(ids[(end > low) & (end <= cut)])
+            ids, end, low = other, other_end, cut
+        return np.concatenate([*out, ids[end > low]])
+
+    def _merged_long(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        done: list = [None] * len(pieces)
+        todo, width = list(range(len(pieces))), SHORT
+        while todo:
+            starts = {i: list(range(0, max(1, len(pieces[i]) - width // 2), width // 2)) for i in todo}
+            cut = [pieces[i][a: a + width] for i in todo for a in starts[i]]
+            counts, ids = self._merged(cut, _STEPS if width == SHORT else _STEPS_IN_PLACE)
+            windows = iter(np.split(ids.astype(np.int64), np.cumsum(counts)[:-1]))
+            for i in todo:
+                done[i] = self._joined([next(windows) for _ in starts[i]], starts[i])
+            todo, width = [i for i in todo if done[i] is None], 4 * width
+        if not pieces:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.array([len(x) for x in done]), np.concatenate(done).astype(np.int32)
+
     def learn(self, pieces: list[str]) -> None:
         """Adds the ids of pieces, which get the next codes."""
         raw = [x.encode() for x in pieces]
@@ -127,11 +176,9 @@ class Coder:
         token = np.array([self.ranks.get(x, -1) for x in raw])
         whole = np.flatnonzero(token >= 0)
         parts = [(whole, np.ones(len(whole), np.int64), token[whole])]
-        for query, chosen in ((_STEPS, size <= SHORT), (_STEPS_IN_PLACE, size > SHORT)):
+        for chosen, encode in ((size <= SHORT, self._merged), (size > SHORT, self._merged_long)):
             rest = np.flatnonzero(chosen & (token < 0))
-            for o in range(0, len(rest), 20_000):
-                block = rest[o: o + 20_000]
-                parts.append((block, *self._merge([raw[i] for i in block], query)))
+            parts.append((rest, *encode([raw[i] for i in rest])))
         lengths = np.zeros(len(raw), np.int64)
         for block, counts, _ in parts:
             lengths[block] = counts
@@ -172,7 +219,8 @@ class Coder:
             pos=np.arange(sum(n), dtype=np.int32), id=np.concatenate(ids).astype(np.int32),
         )
         found = dict(self.db.execute(_DECODE).fetchall())
-        return [bytes.fromhex(found.get(i, "")) for i in range(len(ids))]
+        # Each letter of code point n stands for the byte n.
+        return [found.get(i, "").encode("latin-1") for i in range(len(ids))]
 
 
 _CODERS: dict[tuple[str, str], Coder] = {}
