@@ -10,14 +10,16 @@ with its most similar partner of every group, then, exactly, all pairs that lie
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grouptrace.llm import bits, words
 from grouptrace.llm.components import components, files_for
-from grouptrace.session import materialize
+from grouptrace.session import materialize, work_path
 
 SHINGLE = 5
 PERCENT = 80
@@ -55,17 +57,22 @@ def _array(values, kind=None) -> pa.Array:
 
 
 _SIGNATURE = tuple(f"s{k}" for k in range(_SIGNATURE_WORDS))
-_DESCRIBED = f"doc_id long, vertex long, n long, {', '.join(f'{s} long' for s in _SIGNATURE)}, slice int, counts binary"
+_DESCRIBED = f"doc_id long, row_key long, vertex long, n long, {', '.join(f'{s} long' for s in _SIGNATURE)}, slice int, counts binary"
+
+
+def _row_key() -> Column:
+    """By which a row's text is fetched again: the hash of its doc_id, or of the text where it has none."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.lit("doc_id"), "doc_id")).otherwise(F.xxhash64(F.lit("text"), "text")).alias("row_key")
 
 
 def described(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One pass over the texts, with two kinds of rows.
 
-    Per document (doc_id, vertex, n, s0..s3), where s is the parity of the set's members in each of 256 cells: two sets
+    Per document (doc_id, row_key, vertex, n, s0..s3), where s is the parity of the set's members in each of 256 cells: two sets
     differ in at least as many members as their signatures in bits. Per task, and with a slice, a sketch of the shingles'
     frequencies: compressed counts of documents in 2**20 cells, a size that doesn't depend on the data.
     """
-    names = ["doc_id", "vertex", "n", *_SIGNATURE, "slice", "counts"]
+    names = ["doc_id", "row_key", "vertex", "n", *_SIGNATURE, "slice", "counts"]
 
     def describe(batches):
         total = np.zeros(1 << _CELL_BITS, dtype=np.int64)
@@ -77,7 +84,7 @@ def described(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
                 flips = np.bincount(text * (64 * _SIGNATURE_WORDS) + cell, minlength=bits.size)
                 signature = np.packbits((flips & 1).astype(np.uint8).reshape(bits.shape), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(row, n_texts), _array(vertex), _array(size)]
+                    [*(batch.column(x).slice(row, n_texts) for x in ("doc_id", "row_key")), _array(vertex), _array(size)]
                     + [_array(signature[:, k].copy()) for k in range(_SIGNATURE_WORDS)]
                     + [pa.nulls(n_texts, pa.int32()), pa.nulls(n_texts, pa.binary())],
                     names=names,
@@ -86,7 +93,7 @@ def described(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
             empty = [pa.nulls(_SLICES, pa.int64())] * (len(names) - 2)
             yield pa.RecordBatch.from_arrays([*empty, *_slices(dict(enumerate(total.reshape(_SLICES, -1))))], names=names)
 
-    return documents.select("doc_id", "text").mapInArrow(describe, _DESCRIBED)
+    return documents.select("doc_id", _row_key(), "text").mapInArrow(describe, _DESCRIBED)
 
 
 def _slices(parts: dict[int, np.ndarray]) -> list[pa.Array]:
@@ -280,13 +287,15 @@ def candidates(shared: DataFrame, large: DataFrame, sets: DataFrame, percent: in
 
 
 def fragments(documents: DataFrame, first: DataFrame, wanted: DataFrame, order: Order) -> DataFrame:
-    """(fragment, vertex, keys): the wanted vertices' sets, each cut at the order's fragments.
+    """(vertex, keys0, keys1, ...): the wanted vertices' sets, each cut at the order's fragments.
 
-    first: (vertex, doc_id), a document of each vertex. wanted: (vertex).
+    first: (vertex, row_key), a row of each vertex. wanted: (vertex). The table is stored in buckets of vertices, so no later
+    join moves it.
     """
-    chosen = first.join(wanted, "vertex").groupBy("doc_id").agg(F.collect_set("vertex").alias("own"))
-    chosen = materialize(chosen.where("doc_id IS NOT NULL"), "chosen")
-    known = bits.filter_of(chosen.select(F.col("doc_id").alias("key")))
+    chosen = materialize(first.join(wanted, "vertex").groupBy("row_key").agg(F.collect_set("vertex").alias("own")), "chosen")
+    known = bits.filter_of(chosen.select(F.col("row_key").alias("key")))
+    parts = len(order.cuts) + 1
+    names = ["vertex", *(f"keys{i}" for i in range(parts))]
 
     def cut(batches):
         for batch in batches:
@@ -296,52 +305,67 @@ def fragments(documents: DataFrame, first: DataFrame, wanted: DataFrame, order:
                 part = order.fragment(key)
                 by = np.lexsort((key, part, text))
                 text, part, key = text[by], part[by], key[by]
-                new = np.ones(len(key) + 1, dtype=bool)
-                new[1:-1] = (text[1:] != text[:-1]) | (part[1:] != part[:-1])
-                edges = np.flatnonzero(new)
-                out = [(part[a], vertex[text[a]], key[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:])
-                       if vertex[text[a]] in own[row + text[a]]] if len(key) else []
-                yield pa.RecordBatch.from_arrays(
-                    [_array([x[0] for x in out], pa.int32()), _array([x[1] for x in out]),
-                     pa.array([x[2] for x in out], pa.binary())],
-                    names=["fragment", "vertex", "keys"],
-                )
+                edges = np.searchsorted(text * parts + part, np.arange(n_texts * parts + 1))
+                kept = [i for i in range(n_texts) if vertex[i] in own[row + i]]
+                blobs = [[key[edges[i * parts + p]: edges[i * parts + p + 1]].tobytes() for i in kept] for p in range(parts)]
+                yield pa.RecordBatch.from_arrays([_array(vertex[kept]), *(pa.array(x, pa.binary()) for x in blobs)], names=names)
 
     shared = documents.sparkSession.sparkContext.broadcast(known)
 
     def thinned(batches):
+        nameless: set[int] = set()
         for batch in batches:
-            kept = batch.filter(pa.array(bits.may_be_in(np.asarray(batch.column("doc_id")), shared.value)))
+            key = np.asarray(batch.column("row_key"))
+            keep = bits.may_be_in(key, shared.value)
+            # Copies without doc_id have one key: one of a task's is enough.
+            for i in np.flatnonzero(keep & np.asarray(batch.column("nameless"))).tolist():
+                keep[i] = key[i] not in nameless
+                nameless.add(int(key[i]))
+            kept = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays(
-                [kept.column("doc_id"), words.pack(kept.column("text"))], names=["doc_id", "packed"])
+                [kept.column("row_key"), words.pack(kept.column("text"))], names=["row_key", "packed"])
 
-    near = documents.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(thinned, "doc_id long, packed binary")
-    texts = words.met(near, chosen, "doc_id").select("packed", "own")
-    return texts.mapInArrow(cut, "fragment int, vertex long, keys binary").dropDuplicates(["fragment", "vertex"])
+    near = documents.select(_row_key(), F.col("doc_id").isNull().alias("nameless"), "text").mapInArrow(thinned, "row_key long, packed binary")
+    texts = words.met(near, chosen, "row_key").select("packed", "own")
+    sets = texts.mapInArrow(cut, ", ".join(["vertex long", *(f"{x} binary" for x in names[1:])]))
+    spark = documents.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _stored_by_vertex(sets.repartition(buckets, "vertex").dropDuplicates(["vertex"]), buckets)
 
 
-def _partial(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b, na, nb, sa, sb, partial) per pair and fragment that both sets have: its sizes in it, and the overlap."""
-    left = parts.select("fragment", F.col("vertex").alias("a"), F.col("keys").alias("a_keys"))
-    right = parts.select("fragment", F.col("vertex").alias("b"), F.col("keys").alias("b_keys"))
-    both = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "a_keys", "b_keys")
+def _stored_by_vertex(sets: DataFrame, buckets: int) -> DataFrame:
+    """Written in the buckets that it is already dealt to."""
+    spark, name = sets.sparkSession, f"fragments_{uuid.uuid4().hex}"
+    writer = sets.write.bucketBy(buckets, "vertex").sortBy("vertex").format("parquet")
+    writer.option("path", work_path(spark, "fragments")).saveAsTable(name)
+    return spark.table(name)
+
+
+def _partial(pairs: DataFrame, parts: DataFrame, numbers: list[int]) -> DataFrame:
+    """(a, b, na, nb, sa, sb, partial) per pair: sizes of its sets in some fragments, and the overlaps, summed."""
+    names = [f"keys{i}" for i in numbers]
+    left, right = (parts.select(F.col("vertex").alias(x), *(F.col(n).alias(f"{x}_{n}") for n in names)) for x in "ab")
+    sides = [f"{x}_{n}" for n in names for x in "ab"]
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", *sides)
 
     def count(batches):
         for batch in batches:
-            values, row, sizes = [], [], []
-            for name in ("a_keys", "b_keys"):
-                column = batch.column(name)
-                blobs = column.to_pylist()
-                sizes.append(np.array([len(x) // 8 for x in blobs], dtype=np.int64))
-                values.append(np.frombuffer(b"".join(blobs), dtype=np.uint64))
-                row.append(np.repeat(np.arange(len(column)), sizes[-1]))
-            key, row = np.concatenate(values), np.concatenate(row)
-            by = np.lexsort((key, row))
-            key, row = key[by], row[by]
-            common = (key[1:] == key[:-1]) & (row[1:] == row[:-1])
-            partial = np.bincount(row[1:][common], minlength=batch.num_rows)
+            sums = np.zeros((3, batch.num_rows), dtype=np.int64)
+            for n in names:
+                values, row = [], []
+                for k, side in enumerate("ab"):
+                    blobs = batch.column(f"{side}_{n}").to_pylist()
+                    size = np.array([len(x) // 8 for x in blobs], dtype=np.int64)
+                    sums[k] += size
+                    values.append(np.frombuffer(b"".join(blobs), dtype=np.uint64))
+                    row.append(np.repeat(np.arange(len(blobs)), size))
+                key, row = np.concatenate(values), np.concatenate(row)
+                by = np.lexsort((key, row))
+                key, row = key[by], row[by]
+                common = (key[1:] == key[:-1]) & (row[1:] == row[:-1])
+                sums[2] += np.bincount(row[1:][common], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x) for x in ("a", "b", "na", "nb")), *(_array(x) for x in (*sizes, partial))],
+                [*(batch.column(x) for x in ("a", "b", "na", "nb")), *(_array(x) for x in sums)],
                 names=["a", "b", "na", "nb", "sa", "sb", "partial"],
             )
 
@@ -356,38 +380,47 @@ def links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """
     pair = ["a", "b", "na", "nb"]
     need = -F.floor(-percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    first = pairs.join(_partial(pairs, parts.where("fragment = 0")), pair, "left").fillna(0, ["sa", "sb", "partial"])
     most = F.col("partial") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb"))
+    first = _partial(pairs, parts, [0])
     open_pairs = materialize(first.where(most >= need).select(*pair, "partial"), "open-pairs")
-    rest = _partial(open_pairs.select(*pair), parts.where("fragment > 0")).select(*pair, "partial")
+    rest = _partial(open_pairs.select(*pair), parts, list(range(1, len(parts.columns) - 1))).select(*pair, "partial")
     overlap = open_pairs.unionByName(rest).groupBy(*pair).agg(F.sum("partial").alias("overlap"))
     linked = 100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))
     return overlap.where(linked).select("a", "b")
 
 
+def same_document(rows: DataFrame) -> DataFrame:
+    """(a, b): links between the sets of documents whose doc_id stands in several rows."""
+    known = rows.where("n > 0 AND doc_id IS NOT NULL")
+    several = known.groupBy("doc_id").agg(F.min("vertex").alias("b"), F.max("vertex").alias("last")).where("b <> last")
+    return known.join(several, "doc_id").where("vertex <> b").select(F.col("vertex").alias("a"), "b").distinct()
+
+
 def joined(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of documents.
 
     A null or empty text has no shingles and links with nothing: it is its own component. Rows with equal sets are
-    linked whatever their number; rows with one doc_id are one document. A row without doc_id gets its component's id
-    too (null if all are without). An empty table gives an empty result.
+    linked whatever their number; rows with one doc_id are one document. A row without doc_id links like any other and
+    gets its component's id too (null if all are without). A text of any length is one set. An empty table gives an empty
+    result.
     """
     rows = materialize(described(documents), "vertices")
     order = Order(frequency_levels(rows))
-    rows = rows.where("slice IS NULL").select("doc_id", "vertex", "n", *_SIGNATURE)
+    rows = rows.where("slice IS NULL").select("doc_id", "row_key", "vertex", "n", *_SIGNATURE)
     sets = rows.where("n > 0").groupBy("vertex").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(s).alias(s) for s in _SIGNATURE)
+        F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key"))["row_key"].alias("row_key"),
+        F.first("n").alias("n"), *(F.first(s).alias(s) for s in _SIGNATURE)
     )
     sets = materialize(sets, "sets")
     shared = materialize(shared_prefixes(prefixes(documents, order, percent)), "prefixes")
     large = materialize(large_groups(shared), "large-groups")
 
-    alone = sets.drop("doc_id").withColumn("root", F.col("vertex"))
+    alone = sets.drop("doc_id", "row_key").withColumn("root", F.col("vertex"))
     pairs = materialize(candidates(shared, large, alone, percent, True), "pairs")
     files = files_for(pairs.count())
     wanted = pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct()
     wanted = materialize(wanted.coalesce(files), "wanted")
-    parts = materialize(fragments(documents, sets.select("vertex", "doc_id"), wanted, order), "fragments")
+    parts = fragments(documents, sets.select("vertex", "row_key"), wanted, order)
     roots = materialize(components(links(pairs, parts, percent)).coalesce(files), "roots")
 
     grouped = alone.drop("root").join(wanted, "vertex").join(roots, "vertex", "left")
@@ -395,15 +428,11 @@ def joined(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     across = materialize(candidates(shared, large, grouped, percent, False), "pairs")
     every = links(across, parts, percent).unionByName(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")))
 
-    # Between the smallest documents of the classes, so that a root is the component's smallest document.
-    least = sets.select("vertex", "doc_id")
-    for side in ("a", "b"):
-        named = least.select(F.col("vertex").alias(side), F.col("doc_id").alias(f"{side}_doc"))
-        every = every.join(named, side)
-    found = components(every.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")))
-    placed = least.join(found.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").select(
-        "vertex", F.coalesce("root", "doc_id").alias("least")
-    )
-    return rows.join(placed, "vertex", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
+    found = components(every.unionByName(same_document(rows)))
+    placed = sets.select("vertex", "doc_id").join(found, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    placed = materialize(placed.coalesce(files), "placed")
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("least"))
+    placed = placed.join(least, "root").select("vertex", "least")
+    return rows.select("doc_id", "vertex", "n").join(placed, "vertex", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -42,6 +43,30 @@ def test_ids_are_those_of_the_public_library(coder, reference):
         assert ids.tolist() == reference.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "0123456789", "acgt", "a", "=-", "äöüé漢"])
+def test_long_unbroken_pieces(coder, reference, letters):
+    r = random.Random(letters)
+    text = "".join(r.choice(letters) for _ in range(100_000 if len(letters) > 5 else 20_000))
+    started = time.perf_counter()
+    ids = coder.encode([text])[0]
+    assert time.perf_counter() - started < 20
+    assert ids.tolist() == reference.encode_ordinary(text)
+
+
+def test_lengths_around_the_windows(coder, reference):
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcde") for _ in range(n)) for n in (1, 2, 31, 32, 33, 63, 64, 65, 95, 96, 97, 127, 128, 129, 257)]
+    assert [x.tolist() for x in coder.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_windows_without_a_common_token_grow(coder, reference, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "SHORT", 4)
+    coder._forget()
+    texts = ["internationalization" * 3, "x" * 90, "aquickbrownfoxjumpsoverthelazydog" * 4]
+    assert [x.tolist() for x in coder.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+    coder._forget()
+
+
 def test_decoding_gives_the_bytes_back(coder):
     texts = samples()
     assert coder.decode(coder.encode(texts)) == [t.encode() for t in texts]
