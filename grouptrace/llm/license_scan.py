@@ -18,8 +18,16 @@ from grouptrace.llm.license_texts import NOTICES, TEXTS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: (pattern, replacement, group to keep or 0), applied in this order to the lower-cased text.
+# How licence texts and notices open.
+_OPENINGS = (
+    "permission is hereby granted", "permission to use", "redistribution and use", "this software is provided",
+    "licensed under", "licenced under", "released under", "this work is licensed", "spdx-license-identifier",
+)
+
+#: (pattern, replacement, group to keep or 0), applied in this order to the lower-cased text. A copyright clause ends where a
+#: licence opens, else with its line.
 STEPS = (
+    (rf"(^|\n)[ \t/#*;%-]*(copyright|\(c\)|©|all rights reserved)[^\n]*?({'|'.join(_OPENINGS)})", " ", 3),
     (r"(^|\n)[ \t/#*;%-]*(copyright|\(c\)|©|all rights reserved)[^\n]*", " ", 0),
     (r"[\x00-\x2F\x3A-\x60\x7B-\x7F‘’“”–—…]+", " ", 0),
     (r"\blicenc", "licens", 0),
@@ -59,9 +67,10 @@ def scanned(documents: DataFrame, known: dict[str, str] | None = None) -> DataFr
     """(doc_id, canonical_sha256, license, notices) per row.
 
     license: the known licence that the whole text is, else null. notices: the licences, sorted, of lines that are a known
-    text as a whole (every known one-line notice contains "licen", other lines aren't digested). A null text
-    counts as empty; an empty one has the digest of the empty text and no licence. The known digests are a fixed list,
-    so they are sent to every task.
+    text as a whole (every known one-line notice contains "licen", other lines aren't digested). known: digest -> licence,
+    so no digest has two. A null text counts as empty; an empty one has the digest of the empty text and no licence. Texts of
+    any length are compared whole, one row at a time; repeated rows give equal rows; an empty table gives an empty result.
+    Other columns are not read. The known digests are part of the plan: a list for licences, not for corpora.
     """
     known = registry() if known is None else known
     spark = documents.sparkSession
@@ -74,7 +83,7 @@ def scanned(documents: DataFrame, known: dict[str, str] | None = None) -> DataFr
         "doc_id", F.sha2(_spark(text), 256).alias("canonical_sha256"),
         F.array_sort(F.array_distinct(F.array_compact(found))).alias("notices"),
     )
-    joined = digests.join(F.broadcast(table), "canonical_sha256", "left")
+    joined = digests.join(table, "canonical_sha256", "left")
     return joined.select("doc_id", "canonical_sha256", "license", "notices")
 
 

@@ -83,6 +83,8 @@ NOTICES = (
 
 TEXTS = (
     ("MIT", "MIT License\n\n" + _MIT),
+    ("MIT", "The MIT License\n\n" + _MIT),
+    ("MIT", "The MIT License (MIT)\n\n" + _MIT),
     ("MIT", _MIT),
     ("ISC", "ISC License\n\n" + _ISC),
     ("ISC", _ISC),

@@ -27,7 +27,7 @@ _MOST_HASHES = 64
 # The rules, and the names whose hosts are listed.
 BLOCK_RULES = ("net/", "example.com/de/")
 ALLOW_RULES = ("example.net/en/", "org/fr/")
-LISTED_NAMES = ("casino-win", "cheap-pills", "spam-farm")
+LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
 def _hashes(column: pa.Array) -> np.ndarray:
