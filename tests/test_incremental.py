@@ -112,6 +112,30 @@ def test_a_batch_never_reads_the_store(spark, tmp_path):
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
 
 
+def test_state_of_many_contents_needs_no_python_call_for_each(spark, rows, tmp_path, monkeypatch):
+    """Copies of a content come in several files and pages of one batch; the smallest of them is stored, nulls are equal."""
+    monkeypatch.setattr(ingest, "REDUCE_ROWS", 5)
+    rng = random.Random(9)
+    landing, store, progress = (str(tmp_path / x) for x in ("landing", "store", "progress"))
+    schema = spark.createDataFrame([], PAGE).schema
+    first: dict = {}
+    for batch in range(2):
+        ids = rng.sample(range(1000 * batch, 1000 * batch + 400), 300)
+        now = [(i, batch, rng.choice([None, 1, 2, 3]), rng.choice([None, "a", "b", "ö", *"cdefgh"[:3 + 3 * batch]])) for i in ids]
+        now += [(None, batch, 9, "null id"), (None, batch, 1, "a")]
+        spark.createDataFrame(now, PAGE).repartition(3).write.mode("append").parquet(landing)
+        query = ingest.start_stateful_ingest(spark, landing, store, progress, schema, CONTENT)
+        query.awaitTermination()
+        found: dict = {}
+        for r in now:
+            found[r[2:]] = min(found.get(r[2:], r), r, key=lambda r: (r[0] is None, r[0]))
+        first = found | first
+    assert rows(spark.read.schema(schema).parquet(store)) == sorted(first.values(), key=repr)
+    plan = query._jsq.explainInternal(False)
+    assert "StreamingDeduplicate" in plan and "FlatMapGroups" not in plan
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == len(first)
+
+
 def test_new_documents_only(spark, rows, tmp_path):
     folder, target, progress = (str(tmp_path / x) for x in ("in", "out", "progress"))
     (tmp_path / "in").mkdir()
