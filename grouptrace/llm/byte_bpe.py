@@ -156,7 +156,7 @@ class Coder:
 
     def _merged_long(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         done: list = [None] * len(pieces)
-        todo, width = list(range(len(pieces))), SHORT
+        todo, width = list(range(len(pieces))), max(SHORT, 2)
         while todo:
             starts = {i: list(range(0, max(1, len(pieces[i]) - width // 2), width // 2)) for i in todo}
             cut = [pieces[i][a: a + width] for i in todo for a in starts[i]]

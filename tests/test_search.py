@@ -99,6 +99,29 @@ def test_stop_words_and_stems(spark):
     assert sorted((r.copies, r.doc_len) for r in index.texts.collect()) == [(1, 0), (1, 0), (1, 1), (1, 2)]
 
 
+def test_stems_are_made_where_the_terms_stand(spark):
+    """Words of one stem in a text are one term; none of a text's terms is shuffled to be stemmed."""
+    text = "walking walked walks the walk dogs"
+    index = search.build_index(spark.createDataFrame([(1, text), (2, "the")], "d int, t string"), ["d"], "t")
+    plans, store = [], search.materialize
+    search.materialize = lambda df, label: (plans.append(df._jdf.queryExecution().executedPlan().toString()), store(df, label))[1]
+    try:
+        stemmed = search.analysed(index, ["the"], search.light_stem)
+    finally:
+        search.materialize = store
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+    got = sorted((r.doc_len, sorted((t.token, t.tf) for t in r.terms)) for r in stemmed.texts.collect())
+    assert got == [(0, []), (5, [("dog", 1), ("walk", 4)])]
+
+
+def test_a_posting_takes_three_bytes(spark):
+    corpus = spark.range(3000).selectExpr("id as d", "concat_ws(' ', transform(sequence(1, 40), x -> translate(string(100 + (id * x) % 50), '0123456789', 'abcdefghij'))) as t")
+    index = search.build_index(corpus, ["d"], "t")
+    blocks = search.posting_blocks(index, 40.0).selectExpr("length(docs) + length(tfs) as size", "length(docs) as docs").collect()
+    postings = index.texts.selectExpr("sum(size(terms))").first()[0]
+    assert postings > 1000 and sum(b["size"] for b in blocks) <= 3 * postings
+
+
 def test_every_unmatched_grantee_is_searched(spark, tmp_path):
     """All lines of even documents that no odd document has are searched, whatever words they hold."""
     rng = random.Random(6)
