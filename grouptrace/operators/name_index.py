@@ -102,6 +102,12 @@ def _matches() -> Column:
     )
 
 
+def _first_found() -> Column:
+    """Is a candidate's term the first one of its search that the name has? Only any_word asks for several."""
+    has = F.transform(_words(F.col("_plain")), lambda w: F.array_contains(F.split("_name", " +"), w))
+    return (F.col("mode") != "any_word") | (F.array_position(has, F.lit(True)) == F.col("_place") + 1)
+
+
 def search_names(index: NameIndex, searches: DataFrame, keys: Sequence[str] = ("mode", "text")) -> DataFrame:
     """All hits of a table of searches (mode, text): ``keys`` of the search and the record's columns.
 
@@ -110,13 +116,15 @@ def search_names(index: NameIndex, searches: DataFrame, keys: Sequence[str] = ("
     """
     asked = searches.filter(F.col("text").isNotNull()).select("mode", "text").distinct()
     asked = materialize(_needed_terms(asked).withColumn("_search", F.monotonically_increasing_id()), "name-searches")
-    wanted = asked.select("_search", "_all", F.explode("_terms").alias("term"))
+    wanted = asked.select("_search", "_all", F.posexplode("_terms").alias("_place", "term"))
     sized = wanted.join(index.sizes, "term", "left").withColumn("names", F.coalesce("names", F.lit(0)))
     every = sized.filter("_all").groupBy("_search").agg(F.min(F.struct("names", "term")).alias("_rarest"))
-    chosen = every.select("_search", F.col("_rarest.term").alias("term")).unionByName(
-        sized.filter("NOT _all").select("_search", "term"))
-    candidates = chosen.join(index.lists, "term").select("_search", "name_no").distinct()
-    found = candidates.join(asked, "_search").join(index.names, "name_no").filter(_matches())
+    chosen = every.select("_search", F.lit(0).alias("_place"), F.col("_rarest.term").alias("term")).unionByName(
+        sized.filter("NOT _all").select("_search", "_place", "term"))
+    # Candidates travel to their names as numbers; the searches, which are far fewer, are sent to every task. A name that several
+    # of a search's terms find counts at the first of them, so candidates need no comparison with each other.
+    candidates = chosen.join(index.lists, "term").select("_search", "_place", "name_no")
+    found = candidates.join(index.names, "name_no").join(F.broadcast(asked), "_search").filter(_matches() & _first_found())
     columns = [c for c in index.columns if c not in keys]
     answered = found.select("mode", "text", *columns)
     if list(keys) == ["mode", "text"]:

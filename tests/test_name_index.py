@@ -66,3 +66,21 @@ def test_lists_are_read_without_a_shuffle(spark, names):
         assert "Exchange" not in sizes._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_candidates_are_not_compared_with_each_other(spark):
+    """No distinct over candidates, and yet no hit comes twice."""
+    names = spark.range(300).selectExpr("id", "concat('red blue ', id % 7, ' red') as name")
+    index = name_index.build_name_index(names, "name", 4)
+    table = spark.createDataFrame([("any_word", "none 3 blue red"), ("any_word", "6 5 5"), ("contains", "ue 2")], "mode string, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = name_index.search_names(index, table)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted((r.mode, r.text, r.id) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = [("any_word", "none 3 blue red", i) for i in range(300)] + [("any_word", "6 5 5", i) for i in range(300) if i % 7 in (5, 6)]
+    assert got == sorted(want + [("contains", "ue 2", i) for i in range(300) if i % 7 == 2])
+    keys = [line.split("Aggregate [")[1].split("]")[0] for line in plan.split("\n") if "Aggregate [" in line]
+    assert keys and not any("name_no" in k for k in keys)
