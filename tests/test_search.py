@@ -122,6 +122,22 @@ def test_a_posting_takes_three_bytes(spark):
     assert postings > 1000 and sum(b["size"] for b in blocks) <= 3 * postings
 
 
+def test_a_block_is_not_copied_for_few_queries(spark, monkeypatch):
+    corpus = spark.range(50).selectExpr("id as d", "concat('w', repeat('a', int(id % 7))) as t")
+    asked = spark.range(5000).selectExpr("id as q", "concat('wa ', translate(string(id), '0123456789', 'abcdefghij')) as t")
+    copies, store = [], search.materialize
+
+    def counted(df, label):
+        kept = store(df, label)
+        if label == "search-chunks":
+            copies.append(kept.agg({"_chunks": "max"}).first()[0])
+        return kept
+
+    monkeypatch.setattr(search, "materialize", counted)
+    got = search.search_top_k(asked, corpus, "q", "t", ["d"], "t").select("q", "d").distinct()
+    assert got.count() == 5000 and copies and max(copies) == 1
+
+
 def test_every_unmatched_grantee_is_searched(spark, tmp_path):
     """All lines of even documents that no odd document has are searched, whatever words they hold."""
     rng = random.Random(6)
