@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,11 @@ from pyspark.sql import functions as F
 #: windows of so many bytes that overlap by half.
 SHORT = 64
 CHUNK_CHARS = 2_500_000
-#: Rows of a recursion, and pieces whose ids a worker keeps (about 200 bytes each).
+#: Rows of a recursion; pieces whose ids a worker holds (about 110 bytes each), and how many of them, the most used, it
+#: holds on to when there are more. A worker process outlives its tasks, and its memory counts as the executor's.
 ROWS = 2_000_000
-CACHED_PIECES = 1_200_000
+CACHED_PIECES = 400_000
+KEPT_PIECES = 200_000
 
 _STEPS = """
 WITH RECURSIVE step AS (
@@ -86,15 +89,22 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x.strip())}
 
 
+class _Codes(dict):
+    """Piece -> code, in the order of codes. A piece asked for the first time gets the next code and is noted in new."""
+
+    def __missing__(self, piece: str) -> int:
+        code = self[piece] = len(self)
+        self.new.append(piece)
+        return code
+
+
 class Coder:
     """A vocabulary in an in-memory DuckDB. encode() and decode() work on many pieces or texts in one query."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memory: str = "150MB"):
-        import duckdb
         import regex
 
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.db = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": memory, "temp_directory": ""})
+        self.ranks, self.split, self.memory, self._db = ranks, regex.compile(pattern).findall, memory, None
         self.size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         self.size[list(ranks.values())] = [len(token) for token in ranks]
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
@@ -106,18 +116,53 @@ class Coder:
         least = np.full(max(ranks.values()) + 1, np.iinfo(np.int32).max)
         for side in (left, right):
             np.minimum.at(least, side, rank)
-        self._table("merges", l=left, r=right, rank=rank, safe=least[rank] > rank)
-        self._table("vocabulary", id=pa.array(ranks.values(), pa.int32()), letters=pa.array([t.decode("latin-1") for t in ranks]))
+        self.fixed = {
+            "merges": pa.table({"l": left, "r": right, "rank": rank, "safe": least[rank] > rank}),
+            "vocabulary": pa.table({
+                "id": pa.array(ranks.values(), pa.int32()), "letters": pa.array([t.decode("latin-1") for t in ranks]),
+            }),
+        }
         self._forget()
 
+    @property
+    def db(self):
+        """The database with the vocabulary, opened when first asked for."""
+        if self._db is None:
+            import duckdb
+
+            self._db = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": self.memory, "temp_directory": ""})
+            for name, rows in self.fixed.items():
+                self._table(name, **dict(zip(rows.column_names, rows.columns)))
+        return self._db
+
+    def rest(self) -> None:
+        """Gives back what only a running task needs: the database, and pieces beyond the bound."""
+        if self._db is not None:
+            self._db.close()
+            self._db = None
+        self._bound()
+        pa.default_memory_pool().release_unused()
+
     def _table(self, name: str, **columns) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _forget(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
+    def _forget(self, keep: int = 0) -> None:
+        """Forgets all pieces but the `keep` that occurred in most calls; their uses count half from now on."""
+        if not keep:
+            self.codes = _Codes()
+            self.lengths, self.uses, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        elif keep < len(self.codes):
+            kept = np.zeros(len(self.codes), dtype=bool)
+            kept[np.argpartition(self.uses, -keep)[-keep:]] = True
+            self.codes = _Codes((piece, code) for code, piece in enumerate(compress(self.codes, kept)))
+            self.ids = self.ids[np.repeat(kept, self.lengths)]
+            self.lengths, self.uses = self.lengths[kept], self.uses[kept] // 2
+
+    def _bound(self) -> None:
+        if len(self.codes) > CACHED_PIECES:
+            self._forget(min(KEPT_PIECES, CACHED_PIECES))
 
     def _merge(self, pieces: list[bytes], query: str) -> tuple[np.ndarray, np.ndarray]:
         """Per piece its number of tokens, and all tokens."""
@@ -179,34 +224,36 @@ class Coder:
         for chosen, encode in ((size <= SHORT, self._merged), (size > SHORT, self._merged_long)):
             rest = np.flatnonzero(chosen & (token < 0))
             parts.append((rest, *encode([raw[i] for i in rest])))
-        lengths = np.zeros(len(raw), np.int64)
+        lengths = np.zeros(len(raw), np.int32)
         for block, counts, _ in parts:
             lengths[block] = counts
-        starts = np.cumsum(lengths) - lengths
-        ids = np.zeros(lengths.sum(), np.int32)
+        starts = np.cumsum(lengths, dtype=np.int64) - lengths
+        ids = np.zeros(lengths.sum(dtype=np.int64), np.int32)
         for block, counts, own in parts:
             ids[np.repeat(starts[block] - np.cumsum(counts) + counts, counts) + np.arange(len(own))] = own
         self.lengths, self.ids = np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids])
+        self.uses = np.concatenate([self.uses, np.zeros(len(raw), np.int32)])
 
     def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers."""
-        if len(self.codes) > CACHED_PIECES:
-            self._forget()
-        codes, new, coded = self.codes, [], []
+        self._bound()
+        codes, coded = self.codes, []
+        codes.new = []
         for text in texts:
             pieces = self.split(text)
-            for piece in set(pieces).difference(codes):
-                codes[piece] = len(codes)
-                new.append(piece)
             coded.append(np.fromiter(map(codes.__getitem__, pieces), dtype=np.int64, count=len(pieces)))
-        if new:
-            self.learn(new)
-        ends = np.cumsum(self.lengths)
+        if codes.new:
+            self.learn(codes.new)
+            codes.new = []
+        ends = np.cumsum(self.lengths, dtype=np.int64)
+        used = np.zeros(len(self.uses), dtype=bool)
         out = []
         for code in coded:
-            n = self.lengths[code]
+            used[code] = True
+            n = self.lengths[code].astype(np.int64)
             at = np.repeat(ends[code] - np.cumsum(n), n) + np.arange(n.sum())
             out.append(self.ids[at].astype("<u4"))
+        self.uses += used
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
@@ -257,10 +304,10 @@ def coded(documents: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     rows = documents.select(F.struct(*others).alias("row"), "text")
 
     def code(batches):
+        coder = None
         for batch in batches:
             coder = _coder(vocabulary, ranks, pattern)
-            column = batch.column("text")
-            texts = column.to_pylist()
+            texts = batch.column("text").to_pylist()
             for start, end in _slices(texts):
                 ids = coder.encode(x or "" for x in texts[start:end])
                 yield pa.RecordBatch.from_arrays(
@@ -270,5 +317,7 @@ def coded(documents: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                     ],
                     names=["row", "tokens", "decoded"],
                 )
+        if coder:
+            coder.rest()
 
     return rows.mapInArrow(code, f"row {rows.schema['row'].dataType.simpleString()}, tokens binary, decoded binary")

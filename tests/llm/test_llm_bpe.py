@@ -86,6 +86,22 @@ def test_pieces_are_forgotten_and_learnt_again(coder, monkeypatch, reference):
         assert [x.tolist() for x in coder.encode([text])] == [reference.encode_ordinary(text)]
 
 
+def test_a_worker_holds_few_pieces_and_no_database_between_tasks(ranks, monkeypatch, reference):
+    coder = byte_bpe.Coder(ranks, public_tokenizers.PATTERN)
+    monkeypatch.setattr(byte_bpe, "CACHED_PIECES", 40)
+    monkeypatch.setattr(byte_bpe, "KEPT_PIECES", 10)
+    often = " common often again"
+    for i in range(30):
+        text = often + "".join(f" zq{i}x{k}" for k in range(5))
+        assert [x.tolist() for x in coder.encode([text])] == [reference.encode_ordinary(text)]
+        assert len(coder.codes) == len(coder.lengths) == len(coder.uses) and coder.lengths.sum() == len(coder.ids)
+    # The most used outlast the bound; the rest doesn't pile up.
+    assert {" common", " often", " again"} <= set(coder.codes) and len(coder.codes) < 80
+    coder.rest()
+    assert coder._db is None and len(coder.codes) <= 40
+    assert coder.decode(coder.encode([often])) == [often.encode()]
+
+
 def test_small_vocabulary_contracts_the_leftmost_least_pair():
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 300, b"bc": 301, b"abc": 256, b"cc": 302}
     coder = byte_bpe.Coder(ranks, r"\S+|\s+")
