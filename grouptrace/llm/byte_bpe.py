@@ -29,8 +29,8 @@ CHUNK_CHARS = 2_500_000
 #: Rows of a recursion; pieces whose ids a worker holds (about 110 bytes each), and how many of them, the most used, it
 #: holds on to when there are more. A worker process outlives its tasks, and its memory counts as the executor's.
 ROWS = 2_000_000
-CACHED_PIECES = 400_000
-KEPT_PIECES = 200_000
+CACHED_PIECES = 800_000
+KEPT_PIECES = 500_000
 
 _STEPS = """
 WITH RECURSIVE step AS (
