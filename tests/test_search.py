@@ -138,6 +138,42 @@ def test_a_block_is_not_copied_for_few_queries(spark, monkeypatch):
     assert got.count() == 5000 and copies and max(copies) == 1
 
 
+def test_no_table_grows_with_queries_times_blocks(spark, monkeypatch):
+    """All queries have words of all 50 blocks; neither is stored for each of the other."""
+    rng = random.Random(8)
+    words = [a + b for a in "bcdfgh" for b in "aeiou"]
+    line = lambda: " ".join(["the", *rng.choices(words, k=5)])
+    corpus, queries = [(i, line()) for i in range(1000)], [(i, line()) for i in range(60)]
+    counts, store, kept = {}, search.Scratch.store, search.materialize
+
+    def counted(df, label):
+        counts[label] = df.count()
+        return df
+
+    monkeypatch.setattr(search, "BLOCK_TEXTS", 20)
+    monkeypatch.setattr(search.Scratch, "store", lambda self, df, label: counted(store(self, df, label), label))
+    monkeypatch.setattr(search, "materialize", lambda df, label: counted(kept(df, label), label))
+    q, c = spark.createDataFrame(queries, "q int, text string"), spark.createDataFrame(corpus, "d int, text string")
+    got = search.search_top_k(q, c, "q", "text", ["d"], "text", 2).collect()
+    assert {(r.q, r.rank): (r.d, r.score) for r in got} == brute_force(queries, corpus, 2)
+    assert counts["search-blocks"] >= 45 and max(counts.values()) <= 1000
+
+
+def test_chunks_of_queries_find_what_all_queries_find(spark, monkeypatch):
+    """Few queries a chunk and few texts a block; copies of queries, queries and corpora without words."""
+    rng = random.Random(9)
+    words = [a + b for a in "bcdfgh" for b in "aeiou"]
+    corpus = [(i, " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(300)]
+    queries = [(i, " ".join(rng.choices(words, k=rng.randint(0, 5)))) for i in range(90)]
+    q, c = spark.createDataFrame(queries, "q int, text string"), spark.createDataFrame(corpus, "d int, text string")
+    for name, value in (("BLOCK_TEXTS", 30), ("CHUNK_QUERIES", 7)):
+        monkeypatch.setattr(search, name, value)
+    got = search.search_top_k(q, c, "q", "text", ["d"], "text").collect()
+    assert {(r.q, r.rank): (r.d, r.score) for r in got} == brute_force(queries, corpus, 1)
+    assert search.search_top_k(q, c.filter("d < 0"), "q", "text", ["d"], "text").isEmpty()
+    assert search.search_top_k(q.filter("q < 0"), c, "q", "text", ["d"], "text", 2).isEmpty()
+
+
 def test_every_unmatched_grantee_is_searched(spark, tmp_path):
     """All lines of even documents that no odd document has are searched, whatever words they hold."""
     rng = random.Random(6)
