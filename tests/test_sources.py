@@ -34,6 +34,40 @@ def test_small_documents_are_compacted_with_their_id(spark, rows, tmp_path):
     assert compact.count() == 5
 
 
+def test_the_driver_lists_no_small_documents(spark, rows, tmp_path):
+    folder = tmp_path / "documents"
+    folder.mkdir()
+    for i in range(300):
+        (folder / f"{i}-112.json").write_text(json.dumps({"response": {"corporation": {"corpRegisterIndex": f"{i}-112"}}}))
+    listed = spark._jvm.org.apache.spark.metrics.source.HiveCatalogMetrics.METRIC_FILES_DISCOVERED()
+    before = listed.getCount()
+    compact = readers.compact_json_documents(spark, str(folder), schemas.ENTITY_DOCUMENT, str(tmp_path / "compact"))
+    assert rows(compact, "file_name", "response.corporation.corpRegisterIndex") == sorted(
+        (f"{i}-112.json", f"{i}-112") for i in range(300))
+    assert listed.getCount() - before < 20
+
+
+def test_compact_documents_hold_what_the_json_reader_finds(spark, rows, tmp_path):
+    folder, schema = tmp_path / "documents", "id bigint, name string, parts array<struct<n: int>>, `at.x` timestamp"
+    folder.mkdir()
+    files = {
+        "plain.json": b'{"id": 1, "name": "a", "parts": [{"n": 1}, {"n": 2}], "at.x": "2024-05-06T07:08:09"}',
+        "two lines.json": b'{"id": 2}\n\n  \t\n{"id": 3, "other": {"x": 1}}\r\n{"id": 4}\r{"name": "last"}',
+        "b 1+2%41.json": b'\xef\xbb\xbf{"id": 5, "name": "\xc3\xa9"}\n',
+        "wrong.json": b'{"id": "x", "name": "kept"}\n{"id": 6, \nnone\n"text"\n7\nnull\n{"id": 8, "name": "\xff"}\n{"id": 9} {"id": 10}',
+        "list.json": b' [{"id": 11}, {"id": 12, "name": "b"}]\n[]\n[1]\n[{"id": 13',
+        "é € #?[x]{y}|^'~;.json": b'{"id": 18}', "empty.json": b"", ".hidden.json": b'{"id": 14}', "_hidden.json": b'{"id": 15}', "_k=v.json": b'{"id": 16}',
+    }
+    for name, text in files.items():
+        (folder / name).write_bytes(text)
+    (folder / "below").mkdir()
+    (folder / "below" / "deep.json").write_text('{"id": 17}')
+    for path in (str(folder), f"file://{folder}", f"{folder}/plain.json", f"{folder}/[pl]*.json"):
+        want = readers.read_json_documents(spark, path, schema).select("*", "_metadata.file_name")
+        got = readers.compact_json_documents(spark, path, schema, str(tmp_path / "compact"))
+        assert rows(got) == rows(want) and got.dtypes == want.dtypes
+
+
 def test_batch_catalog_leaves_lock_files_out(spark, rows):
     names = ["a/Export (SEARCH with ids) 1-100.xlsx", "a/Export (DATA with ids) 101-200.xlsx",
              "a/Export (DATA with ids) 1-100.xlsx", "a/~$Export (DATA with ids) 1-100.xlsx"]
