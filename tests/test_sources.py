@@ -1,4 +1,6 @@
+import gzip
 import json
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,7 +58,7 @@ def test_compact_documents_hold_what_the_json_reader_finds(spark, rows, tmp_path
         "b 1+2%41.json": b'\xef\xbb\xbf{"id": 5, "name": "\xc3\xa9"}\n',
         "wrong.json": b'{"id": "x", "name": "kept"}\n{"id": 6, \nnone\n"text"\n7\nnull\n{"id": 8, "name": "\xff"}\n{"id": 9} {"id": 10}',
         "list.json": b' [{"id": 11}, {"id": 12, "name": "b"}]\n[]\n[1]\n[{"id": 13',
-        "é € #?[x]{y}|^'~;.json": b'{"id": 18}', "empty.json": b"", ".hidden.json": b'{"id": 14}', "_hidden.json": b'{"id": 15}', "_k=v.json": b'{"id": 16}',
+        "é € #?[x]{y}|^'~;.json": b'{"id": 18}', "packed.json.gz": gzip.compress(b'{"id": 19}'), "empty.json": b"", ".hidden.json": b'{"id": 14}', "_hidden.json": b'{"id": 15}', "_k=v.json": b'{"id": 16}',
     }
     for name, text in files.items():
         (folder / name).write_bytes(text)
@@ -66,6 +68,9 @@ def test_compact_documents_hold_what_the_json_reader_finds(spark, rows, tmp_path
         want = readers.read_json_documents(spark, path, schema).select("*", "_metadata.file_name")
         got = readers.compact_json_documents(spark, path, schema, str(tmp_path / "compact"))
         assert rows(got) == rows(want) and got.dtypes == want.dtypes
+    (folder / "packed.json.deflate").write_bytes(zlib.compress(b'{"id": 20}'))
+    with pytest.raises(Exception, match="compressed in a way"):
+        readers.compact_json_documents(spark, str(folder), schema, str(tmp_path / "compact"))
 
 
 def test_batch_catalog_leaves_lock_files_out(spark, rows):
